@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from httplens.functions.strings import not_blank
 
 # A text may be wrapped as {"value": ...} or {"text": ...}, and that again.
-_MAX_WRAPS = 3
+_MAX_WRAPS = 4
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` worked out once, however often it is mentioned."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _get(node: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(node, path, kind)
 
 
-def _type(node: Column) -> Column:
-    return F.schema_of_variant(node)
+def _is_text(node: Column) -> Column:
+    return F.schema_of_variant(node) == "STRING"
 
 
-def _is_text(node: Column) -> Column:
-    return _type(node) == "STRING"
+def _is_list(node: Column) -> Column:
+    return F.schema_of_variant(node).startswith("ARRAY")
 
 
 def _present(node: Column) -> Column:
@@ -30,66 +37,62 @@ def _text(node: Column) -> Column:
     return _get(node, "$", "string")
 
 
+def _either(node: Column, first: str, second: str) -> Column:
+    """The first of two members that is there and not null."""
+    return let(_get(node, f"$.{first}"), lambda m: F.when(_present(m), m).otherwise(_get(node, f"$.{second}")))
+
+
 def node_text(node: Column, wraps: int = _MAX_WRAPS) -> Column:
     """The text of a node: a string itself, or what its ``value`` or else ``text`` holds."""
-    found = F.when(_is_text(node), _text(node))
-    if wraps:
-        value, text = _get(node, "$.value"), _get(node, "$.text")
-        found = found.when(_present(value), node_text(value, wraps - 1))
-        found = found.when(_present(text), node_text(text, wraps - 1))
-    return F.coalesce(found, F.lit(""))
+    def read(n: Column) -> Column:
+        inner = node_text(_either(n, "value", "text"), wraps - 1) if wraps else F.lit("")
+        return F.when(_is_text(n), _text(n)).otherwise(inner)
+    return let(node, read)
 
 
 def _part_text(part: Column) -> Column:
-    text, value = _get(part, "$.text"), _get(part, "$.value")
-    return F.coalesce(
-        F.when(_is_text(part), _text(part))
-        .when(_present(text), node_text(text))
-        .when(_present(value), node_text(value)),
-        F.lit(""))
+    return F.when(_is_text(part), _text(part)).otherwise(node_text(_either(part, "text", "value")))
 
 
-def _join_lines(items: Column, text_of) -> Column:
-    return F.array_join(F.filter(F.transform(items, text_of), not_blank), "\n")
+def _join_lines(texts: Column) -> Column:
+    return F.array_join(F.filter(texts, not_blank), "\n")
 
 
 def message_content(content: Column) -> Column:
     """A message's content: a string, a list of parts (one per line), or one part."""
-    return F.coalesce(
-        F.when(_is_text(content), _text(content))
-        .when(_type(content).startswith("ARRAY"),
-              _join_lines(_get(content, "$", "array<variant>"), _part_text))
-        .otherwise(_part_text(content)),
-        F.lit(""))
+    parts = F.when(_is_list(content), _get(content, "$", "array<variant>")).otherwise(F.array(content))
+    return _join_lines(F.transform(parts, _part_text))
 
 
 def first_not_blank(*texts: Column) -> Column:
-    return F.coalesce(*[F.when(not_blank(t), t) for t in texts])
+    return F.get(F.filter(F.array(*texts), not_blank), F.lit(0))
 
 
-def output_messages(root: Column) -> Column:
+def _output_contents(root: Column) -> Column:
     items = F.filter(
         _get(root, "$.output", "array<variant>"),
         lambda item: _get(item, "$.type", "string") == "message")
-    return F.coalesce(_join_lines(items, lambda i: message_content(_get(i, "$.content"))), F.lit(""))
+    return F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda item: _get(item, "$.content"))
 
 
 def reply_content(root: Column) -> Column:
     """The reply text from any of the known response shapes; NULL where there is none."""
-    return first_not_blank(
-        node_text(_get(root, "$.output_text")),
-        message_content(_get(root, "$.choices[0].message.content")),
-        node_text(_get(root, "$.choices[0].text")),
-        output_messages(root),
-        message_content(_get(root, "$.message.content")),
-    )
+    plain = F.transform(
+        F.array(_get(root, "$.output_text"), _get(root, "$.choices[0].text")), lambda n: node_text(n))
+    messages = F.transform(
+        F.concat(F.array(_get(root, "$.choices[0].message.content"), _get(root, "$.message.content")),
+                 _output_contents(root)), message_content)
+    return let(F.struct(plain.alias("p"), messages.alias("m")), lambda t: first_not_blank(
+        t["p"][0], t["m"][0], t["p"][1],
+        _join_lines(F.slice(t["m"], 3, F.size(t["m"]))), t["m"][1]))
 
 
 def has_error(root: Column) -> Column:
-    return F.coalesce(_present(_get(root, "$.error")), F.lit(False))
+    return let(_get(root, "$.error"), _present)
 
 
 def error_message(root: Column, *, whole_error: bool = False) -> Column:
     """The first non-blank of error.message, message, detail and, if asked, error itself."""
     places = ["$.error.message", "$.message", "$.detail"] + (["$.error"] if whole_error else [])
-    return first_not_blank(*[node_text(_get(root, p)) for p in places])
+    nodes = F.array(*[_get(root, p) for p in places])
+    return F.get(F.filter(F.transform(nodes, lambda n: node_text(n)), not_blank), F.lit(0))

@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from httplens.plans.adhoc import run_sql
 
 
+# Quotes inside a value are doubled, spaces at its ends are kept.
+_CSV = {
+    "header": True, "escape": '"', "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """With header; quotes inside a value are doubled, and empty text differs from no value."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    """With header. Empty text is written quoted, no value as nothing."""
+    df.write.options(**_CSV).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -39,8 +46,12 @@ def export(result: DataFrame | str, fmt: str, path: str, traffic: DataFrame | No
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("multiLine", True).csv(path))
+    """Reads back what ``write_csv`` wrote, line breaks in values and empty texts included.
+
+    The value standing for null is one no text can hold, so that only a field with nothing in it is null.
+    """
+    return (spark.read.schema(schema).options(**_CSV)
+            .option("multiLine", True).option("nullValue", "\uffff").csv(path))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
