@@ -293,10 +293,10 @@ _TIMELINE = """
 _ALERTS = f"""
     , refused AS (SELECT * FROM traffic WHERE {DENIED})
     , spans AS (
-        SELECT host, path, make_timestamp(CAST((epoch_us(timestamp) // 21600000000 - k) * 21600000000 AS BIGINT)) AS start
-        FROM refused, (SELECT unnest([0, 1, 2, 3]) AS k))
+        SELECT host, path, date_trunc('day', timestamp) - to_days(k) AS start
+        FROM refused, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k))
     SELECT strftime(start, '%Y-%m-%d %H:%M') AS since, host, path, count(*) AS failures FROM spans
-    WHERE start + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM refused)
+    WHERE start + INTERVAL 10 DAY <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM refused)
     GROUP BY start, host, path HAVING count(*) >= 3
 """
 
@@ -333,13 +333,15 @@ def _over_traffic() -> dict[str, str]:
         "Q3": "SELECT host, method, count(*) AS requests FROM traffic GROUP BY ROLLUP (host, method)",
         "Q4": """SELECT path FROM traffic WHERE status_code = 200
                  EXCEPT SELECT path FROM traffic WHERE lower(req_headers) LIKE '%authorization%'""",
-        "Q5": """SELECT id, host, path, ok.id AS ok_id, ok.seen - epoch_us(timestamp) AS after_micros FROM (
+        "Q5": """SELECT id, host, path, ok.id AS ok_id, ok.seen - epoch_us(timestamp) AS after_micros,
+                        coalesce(ok.seen - epoch_us(timestamp) <= 3600000000, false) AS within_hour
+                 FROM (
                      SELECT id, host, path, status_code, timestamp,
                             min(CASE WHEN status_code = 200 THEN {'seen': epoch_us(timestamp), 'id': id} END) OVER (
                                 PARTITION BY host, path ORDER BY timestamp, id
                                 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ok
                      FROM traffic)
-                 WHERE status_code = 401 AND ok.seen - epoch_us(timestamp) <= 3600000000""",
+                 WHERE status_code = 401""",
         "Q6": f"SELECT {BASE} FROM traffic WHERE host IN (SELECT host FROM traffic WHERE status_code >= 500)",
         "Q7": """SELECT id, json_extract_string(req_headers, '$.Host') AS header_host,
                         json_extract_string(req_headers, '$.Authorization') AS authorization FROM traffic""",

@@ -200,13 +200,15 @@ def _gaps(traffic: DataFrame) -> DataFrame:
 
 
 def _refused_then_ok(traffic: DataFrame) -> DataFrame:
-    """Each refused request that was followed, within the hour, by a 200 on the same host and path."""
+    """Each refused request with the next 200 on the same host and path, and whether that came within the hour."""
     seen = traffic.where("status_code IN (401, 200)").select(
         "id", "host", "path", "status_code", _micros().alias("at"))
     ok = F.when(F.col("status_code") == 200, F.struct("at", "id"))
-    following = ordered.next_match(seen, ["host", "path"], ["at", "id"], ok, "ok")
-    return following.where((F.col("status_code") == 401) & (F.col("ok.at") - F.col("at") <= 3_600_000_000)).select(
-        "id", "host", "path", F.col("ok.id").alias("ok_id"), (F.col("ok.at") - F.col("at")).alias("after_micros"))
+    following = ordered.next_match(seen, ["host", "path"], ["at", "id"], ok, "ok").where("status_code = 401")
+    after = F.col("ok.at") - F.col("at")
+    return following.select(
+        "id", "host", "path", F.col("ok.id").alias("ok_id"), after.alias("after_micros"),
+        F.coalesce(after <= 3_600_000_000, F.lit(False)).alias("within_hour"))
 
 
 def _running(traffic: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def _live_panels(spark, sf_dir):
     raw, panels = fixture.raw_stream(spark, sf_dir), scratch_path(spark, "panels")
     _drain(spark, lambda p, c: live.live_panels(raw, p, panels, c, every=None), "panel-traffic")
     rows = [
-        spark.read.parquet(f"{panels}/{name}").select(
+        live.latest_panel(spark, panels, name).select(
             F.lit(name).alias("panel"),
             F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]).alias("label"),
             F.col(n).cast("long").alias("n"))
@@ -287,9 +289,9 @@ def _live_findings(spark, sf_dir):
 
 
 def _alerts(spark, sf_dir):
-    """Spans of a day, as the test events are minutes apart."""
+    """Spans of ten days, as the test events are minutes apart."""
     stream = live.auth_failure_alerts(
-        ingest.normalize(fixture.raw_stream(spark, sf_dir)), span="1 day", slide="6 hours")
+        ingest.normalize(fixture.raw_stream(spark, sf_dir)), span="10 days", slide="1 day")
     path = _drain(spark, lambda p, c: cap.append_to(stream, p, c, every=None), "alerts")
     return spark.read.schema(stream.schema).parquet(path)
 

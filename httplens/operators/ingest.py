@@ -44,10 +44,20 @@ def append_new(
 ) -> DataFrame:
     """The incoming rows to add: one per key, none for keys that are stored already.
 
-    Only the key columns of the stored table are read.
+    Of the stored table only the key columns are read, and of those only the range the
+    incoming keys span: ids grow with time, so a batch meets a small part of the table.
     """
     fresh = first_per_key(incoming, key, arrival)
-    return fresh.join(existing.select(*key), list(key), "left_anti").select(*incoming.columns)
+    return fresh.join(_within(existing.select(*key), incoming, key), list(key), "left_anti").select(*incoming.columns)
+
+
+def _within(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Stored keys between the lowest and the highest incoming one."""
+    for column in key:
+        low = incoming.agg(F.min(column)).scalar()
+        high = incoming.agg(F.max(column)).scalar()
+        stored = stored.where((F.col(column) >= low) & (F.col(column) <= high))
+    return stored
 
 
 def upsert_ignore(

@@ -67,7 +67,7 @@ def _mixed(traffic: DataFrame, ok: str, denied: str, limit) -> DataFrame:
     df = (
         traffic.where((F.col("status_code") == 200) | _denied())
         .groupBy("path")
-        .agg(F.count_if(F.col("status_code") == 200).alias(ok), F.count_if(_denied()).alias(denied))
+        .agg(F.count(F.when(F.col("status_code") == 200, 1)).alias(ok), F.count(F.when(_denied(), 1)).alias(denied))
         .where((F.col(ok) > 0) & (F.col(denied) > 0))
     )
     return _finish(df, (f"-{denied}", "path"), limit)

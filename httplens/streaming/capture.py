@@ -52,7 +52,9 @@ def capture(
     create_table(spark, path)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        store_batch(normalize(batch), path)
+        rows = normalize(batch).persist()  # read for the span of its ids, and to be stored
+        store_batch(rows, path)
+        rows.unpersist()
         if then is not None:
             then(load_traffic(batch.sparkSession, path), batch_id)
 

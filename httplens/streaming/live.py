@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from httplens import patterns as P
@@ -46,13 +46,21 @@ def live_panels(
     every: str | None = "30 seconds",
     panels: dict[str, Callable[[DataFrame], DataFrame]] = PANELS,
 ) -> StreamingQuery:
-    """Capture, and after each batch write every panel anew from the stored table.
+    """Capture, and after each batch work out every panel from the stored table.
 
     The panels of a batch all see the same table, and exact distinct counts and
-    rankings are possible, which they are not on the stream itself.
+    rankings are possible, which they are not on the stream itself. Each refresh goes to a
+    folder of its own, so readers never find a panel half written.
     """
-    def refresh(stored: DataFrame, _batch_id: int) -> None:
+    def refresh(stored: DataFrame, batch_id: int) -> None:
         for name, panel in panels.items():
-            panel(stored).write.mode("overwrite").parquet(f"{panel_path}/{name}")
+            panel(stored).write.mode("overwrite").parquet(f"{panel_path}/{name}/refresh={batch_id}")
 
     return capture(raw, path, checkpoint, every, then=refresh)
+
+
+def latest_panel(spark: SparkSession, panel_path: str, name: str) -> DataFrame:
+    """A panel as of its last refresh."""
+    written = spark.read.parquet(f"{panel_path}/{name}")
+    last = written.agg(F.max("refresh")).scalar()
+    return written.where(F.col("refresh") == last).drop("refresh")
