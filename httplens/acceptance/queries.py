@@ -216,6 +216,9 @@ def _running(traffic: DataFrame) -> DataFrame:
     return ordered.running_count(seen, ["host"], ["timestamp", "id"], "requests_so_far").drop("timestamp")
 
 
+ORDERED = {"Q2": _gaps, "Q5": _refused_then_ok, "Q8": _running}
+
+
 # --- streaming ----------------------------------------------------------------
 
 
@@ -329,9 +332,6 @@ def queries() -> dict[str, Query]:
             fixture.responses(spark, sf_dir), "json").select("conv_id", "turn", "content", "error"),
         "G-6": _http_errors,
         "Q-00": _statement,
-        "Q2": _over_traffic(_gaps),
-        "Q5": _over_traffic(_refused_then_ok),
-        "Q8": _over_traffic(_running),
         "W-1": _deduplicated,
         "W-2": _live_timeline,
         "W-3": _live_panels,
@@ -339,4 +339,5 @@ def queries() -> dict[str, Query]:
         "W-5": _alerts,
     }
     found |= {name: _sql(text) for name, text in SQL.items()}
+    found |= {name: _over_traffic(run) for name, run in ORDERED.items()}
     return found
