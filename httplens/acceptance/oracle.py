@@ -202,6 +202,10 @@ _REPEATS = f"""
 _MESSAGE = ("CASE WHEN coalesce({body}, '') = '' THEN coalesce({headers}, '') "
             "ELSE coalesce({headers}, '') || chr(13) || chr(10) || chr(13) || chr(10) || {body} END")
 
+_DETAIL = "id, {} AS request, {} AS response".format(
+    _MESSAGE.format(headers="req_headers", body="req_body"),
+    _MESSAGE.format(headers="resp_headers", body="resp_body"))
+
 # --- chat text ----------------------------------------------------------------
 
 _LOOKS = "({})".format(" OR ".join(
@@ -320,28 +324,30 @@ def _over_traffic() -> dict[str, str]:
         "T-9": "SELECT host, method, count(*) AS requests, max(resp_length) AS largest FROM traffic GROUP BY 1, 2",
         "T-11": "SELECT id, host, method, path, status_code, resp_length FROM traffic ORDER BY id DESC LIMIT 100",
         "T-12": f"SELECT {ALL_READABLE.replace('resp_body, ', '')} FROM traffic WHERE method = 'POST'",
-        "V1": "SELECT id, {} AS request, {} AS response FROM traffic WHERE status_code >= 500".format(
-            _MESSAGE.format(headers="req_headers", body="req_body"),
-            _MESSAGE.format(headers="resp_headers", body="resp_body")),
+        "T-5": f"SELECT {_DETAIL} FROM traffic",
+        "V1": f"SELECT {_DETAIL} FROM traffic WHERE status_code >= 500",
+        "Q-0": _rule("X1"),
         "Q-00": f"SELECT host, count(*) AS refusals FROM traffic WHERE {DENIED} GROUP BY host",
         "Q1": """SELECT host, id, resp_length, CAST(place AS INT) AS place FROM (
                      SELECT *, row_number() OVER (PARTITION BY host ORDER BY resp_length DESC, id) AS place FROM traffic)
                  WHERE place <= 3""",
-        "Q2": """SELECT id, host, epoch_us(timestamp)
-                        - lag(epoch_us(timestamp)) OVER (PARTITION BY host ORDER BY timestamp, id) AS gap_micros
-                 FROM traffic""",
+        "Q2": """SELECT * FROM (
+                     SELECT id, host, epoch_us(timestamp)
+                            - lag(epoch_us(timestamp)) OVER (PARTITION BY host ORDER BY timestamp, id) AS gap_micros
+                     FROM traffic)
+                 WHERE gap_micros IS NOT NULL""",
         "Q3": "SELECT host, method, count(*) AS requests FROM traffic GROUP BY ROLLUP (host, method)",
         "Q4": """SELECT path FROM traffic WHERE status_code = 200
                  EXCEPT SELECT path FROM traffic WHERE lower(req_headers) LIKE '%authorization%'""",
         "Q5": """SELECT id, host, path, ok.id AS ok_id, ok.seen - epoch_us(timestamp) AS after_micros,
-                        coalesce(ok.seen - epoch_us(timestamp) <= 3600000000, false) AS within_hour
+                        ok.seen - epoch_us(timestamp) <= 3600000000 AS within_hour
                  FROM (
                      SELECT id, host, path, status_code, timestamp,
                             min(CASE WHEN status_code = 200 THEN {'seen': epoch_us(timestamp), 'id': id} END) OVER (
                                 PARTITION BY host, path ORDER BY timestamp, id
                                 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ok
                      FROM traffic)
-                 WHERE status_code = 401""",
+                 WHERE status_code = 401 AND ok IS NOT NULL""",
         "Q6": f"SELECT {BASE} FROM traffic WHERE host IN (SELECT host FROM traffic WHERE status_code >= 500)",
         "Q7": """SELECT id, json_extract_string(req_headers, '$.Host') AS header_host,
                         json_extract_string(req_headers, '$.Authorization') AS authorization FROM traffic""",

@@ -60,6 +60,11 @@ def _detail(spark, sf_dir):
     return lookup.message_detail(traffic, CATALOGUE["E1"].run(traffic, ordered=False))
 
 
+def _all_details(spark, sf_dir):
+    traffic = fixture.traffic(spark, sf_dir)
+    return lookup.message_detail(traffic, lookup.default_listing(traffic, limit=None))
+
+
 def _csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     traffic = fixture.traffic(spark, sf_dir).drop("timestamp")
@@ -155,6 +160,11 @@ def _http_errors(spark, sf_dir):
 # --- free SQL and its ordered relatives --------------------------------------
 
 SQL = {
+    "Q-0": """
+        SELECT id, host, method, path, status_code FROM traffic
+        WHERE status_code = 200 AND NOT contains(lower(req_headers), 'authorization')
+          AND lower(path) RLIKE 'admin|manager|internal|private|restricted|staff'
+        ORDER BY host, path, id;""",
     "Q1": """
         SELECT host, id, resp_length, place FROM (
             SELECT host, id, resp_length,
@@ -196,19 +206,21 @@ def _gaps(traffic: DataFrame) -> DataFrame:
     """Time since the previous request to the same host."""
     seen = traffic.select("id", "host", _micros().alias("at"))
     gaps = ordered.previous_value(seen, ["host"], ["at", "id"], "at", "before")
-    return gaps.select("id", "host", (F.col("at") - F.col("before")).alias("gap_micros"))
+    return gaps.where("before IS NOT NULL").select(
+        "id", "host", (F.col("at") - F.col("before")).alias("gap_micros"))
 
 
 def _refused_then_ok(traffic: DataFrame) -> DataFrame:
-    """Each refused request with the next 200 on the same host and path, and whether that came within the hour."""
+    """Each refused request with the 200 that followed on the same host and path, and whether that was within the hour."""
     seen = traffic.where("status_code IN (401, 200)").select(
         "id", "host", "path", "status_code", _micros().alias("at"))
     ok = F.when(F.col("status_code") == 200, F.struct("at", "id"))
-    following = ordered.next_match(seen, ["host", "path"], ["at", "id"], ok, "ok").where("status_code = 401")
+    following = ordered.next_match(seen, ["host", "path"], ["at", "id"], ok, "ok").where(
+        "status_code = 401 AND ok IS NOT NULL")
     after = F.col("ok.at") - F.col("at")
     return following.select(
         "id", "host", "path", F.col("ok.id").alias("ok_id"), after.alias("after_micros"),
-        F.coalesce(after <= 3_600_000_000, F.lit(False)).alias("within_hour"))
+        (after <= 3_600_000_000).alias("within_hour"))
 
 
 def _running(traffic: DataFrame) -> DataFrame:
@@ -308,6 +320,7 @@ def queries() -> dict[str, Query]:
         "T-2": _normalize,
         "T-3": _append,
         "T-4": _captured,
+        "T-5": _all_details,
         "V1": _detail,
         "T-6": _csv,
         "T-7": _json,

@@ -6,7 +6,10 @@ import functools
 import operator
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
+
+# Only a line feed ends a line: a dot may stand for the return of an HTTP line break.
+UNIX_LINES = "(?d)"
 
 _META = re.compile(r"(?<!\\)[.^$*+?{}\[\]()]")
 
@@ -23,7 +26,7 @@ def _alternative(column: Column, pattern: str) -> Column:
     if meta.group() in "*?{":  # the character before may be absent, so it cannot be required
         prefix = re.sub(r"\\?.$", "", prefix)
     prefix = _unescape(prefix)
-    found = column.rlike(pattern)
+    found = column.rlike(UNIX_LINES + pattern)
     return column.contains(prefix) & found if prefix else found
 
 

@@ -11,7 +11,7 @@ VIEW = "traffic"
 
 def clean(sql: str) -> str:
     """Without surrounding space and trailing semicolon."""
-    return re.sub(r";\s*\Z", "", sql.strip())
+    return re.sub(r"\s*;?\s*\Z", "", sql.strip())
 
 
 def run_sql(traffic: DataFrame, sql: str) -> DataFrame | None:
