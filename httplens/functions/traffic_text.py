@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _body():
@@ -22,14 +22,18 @@ TEXTS = {
 }
 
 
-def with_texts(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Add the named texts as columns.
+def bind(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that stay columns.
 
-    ``inline`` of a one-row array keeps each text a column of its own. As a plain
-    projection the optimizer would push every search below it and spell out
-    ``lower(path)`` again for each word searched.
+    A plain projection may be merged with its neighbours: a search over ``lower(path)``
+    then spells out ``lower(path)`` again for each word, and long lists of predicates end
+    up in one method too long for the JVM to compile. ``inline`` of a one-row
+    array is a step of its own.
     """
-    names = tuple(names)
-    if not names:
-        return df
-    return df.select("*", F.inline(F.array(F.struct(*[TEXTS[n]().alias(n) for n in names]))))
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_texts(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Add the named texts, each worked out once per row."""
+    columns = {name: TEXTS[name]() for name in names}
+    return bind(df, columns) if columns else df

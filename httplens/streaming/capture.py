@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from httplens.operators.ingest import append_new, normalize
 from httplens.schema import TRAFFIC
-from httplens.sources.traffic import load_traffic
+from httplens.sources.traffic import PARTITIONS, STORED, load_project, load_traffic, save_project
 
 
 def trigger(stream_writer, every: str | None):
@@ -20,19 +20,29 @@ def trigger(stream_writer, every: str | None):
     return stream_writer.trigger(processingTime=every)
 
 
-def create_table(spark, path: str, schema: StructType = TRAFFIC) -> None:
+def create_table(spark: SparkSession, path: str, schema: StructType = TRAFFIC) -> None:
     """An empty table, unless there is one already."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    by = [c for c in PARTITIONS if c in schema.fieldNames()]
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(path)
 
 
-def store_batch(batch: DataFrame, path: str, arrival: Sequence[str] = ("timestamp",)) -> None:
+def _stored(spark: SparkSession, path: str, project_id: str | None) -> DataFrame:
+    return load_traffic(spark, path) if project_id is None else load_project(spark, path, project_id)
+
+
+def store_batch(
+    batch: DataFrame, path: str, arrival: Sequence[str] = ("timestamp",), project_id: str | None = None
+) -> None:
     """Append the messages of a normalised batch that are not stored yet.
 
     A batch delivered again after a failure finds its own rows stored, whole or in part, and
-    adds only what is missing.
+    adds only what is missing. Ids of different projects do not meet.
     """
-    stored = load_traffic(batch.sparkSession, path)
-    append_new(stored, batch, arrival=arrival).write.mode("append").parquet(path)
+    new = append_new(_stored(batch.sparkSession, path, project_id), batch, arrival=arrival)
+    if project_id is None:
+        new.write.mode("append").parquet(path)
+    else:
+        save_project(new, path, project_id)
 
 
 def capture(
@@ -40,21 +50,22 @@ def capture(
     path: str,
     checkpoint: str,
     every: str | None = "30 seconds",
+    project_id: str | None = None,
     then: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Store a stream of raw exchanges; the first arrival of an id wins, in and across batches.
 
     Duplicates inside a batch are combined before the shuffle and no per-id state is kept:
-    each batch reads the id column of the table instead. ``then`` gets the stored table
-    after each batch.
+    each batch reads the ids of the table in its own range instead. With ``project_id`` the
+    table is the one partitioned by project and day. ``then`` gets the stored table after
+    each batch.
     """
-    spark = raw.sparkSession
-    create_table(spark, path)
+    create_table(raw.sparkSession, path, TRAFFIC if project_id is None else STORED)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        store_batch(normalize(batch), path)
+        store_batch(normalize(batch), path, project_id=project_id)
         if then is not None:
-            then(load_traffic(batch.sparkSession, path), batch_id)
+            then(_stored(batch.sparkSession, path, project_id), batch_id)
 
     writer = raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return trigger(writer, every).start()

@@ -64,3 +64,15 @@ def test_distinct_counts_shuffle_on_the_counted_value_too(stored, analysis_id):
     first = plan(run(stored, analysis_id)).split("Exchange hashpartitioning(")[-1].split("]")[0]
     counted = "status_code" if analysis_id == "D4" else "path"
     assert f"{counted}#" in first
+
+
+def test_top_rows_per_host_are_cut_before_the_shuffle(stored):
+    from httplens.acceptance.queries import SQL
+    from httplens.plans.adhoc import run_sql
+    assert "WindowGroupLimit" in plan(run_sql(stored, SQL["Q1"])).split("Exchange hashpartitioning")[1]
+
+
+def test_stored_ids_are_read_in_the_span_of_the_batch(stored):
+    from httplens.operators.ingest import append_new
+    text = plan(append_new(stored, stored.where("id > 8")))
+    assert "(id#" in text and ">= Subquery" in text and "<= Subquery" in text

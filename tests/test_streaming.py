@@ -10,7 +10,7 @@ from httplens.operators.findings import tag_findings
 from httplens.operators.ingest import normalize
 from httplens.plans.rollups import PANELS
 from httplens.schema import RAW_EXCHANGE, TRAFFIC
-from httplens.sources.traffic import load_traffic
+from httplens.sources.traffic import load_project, load_traffic
 from httplens.streaming import capture as cap
 from httplens.streaming import live
 
@@ -46,6 +46,16 @@ def test_capture_keeps_the_first_arrival(spark, folders):
     assert [(r["id"], r["host"]) for r in rows] == [(1, "first"), (2, "x"), (3, "y")]
 
 
+def test_projects_do_not_meet(spark, folders, tmp_path):
+    inbox, out, checkpoint = folders
+    arrive(spark, inbox, "1", SEED_B)
+    for project in ("one", "two", "one"):
+        here = str(tmp_path / f"c{len(list(tmp_path.iterdir()))}")
+        cap.capture(stream(spark, inbox), out, here, every=None, project_id=project).awaitTermination()
+    for project in ("one", "two"):
+        assert text(load_project(spark, out, project)) == text(normalize(raw_frame(spark, SEED_B)))
+
+
 def test_batch_delivered_again(spark, folders, seed_b):
     _, out, _ = folders
     cap.create_table(spark, out, TRAFFIC)
