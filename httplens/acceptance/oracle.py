@@ -310,12 +310,17 @@ _FINDINGS = "SELECT {}, concat_ws(',', {}) AS findings FROM traffic".format(
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{i}' AS rule, count(*) AS hits FROM traffic WHERE {p}" for i, p in PREDICATES.items())
 
+_COUNTS_BY_HOST = " UNION ALL ".join(
+    f"SELECT host, '{i}' AS rule, count(CASE WHEN {p} THEN 1 END) AS hits FROM traffic GROUP BY host"
+    for i, p in PREDICATES.items())
+
 
 def _over_traffic() -> dict[str, str]:
     found = {i: _rule(i) for i in SHAPES} | GROUPED
     found |= {
         "F1": _FINDINGS,
         "F2": _COUNTS,
+        "F2_by_host": _COUNTS_BY_HOST,
         "M6": f"SELECT {_digest('traffic')} FROM traffic",
         "T-1": f"SELECT {ALL_READABLE} FROM traffic",
         "T-6": f"SELECT {UNTIMED} FROM traffic",
@@ -387,6 +392,7 @@ def oracle_sql() -> dict[str, str]:
         "K-5": f"WITH {_SAVED} {_append('saved')}",
         "K-6": f"""WITH {_SAVED} SELECT category, name, id,
                        row_number() OVER (PARTITION BY category ORDER BY name, id) AS position FROM saved""",
+        "K-6_categories": f"WITH {_SAVED} SELECT DISTINCT category FROM saved",
         "G-1": f"WITH {_REPLIES} SELECT conv_id, turn, block_no, sql_text FROM blocks",
         "G-2": f"WITH {_REPLIES} SELECT conv_id, turn, {_LOOKS.replace('(x)', '(md)')} AS is_sql FROM replies",
         "G-3": f"""WITH {_REPLIES} SELECT conv_id, turn, block_no, {_category('sql_text')} AS category,

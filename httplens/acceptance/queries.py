@@ -314,6 +314,7 @@ def _alerts(spark, sf_dir):
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {i: _analysis(i) for i in CATALOGUE}
     found["F1"] = _over_traffic(lambda t: _joined_findings(CATALOGUE["F1"].run(t)))
+    found["F2_by_host"] = _over_traffic(lambda t: CATALOGUE["F2"].run(t, by=["host"]))
     found["M6_by_protocol"] = _over_traffic(lambda t: CATALOGUE["M6"].run(t, by=["protocol"]))
     found |= {
         "T-1": _load,
@@ -335,6 +336,7 @@ def queries() -> dict[str, Query]:
         "K-4": _delete,
         "K-5": _round_trip,
         "K-6": lambda spark, sf_dir: keyed.category_tree(_saved(spark, sf_dir)),
+        "K-6_categories": lambda spark, sf_dir: keyed.categories(_saved(spark, sf_dir)),
         "G-1": lambda spark, sf_dir: replies.extract_sql_blocks(fixture.replies(spark, sf_dir), "md"),
         "G-2": lambda spark, sf_dir: fixture.replies(spark, sf_dir).select(
             "conv_id", "turn", replies.looks_like_sql(F.col("md")).alias("is_sql")),

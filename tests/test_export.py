@@ -77,3 +77,11 @@ def test_statement(spark, seed_a):
     run_sql(seed_a, "SELECT 1")
     execute(spark, "CREATE OR REPLACE TEMPORARY VIEW denied AS SELECT * FROM traffic WHERE status_code = 401;")
     assert spark.table("denied").count() == 1
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_nothing_to_export(spark, seed_a, tmp_path, fmt):
+    path = str(tmp_path / "none")
+    export("SELECT id, host FROM traffic WHERE id < 0", fmt, path, traffic=seed_a)
+    read = {"csv": read_csv, "json": read_json}[fmt]
+    assert read(spark, path, "id long, host string").count() == 0

@@ -123,3 +123,10 @@ def test_listing_categories_and_tree(spark):
     assert [r[0] for r in keyed.categories(rows).collect()] == ["a", "b"]
     tree = {(r["category"], r["position"]): r["name"] for r in keyed.category_tree(rows).collect()}
     assert tree == {("a", 1): "x", ("a", 2): "y", ("b", 1): "x"}
+
+
+def test_nothing_to_number(spark, events):
+    none = events.where("false")
+    assert ordered.number_rows(none, ["at"], "n", unique=False).count() == 0
+    assert ordered.running_count(none, ["host"], ["at", "id"], "n").count() == 0
+    assert keyed.append_with_ids(table(spark, [(3, "a", "x", "s")]), table(spark, []).drop("id")).count() == 1
