@@ -12,11 +12,16 @@ def first_number_to_id(column: Column) -> Column:
     return F.regexp_replace(column, r"^([^0-9]*)[0-9]+", "$1{id}")
 
 
+# Every character that Java counts as white space: also what a blank text may consist of.
+WHITE_SPACE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B),
+    0x2028, 0x2029, 0x205F, 0x3000)))
+CONTROL_AND_SPACE = "".join(map(chr, range(0x21)))
+
+
 def strip(column: Column) -> Column:
     """Cut white space of any kind from both ends."""
-    return F.regexp_replace(
-        column,
-        r"\A\p{javaWhitespace}+|(?<!\p{javaWhitespace})\p{javaWhitespace}+\z", "")
+    return F.btrim(column, F.lit(WHITE_SPACE))
 
 
 def not_blank(column: Column) -> Column:
@@ -25,7 +30,9 @@ def not_blank(column: Column) -> Column:
 
 def preview(column: Column) -> Column:
     """One line of at most 108 characters: white space collapsed, the rest cut with an ellipsis."""
-    line = F.regexp_replace(F.regexp_replace(column, r"\s+", " "), r"\A[\x00-\x20]+|(?<![\x00-\x20])[\x00-\x20]+\z", "")
+    # Single spaces, by far the most white space, are left alone.
+    spaced = F.regexp_replace(column, r"[\t\n\x0B\f\r]\s*| \s+", " ")
+    line = F.btrim(spaced, F.lit(CONTROL_AND_SPACE))
     return F.when(
         F.length(line) > P.PREVIEW_LENGTH,
         F.concat(F.substring(line, 1, P.PREVIEW_KEPT), F.lit("…")),
