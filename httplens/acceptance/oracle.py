@@ -7,7 +7,7 @@ side takes other ways. ``DISTINCT`` is left out where rows cannot repeat.
 from __future__ import annotations
 
 from httplens import patterns as P
-from httplens.acceptance.queries import PANEL_ROWS
+from httplens.acceptance.queries import LIMITED, PANEL_ROWS
 from httplens.sources import fixture
 
 BASE = "id, host, method, path, status_code"
@@ -317,6 +317,7 @@ _COUNTS_BY_HOST = " UNION ALL ".join(
 
 def _over_traffic() -> dict[str, str]:
     found = {i: _rule(i) for i in SHAPES} | GROUPED
+    found |= {f"{i}_all": found[i].rsplit(" LIMIT ", 1)[0] for i in LIMITED}
     found |= {
         "F1": _FINDINGS,
         "F2": _COUNTS,

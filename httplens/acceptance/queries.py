@@ -311,8 +311,13 @@ def _alerts(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+LIMITED = ("A4", "I3", "I4", "E3", "E5", "O2", "O3", "O4", "O5", "O7", "C1", "C2", "C3", "C4", "C5", "C6", "X3",
+           "R5", "S2", "D2", "D3", "D4", "D5", "D6", "M2", "M3", "M5")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {i: _analysis(i) for i in CATALOGUE}
+    found |= {f"{i}_all": _over_traffic(lambda t, i=i: CATALOGUE[i].run(t, limit=None)) for i in LIMITED}
     found["F1"] = _over_traffic(lambda t: _joined_findings(CATALOGUE["F1"].run(t)))
     found["F2_by_host"] = _over_traffic(lambda t: CATALOGUE["F2"].run(t, by=["host"]))
     found["M6_by_protocol"] = _over_traffic(lambda t: CATALOGUE["M6"].run(t, by=["protocol"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -23,7 +23,8 @@ def trigger(stream_writer, every: str | None):
 def create_table(spark: SparkSession, path: str, schema: StructType = TRAFFIC) -> None:
     """An empty table, unless there is one already."""
     by = [c for c in PARTITIONS if c in schema.fieldNames()]
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(path)
+    empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    empty.write.mode("ignore").partitionBy(*by).parquet(path)
 
 
 def _stored(spark: SparkSession, path: str, project_id: str | None) -> DataFrame:
@@ -75,7 +76,8 @@ def deduplicated(raw: DataFrame, within: str | None = None) -> DataFrame:
     """The normalised stream without repeated ids, kept apart by state.
 
     State holds every id ever seen, or with ``within`` only those of that
-    event-time span: bounded, but a repeat that comes later gets through.
+    event-time span: bounded, but a repeat that comes later gets through. All repeats of an
+    id travel to the task that keeps its state; ``capture`` combines them before that.
     """
     rows = normalize(raw)
     if within is None:
