@@ -41,9 +41,16 @@ class Rule:
         df = self.matches(traffic).select(*[_shown(c) for c in self.columns])
         if self.distinct:
             df = df.distinct()
-        if ordered or limit is not None:
-            df = df.orderBy(*[order_by(key) for key in self.order])
-        return df if limit is None else df.limit(limit)
+        keys = [order_by(key) for key in self.order]
+        if limit is not None:
+            return df.orderBy(*keys).limit(limit)
+        if not ordered:
+            return df
+        if self.where is not None and not self.distinct:
+            # A full sort first samples its input. What that reads twice should be the
+            # findings, shuffled once, and not the scan with its search.
+            df = df.hint("rebalance")
+        return df.orderBy(*keys)
 
 
 def _shown(column: str) -> Column:

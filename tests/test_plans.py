@@ -76,3 +76,11 @@ def test_stored_ids_are_read_in_the_span_of_the_batch(stored):
     from httplens.operators.ingest import append_new
     text = plan(append_new(stored, stored.where("id > 8")))
     assert "(id#" in text and ">= Subquery" in text and "<= Subquery" in text
+
+
+@pytest.mark.parametrize("analysis_id", ["A3", "S1", "X1"])
+def test_full_sorts_do_not_search_twice(stored, analysis_id):
+    """The sort samples an exchange that is there already, not the scan."""
+    text = plan(run(stored, analysis_id))
+    assert text.index("rangepartitioning") < text.index("REBALANCE_PARTITIONS") < text.index("Filter")
+    assert "Exchange" not in plan(run(stored, analysis_id, ordered=False))
