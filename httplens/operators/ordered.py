@@ -58,62 +58,58 @@ def number_rows(
     return placed.join(F.broadcast(offsets), "_chunk").select(*df.columns, number.alias(column))
 
 
-def _segments(placed: DataFrame, group: Sequence[str], *measures: Column) -> DataFrame:
-    """One row per group and chunk it occurs in; combined before the shuffle."""
-    return placed.groupBy(*group, "_chunk").agg(*measures)
+# Group and chunk together key all further work: rows are shuffled on them once, for the window and the
+# join alike. The group is a struct because structs are equal where their fields are both null.
+_SEGMENT = ("_group", "_chunk")
 
 
-def _across(group: Sequence[str], newest_first: bool = False):
-    order = F.desc("_chunk") if newest_first else F.asc("_chunk")
-    return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def _grouped_chunks(df: DataFrame, group: Sequence[str], order: Sequence[str], **options) -> DataFrame:
+    return in_chunks(df, [*group, *order], **options).withColumn("_group", F.struct(*group))
+
+
+def _segments(placed: DataFrame, *measures: Column) -> DataFrame:
+    """One row per group and chunk it occurs in; combined before the shuffle."""
+    return placed.groupBy(*_SEGMENT).agg(*measures)
 
 
-def _with_segments(placed: DataFrame, segments: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join on group and chunk; the group columns may be null."""
-    right = segments.select(
-        F.col("_chunk").alias("_c"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        *[c for c in segments.columns if c not in ("_chunk", *group)])
-    same = F.col("_chunk") == F.col("_c")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return placed.join(right, same).drop("_c", *[f"_g{i}" for i in range(len(group))])
+def _across(newest_first: bool = False):
+    """The segments of the same group before a segment, or after it."""
+    order = F.desc("_chunk") if newest_first else F.asc("_chunk")
+    return Window.partitionBy("_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_count(df: DataFrame, group: Sequence[str], order: Sequence[str], column: str, **options) -> DataFrame:
     """How many rows of its group there are up to and including each row."""
-    placed = in_chunks(df, [*group, *order], **options)
-    segments = _segments(placed, group, F.min("_pos").alias("_start"), F.count("*").alias("_rows"))
-    segments = segments.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(_across(group)), F.lit(0)))
+    placed = _grouped_chunks(df, group, order, **options)
+    segments = _segments(placed, F.min("_pos").alias("_start"), F.count("*").alias("_rows"))
+    segments = segments.withColumn("_before", F.coalesce(F.sum("_rows").over(_across()), F.lit(0)))
     number = F.col("_before") + F.col("_pos") - F.col("_start") + 1
-    return _with_segments(placed, segments, group).select(*df.columns, number.alias(column))
+    return placed.join(segments, list(_SEGMENT)).select(*df.columns, number.alias(column))
 
 
 def previous_value(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, column: str, **options
 ) -> DataFrame:
     """``value`` of the row before in the same group, null for the first."""
-    placed = in_chunks(df, [*group, *order], **options)
-    last = F.max_by(value, "_pos").alias("_last")
-    segments = _segments(placed, group, last).withColumn(
-        "_carried", F.lag("_last").over(Window.partitionBy(*group).orderBy("_chunk")))
-    inside = Window.partitionBy(*group, "_chunk").orderBy("_pos")
+    placed = _grouped_chunks(df, group, order, **options)
+    segments = _segments(placed, F.max_by(value, "_pos").alias("_last")).withColumn(
+        "_carried", F.lag("_last").over(Window.partitionBy("_group").orderBy("_chunk")))
+    inside = Window.partitionBy(*_SEGMENT).orderBy("_pos")
     rows = placed.withColumn("_here", F.lag(value).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1)
     found = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_here"))
-    return _with_segments(rows, segments, group).select(*df.columns, found.alias(column))
+    return rows.join(segments, list(_SEGMENT)).select(*df.columns, found.alias(column))
 
 
 def next_match(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, column: str, **options
 ) -> DataFrame:
     """The first non-null ``value`` among the later rows of the same group."""
-    placed = in_chunks(df.withColumn("_value", value), [*group, *order], **options)
+    placed = _grouped_chunks(df.withColumn("_value", value), group, order, **options)
     first = F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_pos"))).alias("_first")
-    segments = _segments(placed, group, first).withColumn(
-        "_later", F.last("_first", ignorenulls=True).over(_across(group, newest_first=True)))
-    after = Window.partitionBy(*group, "_chunk").orderBy(F.desc("_pos")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    segments = _segments(placed, first).withColumn(
+        "_later", F.last("_first", ignorenulls=True).over(_across(newest_first=True)))
+    after = Window.partitionBy(*_SEGMENT).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, -1)
     rows = placed.withColumn("_here", F.last("_value", ignorenulls=True).over(after))
     found = F.coalesce("_here", "_later")
-    return _with_segments(rows, segments, group).select(*df.columns, found.alias(column))
+    return rows.join(segments, list(_SEGMENT)).select(*df.columns, found.alias(column))

@@ -84,3 +84,23 @@ def test_full_sorts_do_not_search_twice(stored, analysis_id):
     text = plan(run(stored, analysis_id))
     assert text.index("rangepartitioning") < text.index("REBALANCE_PARTITIONS") < text.index("Filter")
     assert "Exchange" not in plan(run(stored, analysis_id, ordered=False))
+
+
+def test_lookup_by_id_reaches_the_scan(stored):
+    from httplens.operators.lookup import message_detail
+    assert "In(id, [2,3,9])" in plan(message_detail(stored, [2, 3, 9]))
+
+
+def test_ordered_work_shuffles_its_rows_once(spark, stored):
+    """One exchange feeds both the window and the join; the other sides are one row per segment."""
+    from pyspark.sql import functions as F
+    from httplens.operators.ordered import previous_value
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = stored.select("id", "host", F.unix_micros("timestamp").alias("at"))
+        text = plan(previous_value(seen, ["host"], ["at", "id"], "at", "before"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    rows_side = text.split("Exchange hashpartitioning")[1]
+    assert "SortMergeJoin" in text and "FileScan" in rows_side and "Window" not in rows_side.split("FileScan")[0]
