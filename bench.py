@@ -20,9 +20,9 @@ from httplens.operators.ingest import normalize, upsert_ignore
 from httplens.operators.lookup import message_detail
 from httplens.plans.adhoc import run_sql
 from httplens.plans.catalogue import CATALOGUE
-from httplens.schema import RAW_EXCHANGE
 from httplens.session import build_session, scratch_path
 from httplens.sources import fixture
+from httplens.sources.exchanges import read_exchanges, stream_exchanges
 from httplens.sources.export import export, read_csv, read_json
 from httplens.sources.traffic import load_project, load_traffic, save_project
 from httplens.streaming.capture import append_to, capture, deduplicated
@@ -55,7 +55,7 @@ def _round_trip(spark: SparkSession, traffic: DataFrame, fmt: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], raw_path: str) -> DataFrame:
-    stream = make(spark.readStream.schema(RAW_EXCHANGE).parquet(raw_path))
+    stream = make(stream_exchanges(spark, raw_path))
     path = scratch_path(spark, "bench-stream")
     append_to(stream, path, scratch_path(spark, "bench-checkpoint"), every=None).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -63,7 +63,7 @@ def _drained(spark: SparkSession, make: Callable[[DataFrame], DataFrame], raw_pa
 
 def _captured(spark: SparkSession, raw_path: str) -> DataFrame:
     path = scratch_path(spark, "bench-capture")
-    raw = spark.readStream.schema(RAW_EXCHANGE).parquet(raw_path)
+    raw = stream_exchanges(spark, raw_path)
     capture(raw, path, scratch_path(spark, "bench-checkpoint"), every=None).awaitTermination()
     return load_traffic(spark, path)
 
@@ -78,7 +78,7 @@ def _headline(spark: SparkSession, traffic: DataFrame, raw_path: str) -> dict[st
     found = {i: (lambda a=a: a.run(traffic)) for i, a in CATALOGUE.items()}
     found |= {i: (lambda t=text: run_sql(traffic, t)) for i, text in SQL.items()}
     found |= {i: (lambda q=ordered_query: q(traffic)) for i, ordered_query in ORDERED.items()}
-    whole, raw = queries(), spark.read.schema(RAW_EXCHANGE).parquet(raw_path)
+    whole, raw = queries(), read_exchanges(spark, raw_path)
     found |= {i: (lambda q=whole[i]: q(spark, SF_DIR)) for i in FROM_TABLES}
     return found | {
         "V1": lambda: message_detail(traffic, traffic.where("status_code >= 500")),

@@ -6,6 +6,7 @@ from conftest import SEED_A, exchange, raw_frame
 from httplens.operators.ingest import append_new, first_per_key, normalize, upsert_ignore
 from httplens.operators.lookup import default_listing, message_detail
 from httplens.schema import TRAFFIC
+from httplens.sources.exchanges import parse_exchanges, read_exchanges
 from httplens.sources.traffic import load_project, load_traffic, save_project
 
 
@@ -96,3 +97,14 @@ def test_load_keeps_column_order(spark, seed_a, tmp_path):
     seed_a.select(*reversed(seed_a.columns)).write.parquet(path)
     df = load_traffic(spark, path)
     assert df.columns == TRAFFIC.fieldNames() and df.count() == len(SEED_A)
+
+
+def test_exchanges_from_files_and_texts(spark, tmp_path):
+    raw = raw_frame(spark, SEED_A)
+    for fmt in ("parquet", "json"):
+        path = str(tmp_path / fmt)
+        raw.write.format(fmt).save(path)
+        assert sorted(map(str, read_exchanges(spark, path, fmt).collect())) == sorted(map(str, raw.collect()))
+    texts = raw.selectExpr("to_json(struct(*)) AS value").unionByName(
+        spark.createDataFrame([("not json",), ("{}",), (None,)], "value string"))
+    assert sorted(map(str, parse_exchanges(texts).collect())) == sorted(map(str, raw.collect()))
