@@ -10,11 +10,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as driver  # noqa: E402
+from httplens import acceptance  # noqa: E402
+from httplens.acceptance import oracle, queries  # noqa: E402,F401
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = acceptance.queries.queries(), acceptance.oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,10 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_the_driver_gets_them_all():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
