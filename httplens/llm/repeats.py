@@ -166,7 +166,7 @@ def remove_repeats(
     of two equal rows the second is removed whole (where it has ``length`` words).
     """
     rows, is_key = identified(docs.select(key, text), key, [text])
-    texts = rows.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = rows.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text")).where("row_id IS NOT NULL")
     picked = texts.mapInArrow(
         lambda b: _picked(b, length, seed), "seed long, run long, row_id long, start int")
     # One exchange by seed serves both the firsts and the number of runs per seed.
@@ -176,14 +176,13 @@ def remove_repeats(
     lists = firsts.groupBy("row_id").agg(
         F.collect_list(F.when(F.col("sure"), F.col("start"))).alias("sure"),
         F.collect_list(F.when(~F.col("sure"), F.col("start"))).alias("unsure"))
-    # Both joins below use the same exchange of the texts.
-    owned = texts.join(lists.select("row_id", "unsure"), "row_id", "left").where(F.size("unsure") > 0)
-    owned = owned.select("row_id", "text", "unsure").mapInArrow(
+    # Both uses read the same exchanges of texts and lists: same columns, same filters.
+    both = texts.join(lists, "row_id", "left")
+    owned = both.where(F.size("unsure") > 0).select("row_id", "text", "unsure", "sure").mapInArrow(
         lambda b: _extended(b, length, seed), "seed long, window long, row_id long, start int")
     earliest = owned.groupBy("seed", "window").agg(F.min(F.struct("row_id", "start")).alias("first"))
     earliest = earliest.groupBy("first.row_id").agg(F.collect_list("first.start").alias("earliest"))
-    found = texts.join(lists.select("row_id", "sure"), "row_id", "left").join(earliest, "row_id", "left")
-    kept = found.select("row_id", "text", "sure", "earliest").mapInArrow(
+    kept = both.join(earliest, "row_id", "left").select("row_id", "text", "sure", "earliest", "unsure").mapInArrow(
         lambda b: _kept(b, length, seed),
         "row_id long, n_words long, repeats array<struct<start:int, end:int>>, kept string")
     return named(kept, rows, key, is_key).select(key, "n_words", "repeats", "kept")
