@@ -60,10 +60,14 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     own = pages.select(
         F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     own = own.withColumn("same", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
-    first = own.where("id IS NOT NULL").groupBy("same").agg(F.min("id").alias("first"))
-    own = own.join(first, "same", "left")
-    revisits = (F.col("bytes") >= min_revisit_bytes) & (F.col("first") < F.coalesce("id", F.lit((1 << 63) - 1)))
-    own = own.withColumn("refers_to", F.when(revisits, F.col("first")))
+    # Who refers to whom is found on narrow rows. The payloads themselves are shuffled only where the revisits
+    # are too many for Spark to broadcast by its own size check.
+    sent = own.where(F.col("bytes") >= min_revisit_bytes).select("id", "same")
+    first = sent.where("id IS NOT NULL").groupBy("same").agg(F.min("id").alias("refers_to"))
+    again = sent.join(first, "same").where("id IS NULL OR id > refers_to").distinct().select(
+        F.col("id").alias("again_id"), F.col("same").alias("again_same"), "refers_to")
+    own = own.join(again, (F.col("same") == F.col("again_same")) & F.col("id").eqNullSafe(F.col("again_id")), "left")
+    revisits = F.col("refers_to").isNotNull()
     address = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("bytes").cast("string"), F.lit(END))
@@ -84,9 +88,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     return own.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """The records of ``pages`` as archive files of about the session's advisory partition size."""
-    records(pages, **options).hint("rebalance").write.option("lineSep", END).text(path)
+def write_archives(pages: DataFrame, path: str, max_records: int = 10_000, **options) -> None:
+    """The records of ``pages`` as archive files of at most ``max_records`` each, as a reader's task holds one file."""
+    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -114,15 +118,17 @@ def _urn(value: str | None) -> str | None:
     return value[1 + len(_URN):-1] if value else None
 
 
-def parse_record(data: bytes) -> tuple:
-    """What :data:`RECORD` lists of one record; a response's digest and length are checked against its payload."""
+def parse_record(data: bytes, whole: bool = True) -> tuple:
+    """What :data:`RECORD` lists of one record; a response's digest and length are checked against its payload.
+
+    Without ``whole`` only headers are read, and the payload is left out.
+    """
     headers, body = _headers(data, 0)
-    block = data[body:body + int(headers["content-length"])]
-    http, start = _headers(block, 0)
+    http, start = _headers(data, body)
     size, digest = int(http["content-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
     payload = None
-    if headers["warc-type"] == "response":
-        payload = block[start:]
+    if whole and headers["warc-type"] == "response":
+        payload = data[start:body + int(headers["content-length"])]
         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
             raise ValueError(f"damaged record {headers['warc-record-id']}")
     return (_urn(headers["warc-record-id"]), headers["warc-type"], _urn(headers.get("warc-refers-to")),
@@ -154,7 +160,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_buffer().to_pybytes()
-                yield _rows([(file, at, n, *parse_record(data[at:at + n])[:-1]) for at, n in _records_in(data)], schema)
+                yield _rows([(file, at, n, *parse_record(data[at:at + n], whole=False)[:-1]) for at, n in _records_in(data)], schema)
 
     return files(spark, path).mapInArrow(scan, CAPTURE)
 
