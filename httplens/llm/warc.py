@@ -8,7 +8,8 @@ The index sorts captures by reversed-host URL key (``com,example)/path``) and re
 blocks. A sparse directory keeps the first key of each block. A lookup searches the directory, opens only the
 blocks found, searches in them, and reads only the byte ranges they name.
 
-A task holds one archive file, one block, or a part of the directory of at most ``max_directory`` rows.
+A task holds one archive file and the ranges wanted of it, one block, or a part of the directory of at most
+``max_directory`` rows. Archives are shuffled to their ranges only where the ranges are too many for Spark to broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from httplens.session import stage
+
 BLOCK_LINES = 300
 MAX_DIRECTORY = 500_000
 
@@ -59,13 +62,13 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     """
     own = pages.select(
         F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    own = own.withColumn("same", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
-    # Who refers to whom is found on narrow rows. The payloads themselves are shuffled only where the revisits
-    # are too many for Spark to broadcast by its own size check.
+    own = own.withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.octet_length("payload"))
+    # Who refers to whom is found on narrow rows, written so that Spark knows their size. The payloads themselves
+    # are shuffled only where the revisits are too many for Spark to broadcast by its own size check.
     sent = own.where(F.col("bytes") >= min_revisit_bytes).select("id", "same")
     first = sent.where("id IS NOT NULL").groupBy("same").agg(F.min("id").alias("refers_to"))
-    again = sent.join(first, "same").where("id IS NULL OR id > refers_to").distinct().select(
-        F.col("id").alias("again_id"), F.col("same").alias("again_same"), "refers_to")
+    again = stage(sent.join(first, "same").where("id IS NULL OR id > refers_to").distinct().select(
+        F.col("id").alias("again_id"), F.col("same").alias("again_same"), "refers_to"), "revisits")
     own = own.join(again, (F.col("same") == F.col("again_same")) & F.col("id").eqNullSafe(F.col("again_id")), "left")
     revisits = F.col("refers_to").isNotNull()
     address = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -301,19 +304,13 @@ def lookup(wanted: DataFrame, archives: str, index: str, url: str = "url", recor
             yield _rows(out, ranges_schema)
 
     ranges = _beside(blocks, found, "block").mapInArrow(search, "file string, offset long, length long")
+    found_in = stage(ranges.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")), "ranges")
     record_schema = _arrow(RECORD)
 
     def read(batches):
-        current, data = None, b""
         for batch in batches:
-            out = []
-            contents = batch.column("content")
-            for k, (file, asks, offset, length) in enumerate(
-                    zip(*(batch.column(c).to_pylist() for c in ("file", "asks", "offset", "length")))):
-                if not asks:
-                    current, data = file, contents[k].as_buffer().to_pybytes()
-                elif file == current:
-                    out.append(parse_record(data[offset:offset + length]))
-            yield _rows(out, record_schema)
+            for content, places in zip(batch.column("content"), batch.column("ranges")):
+                data = memoryview(content.as_buffer())
+                yield _rows([parse_record(bytes(data[r["offset"]:r["offset"] + r["length"]])) for r in places.as_py()], record_schema)
 
-    return _beside(files(spark, archives), ranges, "file").mapInArrow(read, RECORD)
+    return files(spark, archives).join(found_in, "file").select("content", "ranges").mapInArrow(read, RECORD)
