@@ -83,6 +83,17 @@ def test_blocks_lose_no_link(spark):
     assert wide == narrow and [r.n_links for r in wide[:60]] == [59] * 60
 
 
+def test_issued_keys_are_redacted_and_addresses_stay(spark):
+    keys = [f"ghp_{i:02d}aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3z" for i in range(30)]
+    some = [(i, f"api_key = '{k}' end") for i, k in enumerate(keys)]
+    some += [(100 + i, f"write to someone.{i}@mail{i}.example.com or see 10.20.30.{100 + i} today") for i in range(30)]
+    docs = frame(spark, some)
+    clean = docs.select("doc_id", secrets.redacted("text", secrets.scored("text", *secrets.scanner(docs))).alias("text"))
+    texts = dict(clean.collect())
+    assert all(texts[i] == f"api_key = '{secrets.REDACTED}' end" for i in range(30))
+    assert all(texts[k] == t for k, t in some[30:])
+
+
 def tree(spark, some):
     importable(spark)
     return spark.createDataFrame(some, "t long, n long, p long, role string, text string, score double")
