@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 # Words of the contamination rule: letters and digits of ASCII, and everything beyond ASCII.
 ALNUM = np.zeros(256, bool)
