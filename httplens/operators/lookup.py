@@ -13,12 +13,13 @@ def message_detail(traffic: DataFrame, ids: DataFrame | Iterable[int]) -> DataFr
     """``id``, request text and response text for each known id.
 
     ``ids`` is a short list, pushed down to the scan, or any result with an ``id``
-    column, semi-joined; Spark broadcasts it only if it turns out small.
+    column in any case, semi-joined; Spark broadcasts it only if it turns out small.
     """
     if isinstance(ids, DataFrame):
-        if "id" not in ids.columns:
+        named = [c for c in ids.columns if c.lower() == "id"]
+        if not named:
             raise ValueError("no message detail: the result has no 'id' column")
-        wanted = traffic.join(ids.select("id").where("id IS NOT NULL").distinct(), "id", "left_semi")
+        wanted = traffic.join(ids.select(F.col(named[0]).alias("id")).where("id IS NOT NULL").distinct(), "id", "left_semi")
     else:
         wanted = traffic.where(F.col("id").isin([i for i in ids if i is not None]))
     return wanted.select(

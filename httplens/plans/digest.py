@@ -111,7 +111,10 @@ def digest(traffic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     for name, line in lines.items():
         column = f"_{name}"
         if by:
-            df = df.join(line.withColumnRenamed("line", column), list(by), "left")
+            # A null group is a group as well.
+            own = line.select(*[F.col(c).alias(f"{column}_{c}") for c in by], F.col("line").alias(column))
+            same = [F.col(c).eqNullSafe(F.col(f"{column}_{c}")) for c in by]
+            df = df.join(own, same, "left")
         else:
             df = df.withColumn(column, line.scalar())
     number = lambda name: F.col(name).cast("string")

@@ -2,7 +2,10 @@
 
 import pytest
 
+from httplens.operators.lookup import message_detail
+from httplens.plans import rollups
 from httplens.plans.catalogue import CATALOGUE, run
+from httplens.plans.digest import digest
 from httplens.sources.traffic import load_traffic
 
 
@@ -104,3 +107,19 @@ def test_ordered_work_shuffles_its_rows_once(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     rows_side = text.split("Exchange hashpartitioning")[1]
     assert "SortMergeJoin" in text and "FileScan" in rows_side and "Window" not in rows_side.split("FileScan")[0]
+
+
+def test_interesting_paths_are_searched_before_the_shuffle(seed_a):
+    plan = rollups.interesting_path_panel(seed_a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+
+
+def test_null_groups_have_a_digest(spark, seed_a):
+    traffic = seed_a.selectExpr("* EXCEPT (host)", "nullif(host, 'other.com') AS host")
+    found = {r.host: r.digest for r in digest(traffic, ["host"]).collect()}
+    assert None in found and all(found.values())
+
+
+def test_detail_by_an_id_column_of_any_case(spark, seed_a):
+    ids = seed_a.where("status_code = 401").selectExpr("id AS ID")
+    assert [r.id for r in message_detail(seed_a, ids).collect()] == [3]
