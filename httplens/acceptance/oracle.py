@@ -160,24 +160,24 @@ GROUPED = {
 
 def _digest(rows: str) -> str:
     """The digest of one set of rows, put together from ranked parts."""
-    def top(column: str, n: int) -> str:
+    def top(column: str, n: int | None) -> str:
+        limit = "" if n is None else f"LIMIT {n}"
         return f"""(SELECT string_agg({column} || '(' || n || ')', ' ' ORDER BY n DESC, {column}) FROM (
                     SELECT {column}, count(*) AS n FROM {rows} GROUP BY {column}
-                    ORDER BY n DESC, {column} LIMIT {n}))"""
+                    ORDER BY n DESC, {column} {limit}))"""
     recent = f"""(SELECT string_agg(method || ' ' || path || '→' || status_code, ', ' ORDER BY id DESC)
                   FROM (SELECT * FROM {rows} ORDER BY id DESC LIMIT 10))"""
     return f"""count(*) || ' reqs | ' || count(DISTINCT host) || ' hosts | ' || count(DISTINCT method)
         || ' methods | ' || count(CASE WHEN {DENIED} THEN 1 END) || ' auth_fails | '
         || count(CASE WHEN status_code >= 500 THEN 1 END) || ' server_errs' || chr(10)
         || 'hosts: ' || {top('host', 5)} || chr(10) || 'status: ' || {top('status_code', 8)} || chr(10)
-        || 'methods: ' || {top('method', 1000)} || chr(10) || 'recent: ' || {recent} || chr(10) AS digest"""
+        || 'methods: ' || {top('method', None)} || chr(10) || 'recent: ' || {recent} || chr(10) AS digest"""
 
 
 TIME = "strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp"
 ALL = ("id, {time}, host, port, protocol, method, path, status_code, req_headers, req_body, "
        "resp_headers, resp_body, resp_length")
 ALL_READABLE = ALL.format(time=TIME)
-UNTIMED = ALL.format(time="").replace(", ,", ",")
 
 _NORMALIZED_RESP_HEADERS = (
     """'{"Content-Type":"text/html","Set-Cookie":"u=\\"' || CAST(u AS VARCHAR) || '\\"","Set-Cookie":"p=C:\\\\'"""
@@ -289,9 +289,7 @@ def _panels() -> str:
 
 _TIMELINE = """
     SELECT strftime(timestamp, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM traffic
-    GROUP BY date_trunc('minute', timestamp), 1
-    HAVING date_trunc('minute', timestamp) + INTERVAL 1 MINUTE
-           <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM traffic)
+    GROUP BY 1
 """
 
 _ALERTS = f"""
@@ -300,7 +298,6 @@ _ALERTS = f"""
         SELECT host, path, date_trunc('day', timestamp) - to_days(k) AS start
         FROM refused, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k))
     SELECT strftime(start, '%Y-%m-%d %H:%M') AS since, host, path, count(*) AS failures FROM spans
-    WHERE start + INTERVAL 10 DAY <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM refused)
     GROUP BY start, host, path HAVING count(*) >= 3
 """
 
@@ -324,12 +321,14 @@ def _over_traffic() -> dict[str, str]:
         "F2_by_host": _COUNTS_BY_HOST,
         "M6": f"SELECT {_digest('traffic')} FROM traffic",
         "T-1": f"SELECT {ALL_READABLE} FROM traffic",
-        "T-6": f"SELECT {UNTIMED} FROM traffic",
-        "T-7": f"SELECT {UNTIMED} FROM traffic",
+        "T-6": f"SELECT {ALL_READABLE} FROM traffic",
+        "T-7": f"SELECT {ALL_READABLE} FROM traffic",
+        "T-2_rejects": """SELECT id, CASE id % 6 WHEN 1 THEN 'not an exchange' WHEN 2 THEN 'not an exchange'
+                                 WHEN 3 THEN 'no id' WHEN 4 THEN 'no text' ELSE 'kept' END AS outcome FROM traffic""",
         "T-8": f"SELECT {ALL_READABLE} FROM traffic",
         "T-9": "SELECT host, method, count(*) AS requests, max(resp_length) AS largest FROM traffic GROUP BY 1, 2",
         "T-11": "SELECT id, host, method, path, status_code, resp_length FROM traffic ORDER BY id DESC LIMIT 100",
-        "T-12": f"SELECT {ALL_READABLE.replace('resp_body, ', '')} FROM traffic WHERE method = 'POST'",
+        "T-12": f"SELECT {ALL_READABLE} FROM traffic WHERE method = 'POST'",
         "T-5": f"SELECT {_DETAIL} FROM traffic",
         "V1": f"SELECT {_DETAIL} FROM traffic WHERE status_code >= 500",
         "Q-0": _rule("X1"),
@@ -378,10 +377,10 @@ def oracle_sql() -> dict[str, str]:
         for name in ("http", "https"))
     for name in ("T-2", "T-4"):
         found[name] = f"WITH {normalized} SELECT {ALL_READABLE} FROM captured"
-    found["W-1"] = f"WITH {normalized} SELECT {ALL_READABLE.replace('resp_body, ', '')} FROM captured"
+    found["W-1"] = f"WITH {normalized} SELECT {ALL_READABLE} FROM captured"
     found |= {
         "T-10": "SELECT doc_id, text, lang, source, n_chars FROM documents",
-        "K-1": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        "K-1": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate,
                          row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS row_no
                   FROM lineitem""",
         "K-2": f"""WITH {_REPLIES}, {_SAVED}, suggestions AS (

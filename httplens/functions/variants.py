@@ -8,10 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from httplens.functions.strings import not_blank
 
-# A text may be wrapped as {"value": ...} or {"text": ...}, and that again.
-_MAX_WRAPS = 4
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` worked out once, however often it is mentioned."""
     return F.transform(F.array(value), body)[0]
@@ -42,12 +38,19 @@ def _either(node: Column, first: str, second: str) -> Column:
     return let(_get(node, f"$.{first}"), lambda m: F.when(_present(m), m).otherwise(_get(node, f"$.{second}")))
 
 
-def node_text(node: Column, wraps: int = _MAX_WRAPS) -> Column:
-    """The text of a node: a string itself, or what its ``value`` or else ``text`` holds."""
-    def read(n: Column) -> Column:
-        inner = node_text(_either(n, "value", "text"), wraps - 1) if wraps else F.lit("")
-        return F.when(_is_text(n), _text(n)).otherwise(inner)
-    return let(node, read)
+def _objects(node: Column) -> Column:
+    """How many objects a node can hold inside each other: as often as its JSON opens one."""
+    json = F.to_json(node)
+    opened = F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit("")))
+    return F.when(_is_text(node), 0).otherwise(opened)
+
+
+def node_text(node: Column) -> Column:
+    """The text of a node: a string itself, or what its ``value`` or else ``text`` holds, however deep."""
+    def inmost(n: Column) -> Column:
+        return F.aggregate(
+            F.array_repeat(F.lit(0), _objects(n)), n, lambda at, _: F.coalesce(_either(at, "value", "text"), at))
+    return let(let(node, inmost), lambda n: F.when(_is_text(n), _text(n)).otherwise(""))
 
 
 def _part_text(part: Column) -> Column:

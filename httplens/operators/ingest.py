@@ -11,9 +11,12 @@ from httplens.schema import TRAFFIC
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """Raw exchanges in the traffic layout; row by row, so batch and stream alike."""
+    """Raw exchanges in the traffic layout; row by row, so batch and stream alike.
+
+    An exchange without a time gets that of the batch it arrives in.
+    """
     derived = {
-        "timestamp": F.col("ts").cast("timestamp"),
+        "timestamp": F.coalesce(F.col("ts").cast("timestamp"), F.current_timestamp()),
         "protocol": F.when(F.col("secure"), "https").otherwise("http"),
         "req_headers": header_json(F.col("req_headers")),
         "resp_headers": header_json(F.col("resp_headers")),
@@ -26,13 +29,15 @@ def normalize(raw: DataFrame) -> DataFrame:
 def first_per_key(
     df: DataFrame, key: Sequence[str] = ("id",), arrival: Sequence[str] = ("timestamp",)
 ) -> DataFrame:
-    """One whole row per key, the one that arrived first.
+    """One whole row per key, the one that arrived first, rows without a time last. Where times
+    are equal a digest of the row decides, so that the choice does not hang on the partitioning.
 
     ``min_by`` is combined on the map side, so a message replayed millions of times
     reaches the reducer as one row per task.
     """
     rest = [c for c in df.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*arrival))
+    times = [part for c in arrival for part in (F.col(c).isNull(), F.col(c))]
+    first = F.min_by(F.struct(*rest), F.struct(*times, F.xxhash64(*rest)))
     return df.groupBy(*key).agg(first.alias("_first")).select(*key, "_first.*").select(*df.columns)
 
 

@@ -12,16 +12,16 @@ KEY_ORDER = ("category", "name", "sql_text")
 
 
 def new_ids(existing: DataFrame, new_rows: DataFrame, id_col: str = "id",
-            order: Sequence[str] = KEY_ORDER, unique: bool = False) -> DataFrame:
-    """``new_rows`` numbered from the highest stored id on."""
+            order: Sequence[str] = KEY_ORDER, unique: bool = False, chunks: int | None = None) -> DataFrame:
+    """``new_rows`` numbered from the highest stored id on, sorted in ``chunks`` tasks."""
     highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    return number_rows(new_rows, order, id_col, after=highest, unique=unique)
+    return number_rows(new_rows, order, id_col, after=highest, unique=unique, chunks=chunks)
 
 
 def append_with_ids(existing: DataFrame, new_rows: DataFrame, id_col: str = "id",
-                    order: Sequence[str] = KEY_ORDER, unique: bool = False) -> DataFrame:
+                    order: Sequence[str] = KEY_ORDER, unique: bool = False, chunks: int | None = None) -> DataFrame:
     """The table after the append. ``unique`` says that ``order`` has no ties."""
-    numbered = new_ids(existing, new_rows, id_col, order, unique)
+    numbered = new_ids(existing, new_rows, id_col, order, unique, chunks)
     return existing.unionByName(numbered.select(*existing.columns))
 
 
@@ -42,21 +42,27 @@ def export_definitions(table: DataFrame, path: str) -> None:
      .write.option("ignoreNullFields", False).json(path))
 
 
-def import_definitions(existing: DataFrame, path: str, unique: bool = False) -> DataFrame:
-    """The table after importing an export; imported rows get fresh ids."""
-    rows = existing.sparkSession.read.schema(
-        "category string, name string, sql_text string").json(path)
-    return append_with_ids(existing, rows, unique=unique)
+def import_definitions(existing: DataFrame, path: str, unique: bool = False, multi_line: bool = False,
+                       chunks: int | None = None) -> DataFrame:
+    """The table after importing an export; imported rows get fresh ids.
+
+    Columns are found by name. With ``multi_line`` each file holds one array. A line that is no
+    definition, or one without category, name or text, stops the import: no column of the table may be null.
+    """
+    rows = existing.sparkSession.read.schema("category string, name string, sql_text string").options(
+        mode="FAILFAST", multiLine=multi_line).json(path)
+    given = [F.coalesce(c, F.raise_error(F.lit(f"a definition without {c}"))).alias(c) for c in rows.columns]
+    return append_with_ids(existing, rows.select(*given), unique=unique, chunks=chunks)
 
 
 def categories(table: DataFrame) -> DataFrame:
     return table.select("category").distinct().orderBy("category")
 
 
-def category_tree(table: DataFrame) -> DataFrame:
+def category_tree(table: DataFrame, chunks: int | None = None) -> DataFrame:
     """Each entry with its place in its category, names in order.
 
     Entries stay rows: a category may hold a third of the table, too much for one list.
     """
     return running_count(
-        table.select("category", "name", "id"), ["category"], ["name", "id"], "position")
+        table.select("category", "name", "id"), ["category"], ["name", "id"], "position", chunks=chunks)

@@ -56,11 +56,15 @@ def statuses(traffic: DataFrame, limit=None) -> DataFrame:
 
 
 def timeline(traffic: DataFrame, limit: int | None = 60) -> DataFrame:
-    """Requests per minute, newest first. Groups by the minute itself; the label is made per group."""
+    """Requests per minute, newest first."""
+    return _finish(timeline_counts(traffic), ("-minute",), limit)
+
+
+def timeline_counts(traffic: DataFrame) -> DataFrame:
+    """Groups by the minute itself; the label is made per group."""
     minutes = traffic.groupBy(F.date_trunc("minute", "timestamp").alias("m")).agg(
         F.count("*").alias("requests"))
-    df = minutes.select(F.date_format("m", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
-    return _finish(df, ("-minute",), limit)
+    return minutes.select(F.date_format("m", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
 
 
 def _mixed(traffic: DataFrame, ok: str, denied: str, limit) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,22 +23,11 @@ def build_session(master: str | None = None, app: str = "httplens", **conf: str)
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="httplens-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors are one process, may go
-    without the setting; it then gets a folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, which has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 

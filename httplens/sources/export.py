@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from httplens.plans.adhoc import run_sql
 
@@ -12,16 +14,24 @@ _CSV = {
     "header": True, "escape": '"', "lineSep": "\n",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
+# Times are written to the microsecond; reading takes any ISO time.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With header. Empty text is written quoted, no value as nothing."""
-    df.write.options(**_CSV).csv(path)
+    """With header. Empty text is written quoted, no value as nothing.
+
+    In a table of one column a null is written as empty text, because a line with nothing in it is no row.
+    """
+    if len(df.columns) == 1:
+        only = df.columns[0]
+        df = df.select(F.coalesce(df[only].cast("string"), F.lit("")).alias(only))
+    df.write.options(**_CSV, **_TIMES).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """Newline-delimited, with null fields written out."""
-    df.write.option("ignoreNullFields", False).json(path)
+    df.write.options(ignoreNullFields=False, **_TIMES).json(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -48,10 +58,11 @@ def export(result: DataFrame | str, fmt: str, path: str, traffic: DataFrame | No
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Reads back what ``write_csv`` wrote, line breaks in values and empty texts included.
 
-    The value standing for null is one no text can hold, so that only a field with nothing in it is null.
+    The mark the reader puts for null is drawn anew for each read, after the texts were written,
+    so that only a field with nothing in it is null.
     """
     return (spark.read.schema(schema).options(**_CSV)
-            .option("multiLine", True).option("nullValue", "\uffff").csv(path))
+            .option("multiLine", True).option("nullValue", uuid.uuid4().hex).csv(path))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

@@ -140,8 +140,9 @@ RESPONSE = """CASE conv_id % 9
     WHEN 3 THEN '{"choices":[{"text":' || q || '}]}'
     WHEN 4 THEN '{"output":[{"type":"reasoning","content":"skip"},{"type":"message","content":[{"text":'
                 || q || '}]},{"type":"message","content":"more"}]}'
-    WHEN 5 THEN '{"error":{"message":' || q || '}}'
-    WHEN 6 THEN '{"message":{"content":{"text":{"value":' || q || '}}}}'
+    WHEN 5 THEN '{"error":{"message":' || repeat('{"value":', turn % 13) || q || repeat('}', turn % 13) || '}}'
+    WHEN 6 THEN '{"message":{"content":' || repeat('{"text":', 1 + (conv_id + turn) % 12) || q
+                || repeat('}', 1 + (conv_id + turn) % 12) || '}}'
     WHEN 7 THEN '{}' ELSE 'not json' END"""
 
 

@@ -10,29 +10,68 @@ from pyspark.sql.streaming import StreamingQuery
 from httplens import patterns as P
 from httplens.operators.findings import tag_findings
 from httplens.operators.ingest import normalize
+from httplens.plans import rollups
 from httplens.plans.rollups import PANELS
-from httplens.streaming.capture import capture
+from httplens.streaming.capture import capture, trigger
 
 
-def live_timeline(traffic: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Requests per minute; a minute is given out once no more rows are expected for it."""
-    counted = traffic.withWatermark("timestamp", late).groupBy(
-        F.window("timestamp", "1 minute")).agg(F.count("*").alias("requests"))
-    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
+def live_timeline(traffic: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """Requests per minute, kept at ``path`` and read with ``latest_timeline``: open minutes and late rows count."""
+    return keep_counts(traffic, rollups.timeline_counts, path, checkpoint, every)
 
 
-def auth_failure_alerts(
-    traffic: DataFrame, late: str = "10 minutes", span: str = "5 minutes",
-    slide: str = "1 minute", at_least: int = 3,
-) -> DataFrame:
-    """Host and path with ``at_least`` refusals within a sliding span."""
+def latest_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """The timeline of all that has arrived, the same as that of the whole traffic."""
+    return _added_up(spark, path, "minute string, requests long", "requests")
+
+
+def auth_failure_counts(traffic: DataFrame, span: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Refusals per host and path in each sliding span."""
     refused = traffic.where(F.col("status_code").isin(*P.DENIED_STATUSES))
-    counted = refused.withWatermark("timestamp", late).groupBy(
-        F.window("timestamp", span, slide), "host", "path").agg(F.count("*").alias("failures"))
-    return counted.where(F.col("failures") >= at_least).select(
+    counted = refused.groupBy(F.window("timestamp", span, slide), "host", "path").agg(F.count("*").alias("failures"))
+    return counted.select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("since"), "host", "path", "failures")
 
 
+def auth_failure_alerts(
+    traffic: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds",
+    span: str = "5 minutes", slide: str = "1 minute",
+) -> StreamingQuery:
+    """Refusals per span, kept at ``path`` and read with ``latest_alerts``."""
+    return keep_counts(traffic, lambda batch: auth_failure_counts(batch, span, slide), path, checkpoint, every)
+
+
+def latest_alerts(spark: SparkSession, path: str, at_least: int = 3) -> DataFrame:
+    """Host and path with ``at_least`` refusals within a span, spans that are still open included."""
+    counted = _added_up(spark, path, "since string, host string, path string, failures long", "failures")
+    return counted.where(F.col("failures") >= at_least)
+
+
+def keep_counts(
+    stream: DataFrame, counted: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+    every: str | None = "30 seconds",
+) -> StreamingQuery:
+    """Store the counts of each batch in a folder of its own, a few rows instead of the traffic.
+
+    A batch delivered again replaces its folder, so it counts once; no state is kept, no row comes too late.
+    A path belongs to one checkpoint.
+    """
+    spark = stream.sparkSession
+    counted(spark.createDataFrame([], stream.schema)).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        counted(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return trigger(writer, every).start()
+
+
+def _added_up(spark: SparkSession, path: str, schema: str, count: str) -> DataFrame:
+    parts = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    by = [c for c in parts.columns if c not in (count, "batch")]
+    return parts.groupBy(*by).agg(F.sum(count).alias(count))
+
+
 def live_findings(raw: DataFrame) -> DataFrame:
     """The rules matched by each request, as it arrives."""
     return tag_findings(normalize(raw))

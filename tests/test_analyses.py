@@ -25,26 +25,26 @@ def test_catalogue_is_complete():
 
 
 def test_auth_failures_newest_first(seed_a):
-    assert rows(run(seed_a, "A1")) == [(3, "example.com", "GET", "/admin", 401)]
+    assert rows(run(seed_a, "A1")) == [(3, "shop.test", "GET", "/staff", 403)]
 
 
 def test_mixed_auth(seed_a):
-    assert rows(run(seed_a, "A2")) == [("/admin", 1, 1)]
+    assert rows(run(seed_a, "A2")) == [("/staff", 1, 1)]
     assert run(seed_a, "O1").columns == ["path", "ok_200", "denied"]
 
 
 def test_non_get(seed_a):
-    assert {r[0] for r in rows(run(seed_a, "I1"))} == {"POST", "PUT", "DELETE"}
+    assert {r[0] for r in rows(run(seed_a, "I1"))} == {"POST", "PATCH", "PROPFIND", "DELETE"}
 
 
 def test_largest_first(seed_a):
     lengths = [r["resp_length"] for r in run(seed_a, "E3").collect()]
-    assert lengths == sorted(lengths, reverse=True) and lengths[0] == 50_000
+    assert lengths == sorted(lengths, reverse=True) and lengths[0] == 40_000
 
 
 def test_numeric_ids(seed_a):
     found = {(r["host"], r["path_pattern"], r["id_variations"]) for r in run(seed_a, "S2").collect()}
-    assert found == {("api.example.com", "/api/user/{id}", 1), ("other.com", "/items/{id}", 1)}
+    assert found == {("pay.test", "/invoices/{id}", 1), ("cdn.test", "/files/{id}", 1)}
 
 
 def test_first_number_only(spark, seed_a):
@@ -83,14 +83,14 @@ def test_traversal_quirk(seed_a):
 
 def test_panels(seed_b):
     assert rows(run(seed_b, "D1")) == [(10, 3)]
-    assert rows(run(seed_b, "D2")) == [("/admin", 2, 1), ("/secure", 1, 1)]
-    assert rows(run(seed_b, "D3")) == [("api.example.com", "/crash", 500, 1)]
+    assert rows(run(seed_b, "D2")) == [("/config", 2, 1), ("/ledger", 1, 1)]
+    assert rows(run(seed_b, "D3")) == [("pay.test", "/report", 503, 1)]
     assert {r["method"] for r in run(seed_b, "D4").collect()} == {"POST", "PUT"}
-    assert run(seed_b, "D5").first()["resp_length"] == 999_999
+    assert run(seed_b, "D5").first()["resp_length"] == 800_000
     paths = {r["path"] for r in run(seed_b, "D6").collect()}
-    assert paths == {"/admin", "/debug"}
+    assert paths == {"/config", "/backup.tar"}
     hosts = {r["host"]: r for r in run(seed_b, "D7").collect()}
-    assert len(hosts) == 3 and hosts["api.example.com"]["errors"] == 2
+    assert len(hosts) == 3 and hosts["pay.test"]["errors"] == 2
 
 
 def test_overview_of_nothing(seed_b):
@@ -106,10 +106,10 @@ def test_digest(seed_b):
     text = run(seed_b, "M6").first()[0]
     lines = text.split("\n")
     assert lines[0] == "10 reqs | 3 hosts | 3 methods | 3 auth_fails | 1 server_errs"
-    assert lines[1] == "hosts: example.com(6) api.example.com(3) other.host.com(1)"
-    assert lines[2] == "status: 200(5) 401(2) 204(1) 403(1) 500(1)"
+    assert lines[1] == "hosts: shop.test(6) pay.test(3) cdn.test(1)"
+    assert lines[2] == "status: 200(4) 403(2) 201(1) 304(1) 401(1) 503(1)"
     assert lines[3] == "methods: GET(8) POST(1) PUT(1)"
-    assert lines[4].startswith("recent: GET /normal→200, GET /debug→200, ")
+    assert lines[4].startswith("recent: GET /a.js→200, GET /backup.tar→200, ")
     assert lines[5:] == [""]
 
 
@@ -135,4 +135,4 @@ def test_findings_agree_with_single_rules(seed_a):
 
 def test_counts_per_host(seed_a):
     found = run(seed_a, "F2", by=["host"]).where("rule = 'A1' AND hits > 0").collect()
-    assert [(r["host"], r["hits"]) for r in found] == [("example.com", 1)]
+    assert [(r["host"], r["hits"]) for r in found] == [("shop.test", 1)]

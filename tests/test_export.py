@@ -9,7 +9,8 @@ from httplens.plans.adhoc import clean, execute, run_sql
 from httplens.sources.export import export, read_csv, read_json, write_csv, write_json
 
 AWKWARD = [(1, "", None), (2, None, ""), (3, 'a"b', "x,y"), (4, "l1\nl2", "\\"), (5, '"q"', 'a\\"b'),
-           (6, " lead ", "\r\n"), (7, "\r", "a\rb"), (8, None, None), (9, "é😀", "\t")]
+           (6, " lead ", "\r\n"), (7, "\r", "a\rb"), (8, None, None), (9, "é😀", "\t"),
+           (10, "\uffff", "null")]
 SCHEMA = "id int, a string, b string"
 
 
@@ -33,6 +34,23 @@ def test_json_round_trip(spark, tmp_path):
     assert '"b":null' in "".join(open(f).read() for f in glob.glob(path + "/*.json"))
 
 
+@pytest.mark.parametrize("write,read", [(write_csv, read_csv), (write_json, read_json)])
+def test_times_to_the_microsecond(spark, tmp_path, write, read):
+    df = spark.sql("SELECT 1 AS n, timestamp'2024-05-01 12:00:00.123456' AS t UNION ALL "
+                   "SELECT 2, timestamp'1969-12-31 23:59:59.000001' UNION ALL SELECT 3, NULL")
+    write(df, str(tmp_path / "t"))
+    assert same(df, read(spark, str(tmp_path / "t"), df.schema))
+
+
+def test_no_row_of_a_single_column_is_lost(spark, tmp_path):
+    texts = spark.createDataFrame([("a",), (None,), ("",)], "t string")
+    write_csv(texts, str(tmp_path / "s"))
+    assert sorted(r[0] for r in read_csv(spark, str(tmp_path / "s"), "t string").collect()) == ["", "", "a"]
+    times = spark.sql("SELECT timestamp'2024-05-01 12:00:00.5' AS t UNION ALL SELECT NULL")
+    write_csv(times, str(tmp_path / "t"))
+    assert same(times, read_csv(spark, str(tmp_path / "t"), times.schema))
+
+
 def test_json_array_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"name": "x", "n": 1},\n {"name": "y", "n": null}]')
     assert read_json(spark, str(tmp_path / "a.json"), multi_line=True).count() == 2
@@ -75,7 +93,7 @@ def test_bad_sql_is_raised(seed_a):
 
 def test_statement(spark, seed_a):
     run_sql(seed_a, "SELECT 1")
-    execute(spark, "CREATE OR REPLACE TEMPORARY VIEW denied AS SELECT * FROM traffic WHERE status_code = 401;")
+    execute(spark, "CREATE OR REPLACE TEMPORARY VIEW denied AS SELECT * FROM traffic WHERE status_code = 403;")
     assert spark.table("denied").count() == 1
 
 

@@ -2,11 +2,12 @@
 
 import pytest
 from conftest import SEED_A, exchange, raw_frame
+from pyspark.sql import functions as F
 
 from httplens.operators.ingest import append_new, first_per_key, normalize, upsert_ignore
 from httplens.operators.lookup import default_listing, message_detail
 from httplens.schema import TRAFFIC
-from httplens.sources.exchanges import parse_exchanges, read_exchanges
+from httplens.sources.exchanges import parse_exchanges, read_exchanges, rejected_exchanges
 from httplens.sources.traffic import load_project, load_traffic, save_project
 
 
@@ -38,7 +39,7 @@ def test_stored_rows_stay(spark, seed_a):
     assert [(r["id"], r["host"]) for r in append_new(seed_a, again).collect()] == [(11, "new")]
     after = upsert_ignore(seed_a, again)
     assert after.count() == 11
-    assert after.where("id = 3").first()["host"] == "example.com"
+    assert after.where("id = 3").first()["host"] == "shop.test"
     assert upsert_ignore(seed_a, again.where("false")).count() == 10
 
 
@@ -62,7 +63,7 @@ def test_one_id_holding_most_rows_is_combined_before_the_shuffle(spark):
 def test_detail(seed_a):
     found = {r["id"]: r for r in message_detail(seed_a, [2, 3, 99, None]).collect()}
     assert set(found) == {2, 3}
-    assert found[2]["request"] == '{"Content-Type":"application/json"}\r\n\r\n{"user":"a"}'
+    assert found[2]["request"] == '{"content-type":"application/json; charset=utf-8"}\r\n\r\n{"sku":7}'
     assert found[3]["response"] == "{}"
 
 
@@ -108,3 +109,28 @@ def test_exchanges_from_files_and_texts(spark, tmp_path):
     texts = raw.selectExpr("to_json(struct(*)) AS value").unionByName(
         spark.createDataFrame([("not json",), ("{}",), (None,)], "value string"))
     assert sorted(map(str, parse_exchanges(texts).collect())) == sorted(map(str, raw.collect()))
+
+
+def test_every_message_is_kept_or_rejected(spark):
+    bad = {"not json": "not an exchange", "{}": "no id", '{"id":1,"port":"eighty"}': "not an exchange",
+           '{"id":"x"}': "not an exchange", "": "no id", None: "no text"}
+    sent = spark.createDataFrame([(i, t) for i, t in enumerate([*bad, '{"id":7,"host":"h","extra":1}'])], "n long, value string")
+    assert [(r["id"], r["host"]) for r in parse_exchanges(sent).collect()] == [(7, "h")]
+    rejected = rejected_exchanges(sent)
+    assert rejected.columns == ["n", "value", "reason"]
+    assert {r["value"]: r["reason"] for r in rejected.collect()} == bad
+
+
+def test_time_of_arrival_by_default(spark):
+    timeless = raw_frame(spark, SEED_A[:1]).withColumn("ts", F.lit(None).cast("timestamp"))
+    row = normalize(timeless).select(F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("timestamp"))).first()
+    assert row[0] < 600
+
+
+def test_same_winner_in_any_layout(spark, seed_a):
+    tied = seed_a.where("id = 1").withColumn("host", F.explode(F.array([F.lit(f"h{i}") for i in range(40)])))
+    late = tied.withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("host", F.lit("timeless"))
+    rows = tied.unionByName(late)
+    layouts = [rows.coalesce(1), rows.repartition(7, "host"), rows.repartitionByRange(3, F.desc("host"))]
+    winners = {first_per_key(layout).first()["host"] for layout in layouts}
+    assert len(winners) == 1 and winners != {"timeless"}

@@ -117,6 +117,19 @@ def test_json_round_trip(spark, tmp_path):
         (1, "a", "one", "SELECT 'é'"), (2, "b", "two", 'SELECT "x"\nFROM t')]
 
 
+def test_import_of_an_array_in_any_column_order(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"name": "x", "sql_text": "s",\n  "category": "c"},\n {"sql_text": "t", "category": "c", "name": "y"}\n]')
+    after = keyed.import_definitions(table(spark, [(4, "a", "w", "s")]), str(tmp_path / "a.json"), multi_line=True, chunks=3)
+    assert sorted(map(tuple, after.collect())) == [(4, "a", "w", "s"), (5, "c", "x", "s"), (6, "c", "y", "t")]
+
+
+@pytest.mark.parametrize("line", ["no json", '{"category": "a", "name": null, "sql_text": "s"}', '{"category": "a", "name": "x"}'])
+def test_bad_definitions_are_refused(spark, tmp_path, line):
+    (tmp_path / "d.json").write_text('{"category": "a", "name": "x", "sql_text": "s"}\n' + line + "\n")
+    with pytest.raises(Exception, match="definition without|MALFORMED_RECORD"):
+        keyed.import_definitions(table(spark, []), str(tmp_path / "d.json")).collect()
+
+
 def test_listing_categories_and_tree(spark):
     rows = table(spark, [(1, "b", "x", "s"), (2, "a", "y", "s"), (3, "a", "x", "s")])
     assert [r["id"] for r in keyed.listing(rows).collect()] == [3, 2, 1]

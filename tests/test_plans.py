@@ -115,11 +115,11 @@ def test_interesting_paths_are_searched_before_the_shuffle(seed_a):
 
 
 def test_null_groups_have_a_digest(spark, seed_a):
-    traffic = seed_a.selectExpr("* EXCEPT (host)", "nullif(host, 'other.com') AS host")
+    traffic = seed_a.selectExpr("* EXCEPT (host)", "nullif(host, 'cdn.test') AS host")
     found = {r.host: r.digest for r in digest(traffic, ["host"]).collect()}
     assert None in found and all(found.values())
 
 
 def test_detail_by_an_id_column_of_any_case(spark, seed_a):
-    ids = seed_a.where("status_code = 401").selectExpr("id AS ID")
+    ids = seed_a.where("status_code = 403").selectExpr("id AS ID")
     assert [r.id for r in message_detail(seed_a, ids).collect()] == [3]

@@ -104,6 +104,21 @@ def test_chat_responses(spark):
     assert got[101] == got[102] == (None, "No text content in response: ")
 
 
+def wrapped(text, times):
+    for i in range(times):
+        text = {"value": text} if i % 2 else {"text": text, "annotations": [{"n": {}}]}
+    return text
+
+
+@pytest.mark.parametrize("times", [*range(1, 13), 90])
+def test_texts_wrapped_again_and_again(spark, times):
+    text = wrapped("in {the} middle", times)
+    bodies = [{"output_text": text}, {"message": {"content": [text, "end"]}}, {"error": {"message": text}}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, json string")
+    got = {r["i"]: (r["content"], r["error"]) for r in replies.normalize_chat_response(df, "json").collect()}
+    assert got == {0: ("in {the} middle", None), 1: ("in {the} middle\nend", None), 2: (None, "API error: in {the} middle")}
+
+
 @pytest.mark.parametrize("body,message", [
     ('{"error": {"message": "m"}, "message": "n"}', "m"),
     ('{"error": {"message": " "}, "message": "n"}', "n"),

@@ -25,13 +25,10 @@ def test_the_folder_of_the_cluster_is_used():
     assert session.scratch_path(cluster, "x").startswith("hdfs:///shared/httplens/x-")
 
 
-def test_a_cluster_without_the_setting_is_refused():
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_a_session_without_the_setting_is_refused(master):
     with pytest.raises(RuntimeError):
-        session.shared_folder(Spark(spark_master="yarn"))
-
-
-def test_only_a_local_session_gets_its_own():
-    assert session.shared_folder(Spark(spark_master="local[2]"))
+        session.shared_folder(Spark(spark_master=master))
 
 
 def test_staged_rows_are_the_same(spark):

@@ -1,14 +1,12 @@
 """Streams against the same work done in one go."""
 
-import datetime as dt
-
 import pytest
-from conftest import START, SEED_B, exchange, raw_frame
+from conftest import SEED_B, exchange, raw_frame
 from pyspark.sql import functions as F
 
 from httplens.operators.findings import tag_findings
 from httplens.operators.ingest import normalize
-from httplens.plans.rollups import PANELS
+from httplens.plans.rollups import PANELS, timeline
 from httplens.schema import RAW_EXCHANGE, TRAFFIC
 from httplens.sources.traffic import load_project, load_traffic
 from httplens.streaming import capture as cap
@@ -100,30 +98,40 @@ def test_panels_follow_the_table(spark, folders, tmp_path):
         assert text(live.latest_panel(spark, panels, name)) == text(panel(whole))
 
 
-def test_timeline_gives_out_closed_minutes(spark, folders):
+def test_timeline_counts_open_minutes_and_late_rows(spark, folders):
     inbox, out, checkpoint = folders
     rows = [exchange(i, "h", 80, False, "GET", "/", 200, seconds=20 * i) for i in range(90)]
-    arrive(spark, inbox, "1", rows)
-    lines = live.live_timeline(normalize(stream(spark, inbox)))
-    cap.append_to(lines, out, checkpoint, every=None).awaitTermination()
-    got = dict(map(tuple, spark.read.parquet(out).collect()))
-    last = START + dt.timedelta(seconds=20 * 89 - 600)
-    want = {}
-    for i in range(90):
-        minute = (START + dt.timedelta(seconds=20 * i)).replace(second=0)
-        if minute + dt.timedelta(minutes=1) <= last:
-            want[minute.strftime("%Y-%m-%d %H:%M")] = want.get(minute.strftime("%Y-%m-%d %H:%M"), 0) + 1
-    assert got == want and want
+    for name, part in (("1", rows[60:]), ("2", rows[:30]), ("3", rows[30:60])):
+        arrive(spark, inbox, name, part)
+    for _ in range(2):  # the second run finds nothing new
+        live.live_timeline(normalize(stream(spark, inbox)), out, checkpoint, every=None).awaitTermination()
+    assert text(live.latest_timeline(spark, out)) == text(timeline(normalize(raw_frame(spark, rows)), limit=None))
+
+
+def test_a_batch_of_counts_delivered_again_counts_once(spark, folders, seed_b):
+    inbox, out, checkpoint = folders
+    arrive(spark, inbox, "1", SEED_B)
+    for here in (checkpoint, checkpoint + "-lost"):  # the second run starts over
+        live.live_timeline(normalize(stream(spark, inbox)), out, here, every=None).awaitTermination()
+    assert text(live.latest_timeline(spark, out)) == text(timeline(seed_b, limit=None))
+
+
+def test_nothing_arrived(spark, folders):
+    inbox, out, checkpoint = folders
+    inbox.mkdir()
+    live.auth_failure_alerts(normalize(stream(spark, inbox)), out, checkpoint, every=None).awaitTermination()
+    assert live.latest_alerts(spark, out).columns == ["since", "host", "path", "failures"]
+    assert live.latest_alerts(spark, out).count() == 0
 
 
 def test_alerts(spark, folders):
     inbox, out, checkpoint = folders
     rows = [exchange(i, "h", 80, False, "GET", "/login", 401, seconds=30 * i) for i in range(3)]
-    rows += [exchange(10 + i, "h", 80, False, "GET", "/other", 403, seconds=600 * i) for i in range(9)]
-    arrive(spark, inbox, "1", rows)
-    alerts = live.auth_failure_alerts(normalize(stream(spark, inbox)))
-    cap.append_to(alerts, out, checkpoint, every=None).awaitTermination()
-    got = spark.read.parquet(out)
+    arrive(spark, inbox, "1", [*rows[1:], *(
+        exchange(10 + i, "h", 80, False, "GET", "/other", 403, seconds=600 * i) for i in range(9))])
+    arrive(spark, inbox, "2", rows[:1])
+    live.auth_failure_alerts(normalize(stream(spark, inbox)), out, checkpoint, every=None).awaitTermination()
+    got = live.latest_alerts(spark, out)
     assert {r["path"] for r in got.collect()} == {"/login"}
     # Seconds 0, 30 and 60 share the spans that start from 4 minutes before to the minute of the first.
     assert got.count() == 4 and got.agg(F.max("failures")).first()[0] == 3
