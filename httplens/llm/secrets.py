@@ -5,7 +5,9 @@ lower-case ones. The forest looks at its length, changes between character kinds
 dictionary covers, what looks like a path, an address or a number, and at the words beside it.
 
 The dictionary is the letter trigrams of all texts with their counts: at most 17,576 numbers, summed over the whole
-corpus. The forest is fitted on at most ``max_findings`` labelled findings, those with the smallest hash.
+corpus. Equal labelled findings are one row with their count as weight. The forest is fitted on at most ``max_findings`` of
+these rows, those of each label with the smallest hash: the rarer label has up to half of them, and each label weighs what it
+does in the whole corpus. Findings in a format in which providers issue keys are secrets whatever the forest says.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from httplens.llm.quality import Trees, edges_of
 from httplens.llm.text import LOWER, Block, Words, blocks
+from httplens.session import stage
 
 MIN_LENGTH = 12
 MAX_FINDINGS = 20_000
@@ -142,7 +145,7 @@ def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
         after = data[e:min(high, e + _BESIDE)].tobytes().decode(errors="ignore")
         out[i].append({
             "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before),
-            "x": _features(found, before, after, known)})
+            "issued": bool(_ISSUED.match(found)), "x": _features(found, before, after, known)})
     return out
 
 
@@ -161,10 +164,11 @@ def candidates(text: str | Column, known: np.ndarray) -> Column:
 # --- the forest --------------------------------------------------------------------------------
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, seed: int = 5) -> Trees:
+def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, seed: int = 5,
+               weights: np.ndarray | None = None) -> Trees:
     """Trees of gini splits, each on a bootstrap sample, each split among a random part of the features.
 
-    Leaves hold the share of ones; the forest's raw value is their mean. Without labelled rows every
+    A row stands for as many findings as it weighs, one by default. Leaves hold the share of ones; the forest's raw value is their mean. Without labelled rows every
     candidate scores one, as nothing is known to be false.
     """
     inner, leaves = 2 ** depth - 1, 2 ** depth
@@ -178,8 +182,11 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
     threshold = np.full((trees, inner), np.inf)
     leaf = np.zeros((trees, leaves))
     part = max(1, int(np.sqrt(n_features)) + 1)
+    weights = np.ones(len(y)) if weights is None else weights
+    share = weights / weights.sum()
+    mean = float((share * y).sum())
     for t in range(trees):
-        weight = np.bincount(random.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
+        weight = random.multinomial(round(weights.sum()), share).astype(float)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
             first, count = 2 ** level - 1, 2 ** level
@@ -203,16 +210,24 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
             node = 2 * node + 1 + (x[np.arange(len(y)), feature[t, node]] > threshold[t, node])
         own = node - inner
         # One row of the whole sample's mean keeps empty leaves defined.
-        leaf[t] = (np.bincount(own, weight * y, leaves) + y.mean()) / (np.bincount(own, weight, leaves) + 1) / trees
+        leaf[t] = (np.bincount(own, weight * y, leaves) + mean) / (np.bincount(own, weight, leaves) + 1) / trees
     return Trees(feature, threshold, leaf, 0.0, depth)
 
 
 def train(labelled: DataFrame, max_findings: int = MAX_FINDINGS) -> Trees:
     """The forest from findings with ``label`` (0 or 1) and features ``x``."""
-    rows = labelled.where("label IN (0, 1)").select("label", "x")
-    sample = rows.orderBy(F.xxhash64("x", "label"), "x").limit(max_findings).collect()
-    x = np.array([r.x for r in sample]).reshape(len(sample), len(FEATURES))
-    return fit_forest(x, np.array([r.label for r in sample], float))
+    groups = stage(labelled.where("label IN (0, 1)").groupBy("label", "x").agg(F.count("*").alias("n")), "findings")
+    totals = {r.label: r for r in groups.groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
+    rows, weights = [], []
+    for label, total in sorted(totals.items()):
+        others = sum(t.rows for other, t in totals.items() if other != label)
+        most = max(max_findings - max_findings // 2, max_findings - others)
+        sample = groups.where(F.col("label") == label).orderBy(F.xxhash64("x", "label"), "x").limit(most).collect()
+        rows += sample
+        # What was left out is made up for by those of its label.
+        weights += [r.n * total.n / sum(s.n for s in sample) for r in sample]
+    x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
+    return fit_forest(x, np.array([r.label for r in rows], float), weights=np.array(weights))
 
 
 def labelled_findings(docs: DataFrame, known: np.ndarray, text: str = "text") -> DataFrame:
@@ -222,7 +237,7 @@ def labelled_findings(docs: DataFrame, known: np.ndarray, text: str = "text") ->
 
 
 def scored(text: str | Column, known: np.ndarray, forest: Trees) -> Column:
-    """The candidates of each text with the forest's score."""
+    """The candidates of each text with the forest's score; those in an issued format score one."""
 
     @F.arrow_udf("array<struct<start:int, end:int, score:double>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -231,7 +246,7 @@ def scored(text: str | Column, known: np.ndarray, forest: Trees) -> Column:
             flat = [c["x"] for own in rows for c in own]
             scores = iter(forest.raw(np.array(flat)).tolist() if flat else [])
             yield pa.array(
-                [[{"start": c["start"], "end": c["end"], "score": next(scores)} for c in own] for own in rows],
+                [[{"start": c["start"], "end": c["end"], "score": max(next(scores), float(c["issued"]))} for c in own] for own in rows],
                 pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
 
     return found(text)

@@ -3,6 +3,7 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -94,6 +95,24 @@ def test_issued_keys_are_redacted_and_addresses_stay(spark):
     assert all(texts[k] == t for k, t in some[30:])
 
 
+def test_rare_keys_among_many_copies_and_numbers(spark):
+    importable(spark)
+    wide = len(secrets.FEATURES)
+    some = [(0, [float(k)] * wide) for k in range(100, 400)] + [(0, [7.0] * wide)] * 2_000 + [(1, [float(-k)] * wide) for k in range(1, 6)]
+    forest = secrets.train(spark.createDataFrame(some, "label int, x array<double>"), max_findings=20)
+    scores = forest.raw(np.array([[-3.0] * wide, [250.0] * wide, [7.0] * wide]))
+    assert scores[0] >= 0.5 and (scores[1:] < 0.5).all()
+
+
+def test_issued_keys_are_secrets_whatever_the_forest_says(spark):
+    key = "ghp_00aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3z"
+    wide = len(secrets.FEATURES)
+    forest = secrets.fit_forest(np.zeros((3, wide)), np.zeros(3))
+    docs = frame(spark, [(1, f"see {key} here, or someone.1@mail.example.com")])
+    found = secrets.scored("text", np.zeros(26 ** 3, bool), forest)
+    assert docs.select(secrets.redacted("text", found)).head()[0] == f"see {secrets.REDACTED} here, or someone.1@mail.example.com"
+
+
 def tree(spark, some):
     importable(spark)
     return spark.createDataFrame(some, "t long, n long, p long, role string, text string, score double")
