@@ -2,11 +2,13 @@
 
 Only DataFrame functions work on texts. Four *base* kinds are found by their format and always stay. High-recall
 generators propose further spans, which may overlap. Each candidate becomes a few small integers (its
-format, and the characters beside it). Candidates that overlap a base span are examples of personal data; those that
-overlap what has a base format and failed its check are counter-examples. All examples of the corpus are summed
+format, and the characters beside it). Three generators have a check of their own format: what passes is an example of
+personal data, what fails a counter-example. Candidates of the others are examples where they overlap a base span, and
+counter-examples where they overlap what has a base format and failed its check. All examples of the corpus are summed
 into cells, one per combination of the integers; the number of cells is bounded by the features alone, and boosted trees of
 depth two are fitted to them. Per kind the threshold is the lowest score that keeps the wanted precision on the cells of a
-fifth of the documents, which the trees have not seen. The trees are applied as nested CASE expressions.
+fifth of the documents, which the trees have not seen; a kind without examples there has the threshold of all kinds
+together. The trees are applied as nested CASE expressions.
 
 Spans are code points, end exclusive.
 """
@@ -27,6 +29,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# An address with a domain of letters at its end.
+_BARE_EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 # Cheap conditions that every match meets.
 _GUARDS = {"email": "contains({t}, '@')", "ip": r"{t} RLIKE '[0-9]\\.[0-9]'", "card": None, "phone": "contains({t}, '+')"}
 
@@ -43,13 +47,16 @@ _GENERATOR_GUARDS = {
     "number": "{t} RLIKE '[0-9]{{9}}'", "account": "{t} RLIKE '[A-Z]{{2}}[0-9]{{2}}'",
     "masked": r"{t} RLIKE '[(\\[]at[)\\]]'", "address": r"{t} RLIKE '[0-9]\\.[0-9]'"}
 
+# Generators whose format has a check of its own.
+CHECKED = ("identity", "account", "masked")
+
 KINDS = (*BASE, *GENERATORS)
 _PLACE = {kind: place for place, kind in enumerate(KINDS)}
 PRECISION = 0.95
 ROUNDS, RATE, L2 = 30, 0.3, 1.0
 
 # Features and the number of values each can take.
-FEATURES = {"kind": len(KINDS), "digits": 8, "length": 6, "groups": 5, "before": 7, "after": 7, "word": 4, "sum": 2}
+FEATURES = {"kind": len(KINDS), "digits": 8, "length": 6, "groups": 5, "before": 7, "after": 7, "word": 4, "check": 2}
 
 SPAN = "struct<start:int, place:int, end:int>"
 
@@ -100,6 +107,25 @@ def _byte(part: Column) -> Column:
     return (F.char_length(bare) <= 3) & (F.substring(bare, 1, 3).cast("int") <= 255)
 
 
+def _mod_97(account: Column) -> Column:
+    """The remainder of an account number by 97, its first four characters last and letters as 10 to 35."""
+    moved = F.concat(F.substring(account, 5, 64), F.left(account, F.lit(4)))
+    digits = F.transform(F.regexp_extract_all(moved, F.lit("[A-Z0-9]"), F.lit(0)), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(digits, F.lit(0), lambda rest, d: (rest * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
+def _own_check(kind: str, hit: Column) -> Column | None:
+    """Whether a generated span is valid in its own format; None for kinds not in :data:`CHECKED`."""
+    if kind == "identity":
+        return hit.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    if kind == "account":
+        bare = F.regexp_replace(hit, r"\x20", "")
+        return F.char_length(bare).between(15, 34) & (_mod_97(bare) == 1)
+    if kind == "masked":
+        return F.regexp_replace(hit, r"\x20?[\[(]at[\])]\x20?", "@").rlike(f"^{_BARE_EMAIL}\\.?$")
+    return None
+
+
 def _passes(kind: str, hit: Column) -> Column:
     if kind == "email":
         return F.lit(True)
@@ -132,13 +158,15 @@ def _features(kind: str, c: Column) -> Column:
     digits = _digits(hit)
     n = F.char_length(digits)
     word = F.regexp_extract(before, r"(\S*)\s*$", 1)
+    checked = _own_check(kind, hit)
+    checked = _luhn(digits) & (n > 0) if checked is None else checked
     return F.struct(
         F.lit(_PLACE[kind]).alias("kind"), _cut(n, 1, 7, 9, 10, 12, 15, 17).alias("digits"),
         _cut(F.char_length(hit), 8, 12, 16, 20, 28).alias("length"),
         _cut(F.size(F.split(F.trim(hit), r"[^A-Za-z0-9]+")), 2, 3, 4, 5).alias("groups"),
         _side(F.right(before, F.lit(1))).alias("before"), _side(F.left(after, F.lit(1))).alias("after"),
         F.when(word == "", 0).when(word.rlike(r"^\+[0-9]{1,3}$"), 1).when(word.rlike("[0-9]"), 2).otherwise(3).alias("word"),
-        (_luhn(digits) & (n > 0)).cast("int").alias("sum"))
+        checked.cast("int").alias("check"))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -226,13 +254,15 @@ def _leaf(cells) -> float:
 def fit(cells: list[dict], rounds: int = ROUNDS, precision: float = PRECISION) -> Model:
     """The model from cells: features, ``held`` (kept for calibration), ``ones`` and ``n``.
 
-    Without examples of both sorts nothing but base spans is selected.
+    Without examples nothing but base spans is selected.
     """
     seen = [c for c in cells if not c["held"]]
     n, ones = sum(c["n"] for c in seen), sum(c["ones"] for c in seen)
-    if not 0 < ones < n:
+    if not n:
         return Model(0.0, [], {})
-    model = Model(math.log(ones / (n - ones)), [], {})
+    # Half an example of each sort keeps the start finite where there is but one.
+    start = ones / (n - ones) if 0 < ones < n else (ones + 0.5) / (n - ones + 0.5)
+    model = Model(math.log(start), [], {})
     raw = [model.start] * len(seen)
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-r)) for r in raw]
@@ -247,23 +277,34 @@ def fit(cells: list[dict], rounds: int = ROUNDS, precision: float = PRECISION) -
         one = Model(0.0, [tree], {})
         raw = [r + one.raw(c) for r, c in zip(raw, seen)]
     held = [c for c in cells if c["held"]] or seen
-    for kind in GENERATORS:
-        own = sorted(((1 / (1 + math.exp(-model.raw(c))), c["ones"], c["n"]) for c in held if c["kind"] == _PLACE[kind]), reverse=True)
-        ones = n = 0
-        for score, group in itertools.groupby(own, key=lambda c: c[0]):
-            for _, a, b in group:
-                ones, n = ones + a, n + b
-            if ones >= precision * n:
-                model.thresholds[_PLACE[kind]] = score
+    scored = sorted(((1 / (1 + math.exp(-model.raw(c))), c["ones"], c["n"], c["kind"]) for c in held), reverse=True)
+    for kind in map(_PLACE.get, GENERATORS):
+        limit = _threshold([c for c in scored if c[3] == kind] or scored, precision)
+        if limit is not None:
+            model.thresholds[kind] = limit
     return model
 
 
+def _threshold(scored: list[tuple], precision: float) -> float | None:
+    """The lowest score from which on the cells, highest score first, have the wanted precision."""
+    found, ones, n = None, 0, 0
+    for score, group in itertools.groupby(scored, key=lambda c: c[0]):
+        for _, a, b, _ in group:
+            ones, n = ones + a, n + b
+        if ones >= precision * n:
+            found = score
+    return found
+
+
 def train(found: DataFrame, key: str, **options) -> Model:
     """The model from all candidates of ``found`` (see :func:`with_candidates`)."""
     cells = found.select(
         F.coalesce(F.pmod(F.xxhash64(key), F.lit(5)) == 0, F.lit(False)).alias("held"), "_base", "_failed",
         F.explode("_more").alias("m")).select(
         "held", "m.x.*", _overlaps(F.col("_base"), F.col("m.span")).alias("one"), _overlaps(F.col("_failed"), F.col("m.span")).alias("none"))
+    # A check of the own format outweighs what else lies there.
+    own = F.col("kind").isin([_PLACE[kind] for kind in CHECKED])
+    cells = cells.withColumn("one", F.when(own, F.col("check") == 1).otherwise(F.col("one"))).withColumn("none", own | F.col("none"))
     summed = cells.where("one OR none").groupBy("held", *FEATURES).agg(
         F.sum(F.col("one").cast("int")).alias("ones"), F.count("*").alias("n"))
     # A row per combination of features at most.

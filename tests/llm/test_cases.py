@@ -113,6 +113,28 @@ def test_issued_keys_are_secrets_whatever_the_forest_says(spark):
     assert docs.select(secrets.redacted("text", found)).head()[0] == f"see {secrets.REDACTED} here, or someone.1@mail.example.com"
 
 
+def test_valid_formats_are_kept_and_invalid_ones_are_not(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    good = [t for i in range(10, 50) for t in (f"id 123-{i}-4567 ends", f"ask ann.{i} [at] mail{i}.example.com today")]
+    good += [f"pay to {iban} now" for iban in ibans] * 12
+    bad = [t for i in range(10, 50) for t in (f"id 000-{i}-4567 ends", f"look{i} [at] this{i} thing")]
+    bad += [f"pay to {iban[:4]}{iban[4:].translate(str.maketrans('0123456789', '1234567890'))} now" for iban in ibans] * 12
+    docs = frame(spark, list(enumerate(good + bad)))
+    found = {r.doc_id: r.spans for r in pii.report(pii.personal_data(docs.select("doc_id", "text"))).collect()}
+    kinds = ("identity:", "masked:", "account:")
+    assert [any(k in found[i] for k in kinds) for i in range(len(good))] == [True] * len(good)
+    assert not any(k in found[i] for i in range(len(good), len(found)) for k in kinds)
+
+
+def test_a_kind_without_held_examples_has_the_threshold_of_all(spark):
+    def cell(kind, check, held, ones, n):
+        zeros = dict.fromkeys(pii.FEATURES, 0)
+        return zeros | {"kind": pii.KINDS.index(kind), "check": check, "held": held, "ones": ones, "n": n}
+
+    cells = [cell("masked", c, h, 20 * c, 20) for c in (0, 1) for h in (False, True)] + [cell("identity", 1, False, 5, 5)]
+    assert set(map(pii.KINDS.index, ("masked", "identity"))) <= set(pii.fit(cells).thresholds)
+
+
 def tree(spark, some):
     importable(spark)
     return spark.createDataFrame(some, "t long, n long, p long, role string, text string, score double")
