@@ -32,6 +32,7 @@ _KEY = np.zeros(256, bool)
 _KEY[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~@-"]] = True
 _LETTERS = 26 ** 3
 _BESIDE = 32
+_NAME_BYTES = 128
 
 # Words that name a secret, and formats in which providers issue keys.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "bearer")
@@ -40,6 +41,9 @@ _ISSUED = re.compile(r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]
 _HARMLESS = re.compile(
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9.+-]+|[A-Za-z.-]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
     r"|(?:[\w.~-]*/){2,}[\w.~-]*|(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+/?[^@]*")
+# user:password@host: the password ends at the last @ before the path.
+_USER = re.compile(rb"://[^\s:/@\"'<>]*:\Z")
+_PASSWORD = re.compile(rb"([^\s/\"'<>]+)@(?=[\w\[])")
 
 FEATURES = (
     "length", "upper", "lower", "digit", "other", "transitions", "entropy", "hex", "dictionary", "slashes", "dots", "at",
@@ -108,16 +112,46 @@ def _features(found: str, before: str, after: str, known: np.ndarray) -> list[fl
         len(beside[-1]) if beside else 0, len(behind[0]) if behind else 0]
 
 
-def _label(found: str, before: str) -> int:
-    """What the rules of known formats say: 1 a secret, 0 none, -1 nothing."""
-    if _ISSUED.match(found) or (_NAMED.search(before) and re.search(r"\d", found) and not _HARMLESS.fullmatch(found)):
+def _label(found: str, before: str, password: bool) -> int:
+    """What the rules of known formats say: 1 a secret, 0 none, -1 nothing.
+
+    Behind a naming word nothing is harmless by its form: what has a digit and could be a path without dots or
+    a UUID is a secret, and what could be an address, a number or words is left to the forest.
+    """
+    if password or _ISSUED.match(found):
         return 1
-    return 0 if _HARMLESS.fullmatch(found) else -1
+    harmless = _HARMLESS.fullmatch(found)
+    if _NAMED.search(before):
+        return 1 if re.search(r"\d", found) and (not harmless or re.fullmatch(r"[\w/~-]*[A-Za-z][\w/~-]*", found)) else -1
+    return 0 if harmless else -1
+
+
+def _values(block: Block) -> list[tuple[int, int]]:
+    """Start and end of the values that stand where only a secret does, in order: passwords of user:password@host."""
+    data, found, last = block.data.tobytes(), [], 0
+    for colon in np.flatnonzero(block.data == 0x3A).tolist():
+        i = int(np.searchsorted(block.bounds, colon, "right")) - 1
+        low, high = int(block.bounds[i]), int(block.bounds[i + 1])
+        if colon < last:
+            continue
+        if _USER.search(data, max(low, colon - _NAME_BYTES), colon + 1):
+            value = _PASSWORD.match(data, colon + 1, high)
+            if value:
+                found.append(value.span(1))
+                last = value.end()
+    return found
 
 
 def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
     """Per text of a block its candidates, by code points."""
-    words = Words(block, _KEY)
+    values = _values(block)
+    given = set(values)
+    rest = block.data
+    if values:
+        rest = rest.copy()
+        for s, e in values:
+            rest[s:e] = 0x20
+    words = Words(Block(rest, block.bounds, block.first), _KEY)
     long_ones = np.flatnonzero(words.ends - words.starts >= MIN_LENGTH)
     data = block.data
     digit = np.append(0, np.cumsum((data >= 0x30) & (data <= 0x39)))
@@ -127,24 +161,26 @@ def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
     turns = np.append(0, np.cumsum(turn))
     a, b = words.starts[long_ones], words.ends[long_ones]
     some = (digit[b] > digit[a]) | (turns[b] > turns[np.minimum(a + 1, b)])
-    a, b = a[some], b[some]
-    owner = np.searchsorted(block.bounds, a, "right") - 1
-    points = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if len(a) else None
-    out: list[list[dict]] = [[] for _ in range(len(block))]
-    for i, s, e in zip(owner.tolist(), a.tolist(), b.tolist()):
+    spans = []
+    for s, e in zip(a[some].tolist(), b[some].tolist()):
         # Marks at the ends belong to the sentence.
         while e > s and data[e - 1] in b".-+/~@":
             e -= 1
         while s < e and data[s] in b".-+/~@":
             s += 1
-        if e - s < MIN_LENGTH:
-            continue
+        if e - s >= MIN_LENGTH:
+            spans.append((s, e))
+    spans = sorted(spans + values)
+    owner = np.searchsorted(block.bounds, [s for s, _ in spans], "right") - 1
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if spans else None
+    out: list[list[dict]] = [[] for _ in range(len(block))]
+    for i, (s, e) in zip(owner.tolist(), spans):
         low, high = int(block.bounds[i]), int(block.bounds[i + 1])
         found = data[s:e].tobytes().decode()
         before = data[max(low, s - _BESIDE):s].tobytes().decode(errors="ignore")
         after = data[e:min(high, e + _BESIDE)].tobytes().decode(errors="ignore")
         out[i].append({
-            "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before),
+            "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before, (s, e) in given),
             "issued": bool(_ISSUED.match(found)), "x": _features(found, before, after, known)})
     return out
 

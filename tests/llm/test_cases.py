@@ -4,12 +4,14 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from httplens.llm import (  # noqa: E402
     chat, chunks, contamination, jaccard, packing, pii, quality, queries, repeats, secrets, warc)
 from httplens.llm.rows import importable  # noqa: E402
+from httplens.llm.text import blocks  # noqa: E402
 from httplens.session import scratch_path  # noqa: E402
 
 PASSAGE = " ".join(f"word{i}" for i in range(30))
@@ -135,6 +137,27 @@ def test_a_kind_without_held_examples_has_the_threshold_of_all(spark):
     assert set(map(pii.KINDS.index, ("masked", "identity"))) <= set(pii.fit(cells).thresholds)
 
 
+def own_candidates(text):
+    block, = blocks(pa.array([text]))
+    own, = secrets._candidates(block, np.zeros(26 ** 3, bool))
+    return {text[c["start"]:c["end"]]: c["label"] for c in own}
+
+
+def test_a_naming_word_outweighs_paths_uuids_and_addresses():
+    key, uuid = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0f8fad5b-d9cb-469f-a165-70867728950e"
+    assert own_candidates(f"secret = '{key}'") == {key: 1}
+    assert own_candidates(f"api_key = {uuid}") == {uuid: 1}
+    assert own_candidates(f"see {uuid} or srv/data2/file.txt") == {uuid: 0, "srv/data2/file.txt": 0}
+    assert own_candidates("key: someone1@mail.example.com") == {"someone1@mail.example.com": -1}
+
+
+def test_the_password_of_a_connection_string_is_cut_out():
+    assert own_candidates("postgres://app:S3cretPassw0rd@db.example.com/x") == {"S3cretPassw0rd": 1}
+    assert own_candidates("amqp://app:p@ss!@db7.internal.example.com:5672/x") == {"p@ss!": 1, "db7.internal.example.com": 0}
+    assert own_candidates("http://host.example:8080/a@b") == {}
+    assert 1 not in own_candidates("http://host.example:8080/some/path1/x2").values()
+
+
 def tree(spark, some):
     importable(spark)
     return spark.createDataFrame(some, "t long, n long, p long, role string, text string, score double")
