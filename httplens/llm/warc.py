@@ -172,9 +172,13 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def url_key(url: str | None) -> str:
-    """The reversed host, then path and query: ``com,example)/a?b``; other texts stay as they are."""
+    """The reversed host, then path and query: ``com,example)/a?b``; other texts stay as they are.
+
+    Line ends are percent-encoded as in records, so that a page's own url finds its record.
+    """
     if not url:
         return ")"
+    url = url.replace("\r", "%0D").replace("\n", "%0A")
     try:
         parts = urlsplit(url)
         host = parts.hostname

@@ -198,3 +198,11 @@ def test_archives_round_trip(spark, max_directory):
         assert (bytes(own.payload) == payload) if key == first else (int(own.refers_to) == first)
     nothing = spark.createDataFrame([("https://a.example:8080/p?0", "77")], "url string, record_id string")
     assert warc.lookup(nothing, archives, index).collect() == []
+
+
+def test_pages_are_found_by_their_raw_urls(spark, tmp_path):
+    importable(spark)
+    urls = ["https://a.example/b\nc", "https://a.example/b\r\nc?d\n", "no host\nat all", "\nhttp://x.example/", "http://a\n.example/", None, "", "\n"]
+    spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet"))
+    assert sorted(r.page_id for r in queries.queries()["op7_warc"](spark, str(tmp_path)).collect()) == list(range(len(urls)))
