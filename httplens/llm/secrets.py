@@ -1,7 +1,9 @@
 """Secret scans: high-recall candidates, and a random forest that removes false positives.
 
 A candidate is a run of key characters of at least ``MIN_LENGTH`` that holds a digit, or upper-case letters after
-lower-case ones. The forest looks at its length, changes between character kinds, how much of it the
+lower-case ones; the password of ``user:password@host``; and what is assigned to a name that holds a naming word, quoted or up
+to the next space, of at least ``MIN_VALUE`` bytes and of any characters. Assigned values may hold other
+candidates. The forest looks at its length, changes between character kinds, how much of it the
 dictionary covers, what looks like a path, an address or a number, and at the words beside it.
 
 The dictionary is the letter trigrams of all texts with their counts: at most 17,576 numbers, summed over the whole
@@ -24,6 +26,7 @@ from httplens.llm.text import LOWER, Block, Words, blocks
 from httplens.session import stage
 
 MIN_LENGTH = 12
+MIN_VALUE = 4
 MAX_FINDINGS = 20_000
 TREES, DEPTH, BINS = 40, 6, 32
 REDACTED = "[SECRET]"
@@ -37,6 +40,17 @@ _NAME_BYTES = 128
 # Words that name a secret, and formats in which providers issue keys.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "bearer")
 _NAMED = re.compile(r"(?:" + "|".join(SECRET_WORDS) + r")\w*[\"']?\s*[=:]\s*[\"']?$", re.I)
+_NAME = re.compile(rb"(?:" + "|".join(SECRET_WORDS).encode() + rb")\w*\\?[\"']?\]?\s*\Z", re.I)
+# A value: quoted, quoted within quoted text, or up to a space, the next name, a closing quote or a closing tag.
+_VALUE = re.compile(
+    rb"(?!::|://)(?:=>|:=|=|:)[=>]?[\x20\t]*+(?:\r?\n[\x20\t]*+)?+(?:(?:bearer|basic|token)[\x20\t]++)?+(?:"
+    rb"(?P<a>[\"'`])(?P<quoted>(?:\\.|(?!(?P=a))[^\n\\]){4,1024}+)(?P=a)"
+    rb"|\\(?P<b>[\"'`])(?P<inner>(?:(?!\\(?P=b))[^\n]){4,1024}+)\\(?P=b)"
+    rb"|\\?[\"'`]*+(?P<plain>(?:(?![?&;,][\w.-]{1,64}\s?[=:])(?!\\?[\"'`](?=[\s,;)\]}>]|\Z))(?!</\w)\S)++))", re.I)
+_PLACEHOLDER = re.compile(
+    r"\$?\{.*\}|\$\(.*\)|<.*>|%\w|(.)\1+|none|null|true|false|undefined|(?:os\.(?:environ|getenv)|process\.env|getenv)\b.*", re.I | re.S)
+# Words that prose puts before a colon, too.
+_PROSE = re.compile(r"(?:key|token|auth|credential)\w*\s*:\s*$", re.I)
 _ISSUED = re.compile(r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})\Z")
 _HARMLESS = re.compile(
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9.+-]+|[A-Za-z.-]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
@@ -92,7 +106,7 @@ def _longest(text: str, pattern: str) -> int:
     return max(map(len, re.findall(pattern, text)), default=0)
 
 
-def _features(found: str, before: str, after: str, known: np.ndarray) -> list[float]:
+def _features(found: str, before: str, after: str, named: bool, known: np.ndarray) -> list[float]:
     n = len(found)
     kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in found]
     counts = np.unique(list(found), return_counts=True)[1] / n
@@ -106,50 +120,64 @@ def _features(found: str, before: str, after: str, known: np.ndarray) -> list[fl
         float(known[codes].mean()) if len(codes) else 0.0,
         found.count("/"), found.count("."), found.count("@"), found.count("-"), len(set(found)) / n,
         _longest(found, "[A-Za-z]+") / n, _longest(found, "[0-9]+") / n,
-        float(bool(_NAMED.search(before))), float(before.rstrip(" \"'").endswith(("=", ":"))),
+        float(named), float(before.rstrip(" \"'").endswith(("=", ":"))),
         float(before.endswith(("\"", "'")) and after.startswith(("\"", "'"))),
         float(any(w in before.lower() for w in SECRET_WORDS)), float(any(w in after.lower() for w in SECRET_WORDS)),
         len(beside[-1]) if beside else 0, len(behind[0]) if behind else 0]
 
 
-def _label(found: str, before: str, password: bool) -> int:
+def _label(found: str, before: str, after: str, named: bool, password: bool) -> int:
     """What the rules of known formats say: 1 a secret, 0 none, -1 nothing.
 
     Behind a naming word nothing is harmless by its form: what has a digit and could be a path without dots or
-    a UUID is a secret, and what could be an address, a number or words is left to the forest.
+    a UUID is a secret, and what could be an address, a number or words is left to the forest, but for a placeholder, or a
+    word in prose.
     """
     if password or _ISSUED.match(found):
         return 1
     harmless = _HARMLESS.fullmatch(found)
-    if _NAMED.search(before):
-        return 1 if re.search(r"\d", found) and (not harmless or re.fullmatch(r"[\w/~-]*[A-Za-z][\w/~-]*", found)) else -1
-    return 0 if harmless else -1
-
-
-def _values(block: Block) -> list[tuple[int, int]]:
-    """Start and end of the values that stand where only a secret does, in order: passwords of user:password@host."""
-    data, found, last = block.data.tobytes(), [], 0
-    for colon in np.flatnonzero(block.data == 0x3A).tolist():
-        i = int(np.searchsorted(block.bounds, colon, "right")) - 1
+    if not named:
+        return 0 if harmless else -1
+    if _PLACEHOLDER.fullmatch(found) or (found.isalpha() and _PROSE.search(before) and re.match(r",? [a-z]", after)):
+        return 0
+    if len(found) < 8 or not re.search(r"\d", found) or re.search(r"\s|://", found):
+        return -1
+    return 1 if not harmless or re.fullmatch(r"[\w/~-]*[A-Za-z][\w/~-]*", found) else -1
+
+
+def _values(block: Block) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Start and end of what stands where a secret does: passwords of user:password@host, and values behind naming words."""
+    data, passwords, named, last, held = block.data.tobytes(), [], [], 0, 0
+    signs = np.flatnonzero((block.data == 0x3A) | (block.data == 0x3D))
+    for i, at in zip((np.searchsorted(block.bounds, signs, "right") - 1).tolist(), signs.tolist()):
         low, high = int(block.bounds[i]), int(block.bounds[i + 1])
-        if colon < last:
-            continue
-        if _USER.search(data, max(low, colon - _NAME_BYTES), colon + 1):
-            value = _PASSWORD.match(data, colon + 1, high)
+        if at >= last and _USER.search(data, max(low, at - _NAME_BYTES), at + 1):
+            value = _PASSWORD.match(data, at + 1, high)
             if value:
-                found.append(value.span(1))
+                passwords.append(value.span(1))
                 last = value.end()
-    return found
+        # A name inside an unquoted value is part of that value, which keeps long runs linear.
+        elif at >= held and _NAME.search(data, max(low, at - _NAME_BYTES), at):
+            value = _VALUE.match(data, at, high)
+            if value:
+                s, e = value.span(value.lastgroup)
+                if value.lastgroup == "plain":
+                    held = e
+                    # Marks at the end belong to the sentence.
+                    while e > s and data[e - 1] in b".,;:)]}>\"'`\\":
+                        e -= 1
+                if e - s >= MIN_VALUE:
+                    named.append((s, e))
+    return passwords, named
 
 
 def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
     """Per text of a block its candidates, by code points."""
-    values = _values(block)
-    given = set(values)
+    passwords, values = _values(block)
     rest = block.data
-    if values:
+    if passwords:
         rest = rest.copy()
-        for s, e in values:
+        for s, e in passwords:
             rest[s:e] = 0x20
     words = Words(Block(rest, block.bounds, block.first), _KEY)
     long_ones = np.flatnonzero(words.ends - words.starts >= MIN_LENGTH)
@@ -170,7 +198,8 @@ def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
             s += 1
         if e - s >= MIN_LENGTH:
             spans.append((s, e))
-    spans = sorted(spans + values)
+    secret, behind = set(passwords), set(values)
+    spans = sorted({*spans, *secret, *behind})
     owner = np.searchsorted(block.bounds, [s for s, _ in spans], "right") - 1
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if spans else None
     out: list[list[dict]] = [[] for _ in range(len(block))]
@@ -179,9 +208,10 @@ def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
         found = data[s:e].tobytes().decode()
         before = data[max(low, s - _BESIDE):s].tobytes().decode(errors="ignore")
         after = data[e:min(high, e + _BESIDE)].tobytes().decode(errors="ignore")
+        named = (s, e) in behind or bool(_NAMED.search(before))
         out[i].append({
-            "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before, (s, e) in given),
-            "issued": bool(_ISSUED.match(found)), "x": _features(found, before, after, known)})
+            "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before, after, named, (s, e) in secret),
+            "issued": bool(_ISSUED.match(found)), "x": _features(found, before, after, named, known)})
     return out
 
 
@@ -310,7 +340,7 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
 
 def redacted(text: str | Column, found: str | Column, threshold: float = 0.5) -> Column:
-    """``text`` with each finding of at least ``threshold`` replaced by :data:`REDACTED`; null stays null."""
+    """``text`` with each finding of at least ``threshold`` replaced by :data:`REDACTED`, overlapping ones as one; null stays null."""
 
     def replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
@@ -319,8 +349,9 @@ def redacted(text: str | Column, found: str | Column, threshold: float = 0.5) ->
             if own is not None and gone:
                 parts, at = [], 0
                 for start, end in gone:
-                    parts += [own[at:start], REDACTED]
-                    at = end
+                    if start >= at:
+                        parts += [own[at:start], REDACTED]
+                    at = max(at, end)
                 own = "".join([*parts, own[at:]])
             out.append(own)
         return pa.array(out, pa.string())

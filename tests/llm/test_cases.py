@@ -158,6 +158,30 @@ def test_the_password_of_a_connection_string_is_cut_out():
     assert 1 not in own_candidates("http://host.example:8080/some/path1/x2").values()
 
 
+@pytest.mark.parametrize("text, value", [
+    ("password = 'Summer2024!' and", "Summer2024!"), ("the pwd: P@ss!w0rd#24.", "P@ss!w0rd#24"),
+    ("secret = correcthorsebatterystaple", "correcthorsebatterystaple"), ("token=ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOP"),
+    ('{"password": "two words, é", "user": "x"}', "two words, é"), ('{\\"passwd\\":\\"a$b*c\\"}', "a$b*c"),
+    ("?api_key=a1!b2&user=bob", "a1!b2"), ("auth: http://h.example/?token=x#1y", "x#1y"), ("Authorization: Bearer abc.def", "abc.def"), ("<a b='token=q#w&e'>", "q#w&e")])
+def test_values_behind_naming_words_are_candidates(text, value):
+    assert value in own_candidates(text)
+    assert value in own_candidates("é " + text)
+
+
+def test_values_that_hold_other_findings_are_redacted_once(spark):
+    spans = [(1, 4, 1.0), (2, 3, 1.0), (3, 6, 1.0), (8, 9, 0.1)]
+    docs = spark.createDataFrame([("abcdefghijk", spans)], "t string, f array<struct<start:int, end:int, score:double>>")
+    assert docs.select(secrets.redacted("t", "f")).head()[0] == f"a{secrets.REDACTED}ghijk"
+
+
+def test_short_passwords_are_redacted_and_prose_stays(spark):
+    some = [(i, f"password = 'Summer20{i}!' end") for i in range(10, 40)]
+    some += [(i, f"the key: remember this, and write to someone.{i}@mail.example.com") for i in range(100, 130)]
+    docs = frame(spark, some)
+    clean = dict(docs.select("doc_id", secrets.redacted("text", secrets.scored("text", *secrets.scanner(docs)))).collect())
+    assert all(clean[i] == (t if i >= 100 else f"password = '{secrets.REDACTED}' end") for i, t in some)
+
+
 def tree(spark, some):
     importable(spark)
     return spark.createDataFrame(some, "t long, n long, p long, role string, text string, score double")
