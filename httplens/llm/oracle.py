@@ -91,6 +91,94 @@ SELECT doc_id, class_id, n_copies, CAST(n_copies - 1 + coalesce(c.n, 0) AS BIGIN
 FROM classes JOIN groups ON node = class_id LEFT JOIN counts c ON c.x = class_id"""
 
 
+REPAIR = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations),
+hashed AS (
+    SELECT *, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+        lambda s, b: list_reduce(
+            list_prepend(xor(s, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])),
+            lambda x, z: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1)))), CAST(4294967295 AS UBIGINT)) % 20 AS harm
+    FROM keyed),
+harmed AS (
+    SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+           CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM hashed WHERE harm <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM harmed),
+looked AS (
+    SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen
+    FROM numbered),
+turns AS (
+    SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+           CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN body NOT SIMILAR TO '(.|\n)*[.!?]' THEN 'truncated' ELSE '' END AS fault
+    FROM looked),
+gap(a, b, letter, cost) AS (
+    VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 3), (1, 2, 'I', 3), (3, 2, 'I', 3), (2, 3, 'I', 3)),
+form(a, b, initial) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+edge AS (
+    SELECT DISTINCT a AS a, a AS b, 'D' AS letter, 4 AS cost, NULL AS initial FROM gap
+    UNION ALL SELECT a, b, 'K', 0, initial FROM form
+    UNION ALL SELECT a, b, 'R', 3, NULL FROM form WHERE initial <> 's'),
+node AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '000000000' AS weight FROM turns
+    UNION ALL
+    SELECT t.conv_id, t.i, e.b, min(lpad(CAST(CAST(left(n.weight, 9) AS INTEGER) + g.cost + e.cost +
+               CASE WHEN t.fault = 'truncated' AND e.letter <> 'D' THEN 3 ELSE 0 END AS VARCHAR), 9, '0')
+           || substr(n.weight, 10) || g.letter || e.letter)
+    FROM node n JOIN turns t ON t.conv_id IS NOT DISTINCT FROM n.conv_id AND t.i = n.i + 1 JOIN gap g ON g.a = n.state JOIN edge e ON e.a = g.b
+    WHERE (e.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.initial = t.initial)
+    GROUP BY t.conv_id, t.i, e.b),
+counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM turns GROUP BY conv_id),
+best AS (
+    SELECT c.conv_id, min(lpad(CAST(CAST(left(weight, 9) AS INTEGER) + g.cost AS VARCHAR), 9, '0') || substr(weight, 10) || g.letter) AS weight
+    FROM node JOIN counted c ON c.conv_id IS NOT DISTINCT FROM node.conv_id AND node.i = c.n JOIN gap g ON g.a = state
+    WHERE g.b IN (0, 3) GROUP BY c.conv_id),
+letters AS (
+    SELECT conv_id, unnest(string_split(substr(weight, 10), '')) AS letter, unnest(range(1, length(weight) - 8)) AS k,
+           length(replace(substr(weight, 10), 'D', '')) AS size
+    FROM best WHERE length(weight) > 9),
+placed AS (
+    SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER own AS i, count(*) FILTER (WHERE letter <> 'D') OVER own - 1 AS position
+    FROM letters WINDOW own AS (PARTITION BY conv_id ORDER BY k)),
+repaired AS (
+    SELECT p.conv_id, position, CASE WHEN letter = 'K' THEN t.role WHEN (position - size % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+           CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text
+    FROM placed p LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i
+    WHERE letter <> 'D'),
+texts AS (SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY position)) AS digest FROM repaired GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(weight, 9), '0') AS BIGINT) AS cost,
+       coalesce(substr(weight, 10), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+LEXICAL = rf"""
+WITH terms AS (SELECT doc_id, unnest({_ALNUM}) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+wanted AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS term FROM benchmark),
+times AS (SELECT doc_id, term, count(*) AS tf FROM terms SEMI JOIN wanted USING (term) GROUP BY doc_id, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM times, whole GROUP BY term, docs),
+parts AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part
+    FROM times JOIN weights USING (term) JOIN sizes USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": CHAT,
@@ -98,4 +186,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_repeats": REPEATS,
         "op7_warc": WARC,
         "op10_jaccard": JACCARD,
+        "op11_repair": REPAIR,
+        "op13_lexical": LEXICAL,
     }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from httplens.llm import chat, chunks, contamination, jaccard, packing, pii, quality, repeats, secrets, warc
+from httplens.llm import (
+    chat, chunks, contamination, jaccard, language, lexical, packing, pii, quality, repair, repeats, secrets, warc)
 from httplens.llm.rows import importable
 from httplens.session import scratch_path
 
@@ -97,6 +98,32 @@ def _jaccard(spark, sf_dir):
     return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
 
 
+def _repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = repair.damaged(turns)
+    found = repair.Repair(rows)
+    key = F.struct("conv_id").alias("key")
+    report = turns.select(key).distinct()
+    for part in (repair.gaps(rows), found.report, repair.turns_digest(found.turns)):
+        report = report.join(part.select(key, *[c for c in part.columns if c != "conv_id"]), "key", "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", *repair.COUNTS, "cost")]
+    return report.select(
+        "key.conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out("doc_id")))
+    found = docs.select("doc_id", language.held_out("doc_id").alias("held_out"), language.identified("text", model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+def _lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": _packing,
@@ -109,4 +136,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": _pii,
         "op9_fingerprints": _chunks,
         "op10_jaccard": _jaccard,
+        "op11_repair": _repair,
+        "op12_language": _language,
+        "op13_lexical": _lexical,
     }
