@@ -7,7 +7,10 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,31 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+# What a task keeps while it runs: powers of hash bases, encoders.
+KEPT: list[dict] = []
+
+
+def released(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, after which its worker gives back what it took.
+
+    Workers outlive their tasks and are used by later stages; what one stage keeps is missing in the next.
+    """
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            for kept in KEPT:
+                kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 class Block:
     """Consecutive texts of a batch: their bytes, and where each begins in them."""
 
@@ -105,6 +133,7 @@ def _letters(seed: int) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+KEPT.append(_POWERS)
 
 
 def _powers(n: int, seed: int) -> np.ndarray:

@@ -8,8 +8,10 @@ The index sorts captures by reversed-host URL key (``com,example)/path``) and re
 blocks. A sparse directory keeps the first key of each block. A lookup searches the directory, opens only the
 blocks found, searches in them, and reads only the byte ranges they name.
 
-A task holds one archive file and the ranges wanted of it, one block, or a part of the directory of at most
-``max_directory`` rows. Archives are shuffled to their ranges only where the ranges are too many for Spark to broadcast.
+Tasks open archives themselves and read by offset, a record at a time, wherever pyarrow knows the store (local and mounted
+folders, HDFS, S3, GCS): neither whole files nor payloads are moved between tasks. Of other stores Spark hands
+a task the whole file, at most ``max_records`` records, joined to its ranges. The directory is searched by sorting it together with
+the places wanted; none of it is collected.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from httplens.llm.text import released
+from httplens.operators.ordered import in_chunks
 from httplens.session import stage
 
 BLOCK_LINES = 300
-MAX_DIRECTORY = 500_000
+_AHEAD = 1 << 20
 
 # Fixed values of the format.
 END = "\r\n\r\n"
@@ -92,7 +98,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
 
 def write_archives(pages: DataFrame, path: str, max_records: int = 10_000, **options) -> None:
-    """The records of ``pages`` as archive files of at most ``max_records`` each, as a reader's task holds one file."""
+    """The records of ``pages`` as archive files of at most ``max_records`` each."""
     records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
 
 
@@ -155,17 +161,78 @@ def files(spark: SparkSession, path: str) -> DataFrame:
         "pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"), "content")
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store a file lies in, and its path there."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _has_ranges(archives: DataFrame) -> bool:
+    """Whether tasks can read ranges of the files themselves. Where they cannot, Spark hands them whole files."""
+    some = archives.select("file").head()
+    try:
+        return some is None or _store(some.file) is not None
+    except (pa.ArrowException, ImportError, OSError):
+        return False
+
+
+class _Archive:
+    """Reads of a file by offset, a little ahead."""
+
+    def __init__(self, file: str):
+        store, path = _store(file)
+        self.source = store.open_input_file(path)
+        self.size, self.data, self.at = self.source.size(), b"", 0
+
+    def read(self, at: int, size: int) -> bytes:
+        if not self.at <= at <= at + size <= self.at + len(self.data):
+            self.at, self.data = at, self.source.read_at(max(size, _AHEAD), at)
+        return self.data[at - self.at:at - self.at + size]
+
+    def headers(self, at: int) -> tuple[bytes, int]:
+        """The header lines at a place, and where they end."""
+        size = 1 << 10
+        while (end := self.read(at, min(size, self.size - at)).find(b"\r\n\r\n")) < 0:
+            if at + size >= self.size:
+                raise ValueError(f"no end of headers after byte {at}")
+            size *= 4
+        return self.read(at, end + 4), at + end + 4
+
+
+def _heads_in(file: str) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and both headers of each record; payloads are skipped."""
+    archive, at = _Archive(file), 0
+    while at < archive.size:
+        head, body = archive.headers(at)
+        end = body + int(_headers(head, 0)[0]["content-length"])
+        if archive.read(end, 4) != b"\r\n\r\n":
+            raise ValueError(f"no record end at byte {end}")
+        yield at, end + 4 - at, head + archive.headers(body)[0]
+        at = end + 4
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives: where it is and what its headers say."""
+    """Every record of the archives: where it is and what its headers say. A task holds one record's headers at a time."""
     schema = _arrow(CAPTURE)
 
-    def scan(batches):
+    def whole(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_buffer().to_pybytes()
                 yield _rows([(file, at, n, *parse_record(data[at:at + n], whole=False)[:-1]) for at, n in _records_in(data)], schema)
 
-    return files(spark, path).mapInArrow(scan, CAPTURE)
+    def heads(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                found = ((file, at, n, *parse_record(head, whole=False)[:-1]) for at, n, head in _heads_in(file))
+                while some := list(islice(found, 1000)):
+                    yield _rows(some, schema)
+
+    archives = files(spark, path)
+    if _has_ranges(archives):
+        return archives.select("file").mapInArrow(released(heads), CAPTURE)
+    return archives.mapInArrow(released(whole), CAPTURE)
 
 
 # --- the index -----------------------------------------------------------------------------
@@ -224,7 +291,7 @@ def write_index(found: DataFrame, path: str, block_lines: int = BLOCK_LINES) ->
         if lines:
             yield _rows([(first, len(lines), zlib.compress("\n".join(lines).encode()))], schema)
 
-    blocks = ordered.mapInArrow(cut, "first binary, n int, data binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = ordered.mapInArrow(released(cut), "first binary, n int, data binary").withColumn("block", F.monotonically_increasing_id())
     blocks.write.parquet(f"{path}/blocks")
     spark = found.sparkSession
     spark.read.parquet(f"{path}/blocks").select("first", "block").write.parquet(f"{path}/directory")
@@ -238,43 +305,24 @@ def _lines(data: bytes) -> list[tuple[bytes, str, int, int]]:
     return found
 
 
-def _searched(place: str, directory: list[tuple[bytes, int]]) -> Column:
-    firsts, numbers = [r[0] for r in directory], [r[1] for r in directory]
+def _blocks_of(wanted: DataFrame, path: str) -> DataFrame:
+    """The blocks each wanted place can be in: the last that begins before it, and all that begin with it.
 
-    def search(places: pa.Array) -> pa.Array:
-        out = []
-        for wanted in places.to_pylist():
-            last = bisect.bisect_right(firsts, wanted)
-            first = max(0, bisect.bisect_left(firsts, wanted) - 1)
-            out.append(numbers[first:last])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return F.arrow_udf(search, "array<long>")(place)
-
-
-def _blocks_of(wanted: DataFrame, path: str, max_directory: int) -> DataFrame:
-    """The block of each wanted key: the last that begins at or before it.
-
-    A run of blocks that begin with the very same key is one place; all of them are opened.
+    Places and directory are sorted together into chunks; what crosses from chunk to chunk is one block number each.
     """
-    spark = wanted.sparkSession
-    directory = spark.read.parquet(f"{path}/directory")
-    n = directory.count()
-    parts = max(1, -(-n // max_directory))
-    bounds = [] if parts == 1 else [
-        bytes(r["first"]) for r in directory.select("first").repartitionByRange(parts, "first").withColumn(
-            "part", F.spark_partition_id()).groupBy("part").agg(F.min("first").alias("first")).orderBy("first").collect()]
-    edges = bounds or [b""]
-    found = None
-    for low, high in zip(edges, [*edges[1:], None]):
-        inside = F.lit(True) if low == edges[0] else F.col("first") >= F.lit(low)
-        asked = F.lit(True) if low == edges[0] else F.col("place") >= F.lit(low)
-        if high is not None:
-            inside, asked = inside & (F.col("first") < F.lit(high)), asked & (F.col("place") < F.lit(high))
-        rows = sorted((bytes(r["first"]), r["block"]) for r in directory.where(inside).collect())
-        hit = wanted.where(asked).withColumn("block", F.explode(_searched("place", rows)))
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    directory = wanted.sparkSession.read.parquet(f"{path}/directory").select(F.col("first").alias("place"), "block")
+    both = wanted.select("place", F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind")).unionByName(
+        directory.withColumn("kind", F.lit(1)))
+    placed = in_chunks(both, ["place", "kind", "block"])
+    here = F.last("block", ignorenulls=True).over(
+        Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max_by("block", F.when(F.col("block").isNotNull(), F.col("_pos")))
+    # One row per chunk, at most as many as there are partitions: safe to broadcast.
+    before = placed.groupBy("_chunk").agg(last.alias("last")).select("_chunk", F.last("last", ignorenulls=True).over(
+        Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    below = placed.withColumn("here", here).where("kind = 0").join(F.broadcast(before), "_chunk").select(
+        "place", F.coalesce("here", "carried").alias("block")).where("block IS NOT NULL")
+    return below.unionByName(wanted.join(directory, "place").select("place", "block"))
 
 
 def _beside(held: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
@@ -283,14 +331,13 @@ def _beside(held: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     return both.repartition(by).sortWithinPartitions(by, "asks")
 
 
-def lookup(wanted: DataFrame, archives: str, index: str, url: str = "url", record: str = "record_id",
-           max_directory: int = MAX_DIRECTORY) -> DataFrame:
+def lookup(wanted: DataFrame, archives: str, index: str, url: str = "url", record: str = "record_id") -> DataFrame:
     """The records of the wanted (url, record id) pairs, read from their byte ranges; pairs that are not there give no row."""
     spark = wanted.sparkSession
     place = F.concat(F.encode(F.col("key"), "UTF-8"), F.lit(b"\0"), F.encode(F.col("record"), "UTF-8"))
     asked = wanted.select(
         _url_keys(url).alias("key"), F.coalesce(F.col(record), F.lit("")).alias("record")).select(place.alias("place")).distinct()
-    found = _blocks_of(asked, index, max_directory)
+    found = _blocks_of(asked, index)
     blocks = spark.read.parquet(f"{index}/blocks").select("block", "data")
     ranges_schema = _arrow("file string, offset long, length long")
 
@@ -307,14 +354,29 @@ def lookup(wanted: DataFrame, archives: str, index: str, url: str = "url", recor
                         out.append(lines[k][1:])
             yield _rows(out, ranges_schema)
 
-    ranges = _beside(blocks, found, "block").mapInArrow(search, "file string, offset long, length long")
+    ranges = _beside(blocks, found, "block").mapInArrow(released(search), "file string, offset long, length long")
     found_in = stage(ranges.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")), "ranges")
     record_schema = _arrow(RECORD)
 
-    def read(batches):
+    def whole(batches):
         for batch in batches:
             for content, places in zip(batch.column("content"), batch.column("ranges")):
                 data = memoryview(content.as_buffer())
                 yield _rows([parse_record(bytes(data[r["offset"]:r["offset"] + r["length"]])) for r in places.as_py()], record_schema)
 
-    return files(spark, archives).join(found_in, "file").select("content", "ranges").mapInArrow(read, RECORD)
+    def read(batches):
+        for batch in batches:
+            for file, places in zip(batch.column(0).to_pylist(), batch.column(1)):
+                archive, out, held = _Archive(file), [], 0
+                for place in places.as_py():
+                    out.append(parse_record(archive.read(place["offset"], place["length"])))
+                    held += place["length"]
+                    if held >= _AHEAD:
+                        yield _rows(out, record_schema)
+                        out, held = [], 0
+                yield _rows(out, record_schema)
+
+    contents = files(spark, archives)
+    if _has_ranges(contents):
+        return found_in.mapInArrow(released(read), RECORD)
+    return contents.join(found_in, "file").select("content", "ranges").mapInArrow(released(whole), RECORD)

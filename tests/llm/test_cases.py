@@ -201,18 +201,19 @@ def test_no_turns(spark):
     assert chat.formatted(tree(spark, []), "t", "n", "p").collect() == []
 
 
-@pytest.mark.parametrize("max_directory", [500_000, 2])
-def test_archives_round_trip(spark, max_directory):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_archives_round_trip(spark, ranged, monkeypatch):
+    monkeypatch.setattr(warc, "_has_ranges", lambda archives: ranged)
     importable(spark)
     rows = [(k, f"https://a.example:8080/p?{k % 7}", "<p>é</p>" if k % 3 else f"page {k} \r\n\r\nWARC/1.0") for k in range(40)]
-    rows += [(50, None, ""), (51, "no url", None), (52, "http://x/\r\n", "\r\n\r\n")]
+    rows += [(50, None, ""), (51, "no url", None), (52, "http://x/\r\n", "\r\n\r\n"), (53, "http://long.example/", "é" * 2_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     archives, index = scratch_path(spark, "archives"), scratch_path(spark, "captures")
     warc.write_archives(pages, archives, max_records=5)
     found = warc.captures(spark, archives)
     assert found.count() == len(rows)
     warc.write_index(found, index, block_lines=3)
-    got = {int(r.record_id): r for r in warc.lookup(found, archives, index, max_directory=max_directory).collect()}
+    got = {int(r.record_id): r for r in warc.lookup(found, archives, index).collect()}
     assert set(got) == {r[0] for r in rows}
     for key, _, html in rows:
         payload = (html or "").encode()
