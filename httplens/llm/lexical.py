@@ -23,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from httplens.llm.text import ALNUM, LOWER, Block, Words, blocks
+from httplens.llm.text import ALNUM, LOWER, Block, Words, blocks, released
 from httplens.session import stage
 
 TOP = 50
 MAX_TERMS = 1_000_000
 LAST = np.iinfo(np.int64).max
 
-_CELLS = 1 << 21  # scores and postings that a task holds at once
+_CELLS = 1 << 19  # scores and postings that a task holds at once
+SALT = 32
 
 
 # --- terms and bags ------------------------------------------------------------------------
@@ -192,27 +193,30 @@ def _scored(batches: Iterator[pa.RecordBatch], about: Postings, top: int) -> Ite
             # Sums stay below 2^53, where doubles are whole numbers.
             score = np.bincount(cell, np.repeat(value[own], times_held), (b - a) * about.n_items).reshape(b - a, about.n_items)
             at, held = np.nonzero((score > 0) & (score >= least))
+            points = score[at, held].astype(np.int64)
+            good = _best(held, points, first[a + at], top, least)
+            rows = pa.array(a + at[good])
             fresh = pa.RecordBatch.from_arrays(
-                [pa.array(held.astype(np.int32)), pa.array(score[at, held].astype(np.int64)), pa.array(first[a + at]),
-                 *[batch.column(k).take(pa.array(a + at)) for k in range(3)]],
+                [pa.array(held[good].astype(np.int32)), pa.array(points[good]), pa.array(first[a + at[good]]),
+                 *[batch.column(k).take(rows) for k in range(3)]],
                 ["item", "score", "first", "hash", "m", "bag"])
-            kept = fresh if kept is None else pa.concat_batches([kept, fresh])
-            if kept.num_rows > 4 * top * about.n_items:
-                kept = _best(kept, top, least)
+            if kept is not None:
+                both = pa.concat_batches([kept, fresh])
+                fresh = both.take(pa.array(_best(*(both.column(k).to_numpy() for k in range(3)), top, least)))
+            kept = fresh
     if kept is not None:
-        yield _best(kept, top, least)
+        yield kept
 
 
-def _best(rows: pa.RecordBatch, top: int, least: np.ndarray) -> pa.RecordBatch:
+def _best(item: np.ndarray, score: np.ndarray, first: np.ndarray, top: int, least: np.ndarray) -> np.ndarray:
     """The ``top`` rows of each item; ``least`` becomes the lowest score that can still get among them."""
-    item, score, first = (rows.column(k).to_numpy() for k in range(3))
     order = np.lexsort((first, -score, item))
     own = item[order]
     heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
     rank = np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))
     full = order[rank == top - 1]
-    least[item[full]] = score[full]
-    return rows.take(pa.array(order[rank < top]))
+    least[item[full]] = np.maximum(least[item[full]], score[full])
+    return order[rank < top]
 
 
 # --- the search --------------------------------------------------------------------------------
@@ -234,7 +238,7 @@ def search(
     length. Without items or documents the result is empty.
     """
     asked = stage(items.select(F.monotonically_increasing_id().alias("_number"), F.col(item).alias("_item"), F.col(item_text).alias("_text")), "items")
-    spoken = stage(asked.select("_number", "_text").mapInArrow(_item_terms, "_number long, terms array<binary>"), "terms")
+    spoken = stage(asked.select("_number", "_text").mapInArrow(released(_item_terms), "_number long, terms array<binary>"), "terms")
     total = spoken.agg(F.sum(F.size("terms"))).head()[0] or 0
     parts = max(1, -(-total // max_terms))
     found = None
@@ -253,12 +257,12 @@ def _search(docs: DataFrame, spoken: DataFrame, top: int) -> DataFrame:
     place = {t: k for k, t in enumerate(terms)}
     vocabulary = Vocabulary(terms)
     wanted = [np.array([place[bytes(t)] for t in r.terms], np.int64) for r in rows]
-    bags = stage(docs.mapInArrow(lambda b: _bags(b, vocabulary), "doc long, n long, bag binary"), "bags")
+    bags = stage(docs.mapInArrow(released(lambda b: _bags(b, vocabulary)), "doc long, n long, bag binary"), "bags")
 
     size = bags.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).head()
     n_terms = len(vocabulary)
     df = np.zeros(n_terms, np.int64)
-    counted = bags.select("bag").mapInArrow(lambda b: _holders(b, n_terms), "term long, df long")
+    counted = bags.select("bag").mapInArrow(released(lambda b: _holders(b, n_terms)), "term long, df long")
     for row in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[row.term] = row.df
     about = postings(wanted, n_terms, df, size.docs)
@@ -268,15 +272,20 @@ def _search(docs: DataFrame, spoken: DataFrame, top: int) -> DataFrame:
     same = ["hash", "m", "bag"]
     classes = hashed.groupBy(*same).agg(F.min("doc").alias("first"))
     best = classes.select(*same, "first").mapInArrow(
-        lambda b: _scored(b, about, top), "item int, score long, first long, hash long, m long, bag binary")
+        released(lambda b: _scored(b, about, top)), "item int, score long, first long, hash long, m long, bag binary")
     ahead = Window.partitionBy("item").orderBy(F.desc("score"), "first", *same)
     picked = stage(best.withColumn("_at", F.row_number().over(ahead)).where(F.col("_at") <= top).drop("_at"), "picked")
 
-    # At most ``top`` classes an item. The narrow join by hash leaves few rows, which are then compared whole.
-    near = hashed.join(picked.select("hash", "m").distinct(), ["hash", "m"], "left_semi")
-    by_doc = Window.partitionBy(*same).orderBy(F.col("doc").asc_nulls_last())
-    members = near.withColumn("_at", F.row_number().over(by_doc)).where(F.col("_at") <= top).drop("_at")
+    # At most ``top`` classes an item. The narrow join by hash leaves few rows, which are then compared whole. A class may
+    # hold a third of all documents: its smallest are found among each of the salts first.
+    chosen = stage(picked.select(*same).distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    near = hashed.join(chosen.select("hash", "m").distinct(), ["hash", "m"], "left_semi").join(chosen, same).select("class", "doc")
+    members = near.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALT)))
+    for own in (["class", "_salt"], ["class"]):
+        by_doc = Window.partitionBy(*own).orderBy(F.col("doc").asc_nulls_last())
+        members = members.withColumn("_at", F.row_number().over(by_doc)).where(F.col("_at") <= top).drop("_at")
     ranking = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc").asc_nulls_last())
-    ranked = picked.drop("first").join(members, same).withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= top)
+    found = picked.join(chosen, same).select("item", "score", "class").join(members.select("class", "doc"), "class")
+    ranked = found.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= top)
     numbers = spoken.sparkSession.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "item int, _number long")
     return ranked.join(numbers, "item").select("_number", "rank", "doc", "score")
