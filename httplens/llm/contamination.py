@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from httplens.llm.text import ALNUM, LOWER, Words, blocks, covered, windows, within
+from httplens.llm.text import ALNUM, LOWER, Words, blocks, covered, released, windows, within
 
 WINDOW = 13
 MAX_NGRAMS = 2_000_000
@@ -79,7 +79,7 @@ def benchmark_ngrams(
     without an id is known by the empty string; rows that share an id are one item.
     """
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    found = rows.mapInArrow(lambda batches: _grams(batches, size), "gram binary, item string").distinct()
+    found = rows.mapInArrow(released(lambda batches: _grams(batches, size)), "gram binary, item string").distinct()
     total = found.count()
     parts = max(1, -(-total // max_ngrams))
 
@@ -137,6 +137,7 @@ def hits(text: str | Column, ngrams: Ngrams) -> Column:
     """Per text: words, words inside any n-gram, the items found, and the runs of such words."""
 
     @F.arrow_udf(RESULT)
+    @released
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             yield _scan(batch, ngrams)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from httplens.llm.rows import free_name, identified, named
-from httplens.llm.text import SOLID, Words, blocks, mix, windows
+from httplens.llm.text import SOLID, Words, blocks, mix, released, windows
 from httplens.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -323,7 +323,7 @@ def similar(
 def _similar(rows, text, size, threshold, tolerance, block) -> DataFrame:
     texts = rows.select("row_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     described = stage(texts.mapInArrow(
-        lambda b: _described(b, size),
+        released(lambda b: _described(b, size)),
         "row_id long, digest binary, n_shingles int, sign binary, bands array<long>"), "described")
     classes = stage(described.groupBy("digest").agg(
         F.min("row_id").alias("class_id"), F.count("*").alias("n_copies")), "classes")
@@ -336,17 +336,17 @@ def _similar(rows, text, size, threshold, tolerance, block) -> DataFrame:
     members = places.join(shared, "bucket").join(signed.select("class_id", "sign"), "class_id")
     spread = in_block_pairs(members, "bucket", "size", "class_id", block)
     edges = _sorted(spread, ["bucket", "_i", "_j"]).select("bucket", "class_id", "sign", "_own", "_i", "_j").mapInPandas(
-        lambda f: _bucket_edges(f, threshold, tolerance), "a long, b long")
+        released(lambda f: _bucket_edges(f, threshold, tolerance)), "a long, b long")
 
     clusters = stage(components(edges).select(F.col("node").alias("class_id"), F.col("root").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     own = clusters.join(sizes, "cluster")
     sets = texts.join(clusters.select(F.col("class_id").alias("row_id")), "row_id", "left_semi").mapInArrow(
-        lambda b: _sets(b, size), "class_id long, shingles binary")
+        released(lambda b: _sets(b, size)), "class_id long, shingles binary")
     clustered = sets.join(own, "class_id").join(signed.drop("bands"), "class_id")
     spread = in_block_pairs(clustered, "cluster", "size", "class_id", block)
     found = stage(_sorted(spread, ["cluster", "_i", "_j"]).mapInPandas(
-        lambda f: _verified(f, threshold, tolerance),
+        released(lambda f: _verified(f, threshold, tolerance)),
         "class_id long, n_links long, n_class_links long, other long"), "found")
     links = found.where("n_class_links > 0").groupBy("class_id").agg(
         F.sum("n_links").alias("n_links"), F.sum("n_class_links").alias("n_class_links"))

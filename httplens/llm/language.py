@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from httplens.llm.text import ALNUM, LOWER, Block, blocks, mix
+from httplens.llm.text import ALNUM, LOWER, Block, blocks, mix, released
 
 MAX_ROWS = 4_000
 WIDTH, SIZES = 1 << 12, (2, 3, 4)
@@ -222,7 +222,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                         [batch.column(0).slice(part.first, len(part)).cast(pa.string()),
                          batch.column(1).slice(part.first, len(part)), pa.array(found, pa.binary())], ["key", "lang", "x"])
 
-    found = sorted(own.mapInArrow(counted, "key string, lang string, x binary").collect())
+    found = sorted(own.mapInArrow(released(counted), "key string, lang string, x binary").collect())
     x = np.frombuffer(b"".join(bytes(r.x) for r in found), np.float32).reshape(len(found), WIDTH)
     some = x.any(axis=1)
     return fit(x[some], [r.lang for r, good in zip(found, some.tolist()) if good], **options)
@@ -232,6 +232,7 @@ def identified(text: str | Column, model: Model | None) -> Column:
     """``lang`` and ``score`` of each whole text; ``und`` and 0 where the text is null or has no letter, or nothing was learned."""
 
     @F.arrow_udf(RESULT)
+    @released
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             langs, scores = [], [np.zeros(0)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from httplens.llm.text import blocks
+from httplens.llm.text import blocks, released
 from httplens.llm.tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -191,4 +191,4 @@ def pack(
     def run(batches):
         return _packed(batches, arrow, encoder(tokenizer, ranks).block, end_id, buffer_tokens, make)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from httplens.llm.text import ALNUM, LOWER, NO_BREAK, SOLID, Block, Words, blocks
+from httplens.llm.text import ALNUM, LOWER, NO_BREAK, SOLID, Block, Words, blocks, released
 
 MAX_LABELS = 20_000
 TREES, DEPTH, BINS, RATE, L2 = 80, 4, 64, 0.15, 2.0
@@ -200,7 +200,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
                 [batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows.astype(np.float64).tolist(), pa.list_(pa.float64()))],
                 ["key", "label", "x"])
 
-    found = sorted(own.mapInArrow(counted, "key string, label int, x array<double>").collect())
+    found = sorted(own.mapInArrow(released(counted), "key string, label int, x array<double>").collect())
     x = np.array([r.x for r in found], np.float32).reshape(len(found), len(STATISTICS))
     return x, np.array([r.label for r in found], np.float64)
 
@@ -214,6 +214,7 @@ def score(text: str | Column, model: Trees) -> Column:
     """The probability of label 1 by the statistics of each text alone; a null text counts as empty."""
 
     @F.arrow_udf("double")
+    @released
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = [model.score(statistics(block)) for block in blocks(texts)]

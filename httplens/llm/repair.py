@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from httplens.llm.text import released
 from httplens.operators.ordered import number_rows
 from httplens.session import stage
 
@@ -280,7 +281,7 @@ def _tables(pieces: DataFrame) -> DataFrame:
     kind = pieces.schema["key"].dataType.simpleString()
     schema = f"key {kind}, {{}} long, {_TABLE}, {_COUNTS}"
     given = pieces.join(_seen_before(pieces), ["key", "piece"], "left").select("key", "piece", "turns", "seen", edge.alias("edge"))
-    tables = stage(given.mapInArrow(lambda b: _mapped(b, _one_piece, _ARROW_TABLE), schema.format("piece")), "tables")
+    tables = stage(given.mapInArrow(released(lambda b: _mapped(b, _one_piece, _ARROW_TABLE)), schema.format("piece")), "tables")
 
     spans = tables.groupBy("key").agg(F.min("piece").alias("low"), F.count("*").alias("pieces"))
     placed = tables.join(spans, "key").withColumn("at", F.col("piece") - F.col("low"))
@@ -290,7 +291,7 @@ def _tables(pieces: DataFrame) -> DataFrame:
     while several.agg(F.max("at")).head()[0]:
         grouped = several.groupBy("key", F.expr(f"at div {FAN_IN}").alias("_at")).agg(F.sort_array(F.collect_list(parts)).alias("parts"))
         several = stage(grouped.mapInArrow(
-            lambda b: _mapped(b, _joined_pieces, _ARROW_TABLE), schema.format("_at")).withColumnRenamed("_at", "at"), "several")
+            released(lambda b: _mapped(b, _joined_pieces, _ARROW_TABLE)), schema.format("_at")).withColumnRenamed("_at", "at"), "several")
     return whole.unionByName(several.drop("at"))
 
 
@@ -330,7 +331,7 @@ class Repair:
         first = self._rows.groupBy("key").agg(F.min("no").alias("first"))
         edit = "array<struct<edit:string, position:long, role:string>>"
         cut = stage(self._found.join(first, "key").select("key", "first", "audit").mapInArrow(
-            _cut, f"key {self._kind}, piece long, start long, edits {edit}, extra {edit}"), "edits")
+            released(_cut), f"key {self._kind}, piece long, start long, edits {edit}, extra {edit}"), "edits")
         kept = self._rows.join(cut, ["key", "piece"]).withColumn("own", F.get("edits", (F.col("no") - F.col("start")).cast("int")))
         kept = kept.where("own.edit <> 'D'").select(
             "key", "own.position", F.coalesce("own.role", "role").alias("role"), "text", "own.edit")
@@ -390,5 +391,5 @@ def turns_digest(turns: DataFrame, conversation: str = "conv_id") -> DataFrame:
     kind = f"struct<conv:{turns.schema[conversation].dataType.simpleString()}>"
     arrow = pa.struct([("conv", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[turns.schema[conversation].dataType.simpleString()])])
     ordered = turns.select(key, "position", "role", "text").repartition("key").sortWithinPartitions("key", "position")
-    return ordered.mapInArrow(lambda b: _hashed(b, arrow), f"key {kind}, repaired_sha256 string").select(
+    return ordered.mapInArrow(released(lambda b: _hashed(b, arrow)), f"key {kind}, repaired_sha256 string").select(
         F.col("key.conv").alias(conversation), "repaired_sha256")

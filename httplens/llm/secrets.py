@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from httplens.llm.quality import Trees, edges_of
-from httplens.llm.text import LOWER, Block, Words, blocks
+from httplens.llm.text import LOWER, Block, Words, blocks, released
 from httplens.session import stage
 
 MIN_LENGTH = 12
@@ -93,7 +93,7 @@ def dictionary(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["gram", "n"])
 
     counts = np.zeros(_LETTERS, np.int64)
-    sums = docs.select(text).mapInArrow(counted, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(released(counted), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     for row in sums.collect():
         counts[row.gram] = row.n
     return counts >= max(1.0, counts.sum() / _LETTERS)
@@ -219,6 +219,7 @@ def candidates(text: str | Column, known: np.ndarray) -> Column:
     """The candidates of each text with their features, and a label where the rules of known formats give one."""
 
     @F.arrow_udf(f"array<{FINDING}>")
+    @released
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [own for block in blocks(texts) for own in _candidates(block, known)]
@@ -306,6 +307,7 @@ def scored(text: str | Column, known: np.ndarray, forest: Trees) -> Column:
     """The candidates of each text with the forest's score; those in an issued format score one."""
 
     @F.arrow_udf("array<struct<start:int, end:int, score:double>>")
+    @released
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [own for block in blocks(texts) for own in _candidates(block, known)]

@@ -1,7 +1,7 @@
 """Token ids of many texts at once.
 
 Byte-level BPE cuts a text at white space before it merges, so that a run of white space and what follows it up to
-the next can be encoded by itself. Such chunks repeat; each worker keeps those it has met, by a 64-bit
+the next can be encoded by itself. Such chunks repeat; each task keeps those it has met, by a 64-bit
 hash, in a table of fixed size where a newer chunk takes an older one's place, and encodes only what
 is not there. Texts with special tokens or white space beyond ASCII, and chunks beyond Latin letters, go to
 the tokenizer as they are.
@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from httplens.llm.text import Block, _letters, _powers, mix
+from httplens.llm.text import KEPT, Block, _letters, _powers, mix
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,8 +22,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # White space that ASCII does not have, in UTF-8.
 _WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
-_SLOTS = 1 << 21
-_KNOWN_IDS = 1 << 23
+_SLOTS = 1 << 19
+_KNOWN_IDS = 1 << 21
 
 
 class Encoder:
@@ -135,10 +135,11 @@ def _quick(ranks: str):
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(path: str, ranks: str | None = None) -> Encoder:
-    """One encoder per worker."""
+    """One encoder per task."""
     found = _ENCODERS.get((path, ranks))
     if found is None:
         found = _ENCODERS[path, ranks] = Encoder(path, ranks)
