@@ -370,6 +370,8 @@ def oracle_sql() -> dict[str, str]:
     found = {name: f"WITH {cte} {sql}" for name, sql in _over_traffic().items()}
     found["T-3"] = f"WITH {cte} {_REPEATS}"
     found["W-5"] = f"WITH {cte} {_ALERTS}"
+    found["W-5_emitted"] = f"SELECT since, host, path, true AS reached FROM (WITH {cte} {_ALERTS})"
+    found["W-3_sketches"] = f"WITH {cte} SELECT host, protocol, count(*) AS requests, true AS close FROM traffic GROUP BY host, protocol"
     for name in ("http", "https"):
         cte += f", {name}_only AS (SELECT * FROM traffic WHERE protocol = '{name}')"
     found["M6_by_protocol"] = f"WITH {cte} " + " UNION ALL ".join(

@@ -252,6 +252,21 @@ def _twice(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
 
 
+def _in_parts(spark, sf_dir, start: Callable[[DataFrame, str], object], repeats: bool = True, parts: int = 3) -> None:
+    """The exchanges arrive in ``parts`` batches; what has arrived comes again with each, a minute later and with other texts."""
+    inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "inbox-checkpoint")
+    raw = fixture.raw_exchanges(spark, sf_dir)
+    again = raw.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE")).withColumn("host", F.lit("repeat.invalid")).withColumn(
+        "path", F.concat(F.lit("/again"), "path"))
+    for k in range(parts):
+        arriving = raw.where(F.pmod("id", F.lit(parts)) == k)
+        if repeats:
+            arriving = arriving.unionByName(again.where(F.pmod("id", F.lit(parts)) <= k))
+        arriving.write.parquet(f"{inbox}/{k}")
+        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(inbox)
+        start(stream, checkpoint).awaitTermination()
+
+
 def _drain(spark, start: Callable[[str, str], object], label: str) -> str:
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     start(path, checkpoint).awaitTermination()
@@ -259,9 +274,10 @@ def _drain(spark, start: Callable[[str, str], object], label: str) -> str:
 
 
 def _captured(spark, sf_dir):
-    """The whole stream is captured, then sent a second time from the start with other hosts."""
+    """The stream is captured in parts with repeats, then all of it is sent from the start with other hosts."""
+    path = scratch_path(spark, "capture")
+    _in_parts(spark, sf_dir, lambda stream, c: cap.capture(stream, path, c, every=None))
     raw = fixture.raw_stream(spark, sf_dir)
-    path = _drain(spark, lambda p, c: cap.capture(_twice(raw), p, c, every=None), "capture")
     again = raw.withColumn("host", F.lit("repeat.invalid"))
     cap.capture(again, path, scratch_path(spark, "again-checkpoint"), every=None).awaitTermination()
     return _readable(store.load_traffic(spark, path))
@@ -290,10 +306,23 @@ PANEL_ROWS = {
 }
 
 
+def _panel_views(spark, sf_dir) -> str:
+    path, panels = scratch_path(spark, "panel-traffic"), scratch_path(spark, "panels")
+    _in_parts(spark, sf_dir, lambda stream, c: live.live_panels(stream, path, panels, c, every=None))
+    return panels
+
+
+def _live_sketches(spark, sf_dir):
+    """Whether the number of different paths by united sketches is within four standard errors of the exact one."""
+    panels = _panel_views(spark, sf_dir)
+    about, exact = live.distinct_paths(spark, panels), live.latest_panel(spark, panels, "hosts").select("host", "protocol", "unique_paths")
+    close = F.abs(F.col("about_paths") - F.col("unique_paths")) <= 0.065 * F.col("unique_paths") + 1
+    return about.join(exact, ["host", "protocol"]).select("host", "protocol", "requests", close.alias("close"))
+
+
 def _live_panels(spark, sf_dir):
-    """All panels after the stream has been drained, as (panel, label, n)."""
-    raw, panels = fixture.raw_stream(spark, sf_dir), scratch_path(spark, "panels")
-    _drain(spark, lambda p, c: live.live_panels(raw, p, panels, c, every=None), "panel-traffic")
+    """All panels after several batches with repeats, as (panel, label, n)."""
+    panels = _panel_views(spark, sf_dir)
     rows = [
         live.latest_panel(spark, panels, name).select(
             F.lit(name).alias("panel"),
@@ -324,6 +353,14 @@ def _alerts(spark, sf_dir):
     return live.latest_alerts(spark, path)
 
 
+def _emitted(spark, sf_dir):
+    """The alerts that left the stream, in three batches out of order."""
+    path = scratch_path(spark, "emitted")
+    _in_parts(spark, sf_dir, lambda stream, c: live.emitted_alerts(
+        ingest.normalize(stream), path, c, every=None, span="10 days", slide="1 day", late="4000 days"), repeats=False)
+    return live.past_alerts(spark, path).select("since", "host", "path", (F.col("failures") >= 3).alias("reached"))
+
+
 LIMITED = ("A4", "I3", "I4", "E3", "E5", "O2", "O3", "O4", "O5", "O7", "C1", "C2", "C3", "C4", "C5", "C6", "X3",
            "R5", "S2", "D2", "D3", "D4", "D5", "D6", "M2", "M3", "M5")
 
@@ -371,6 +408,8 @@ def queries() -> dict[str, Query]:
         "W-3": _live_panels,
         "W-4": _live_findings,
         "W-5": _alerts,
+        "W-3_sketches": _live_sketches,
+        "W-5_emitted": _emitted,
     }
     found |= {name: _sql(text) for name, text in SQL.items()}
     found |= {name: _over_traffic(run) for name, run in ORDERED.items()}

@@ -123,26 +123,33 @@ def numeric_id_patterns(traffic: DataFrame, limit: int | None = 30, exact=True)
 # --- dashboard panels --------------------------------------------------------
 
 
-def overview(traffic: DataFrame, exact=True) -> DataFrame:
+# Each panel also works on counted traffic, where ``weight`` is the column that says for how many requests a row stands.
+
+
+def _requests(weight: str | None) -> Column:
+    return F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long"))
+
+
+def overview(traffic: DataFrame, exact=True, weight: str | None = None) -> DataFrame:
     return traffic.agg(
-        F.count("*").alias("total_requests"), _distinct("host", exact).alias("unique_hosts"))
+        _requests(weight).alias("total_requests"), _distinct("host", exact).alias("unique_hosts"))
 
 
-def auth_failure_panel(traffic: DataFrame, limit: int | None = 15, exact=True) -> DataFrame:
+def auth_failure_panel(traffic: DataFrame, limit: int | None = 15, exact=True, weight: str | None = None) -> DataFrame:
     df = traffic.where(_denied()).groupBy("path").agg(
-        F.count("*").alias("hits"), _distinct("host", exact).alias("hosts"))
+        _requests(weight).alias("hits"), _distinct("host", exact).alias("hosts"))
     return _finish(df, ("-hits", "path"), limit)
 
 
-def server_error_panel(traffic: DataFrame, limit: int | None = 15) -> DataFrame:
+def server_error_panel(traffic: DataFrame, limit: int | None = 15, weight: str | None = None) -> DataFrame:
     df = traffic.where("status_code >= 500").groupBy("host", "path", "status_code").agg(
-        F.count("*").alias("hits"))
+        _requests(weight).alias("hits"))
     return _finish(df, ("-hits", "host", "path", "status_code"), limit)
 
 
-def attack_surface_panel(traffic: DataFrame, limit: int | None = 20, exact=True) -> DataFrame:
+def attack_surface_panel(traffic: DataFrame, limit: int | None = 20, exact=True, weight: str | None = None) -> DataFrame:
     df = _not_safe(traffic).groupBy("method", "host", "path").agg(
-        F.count("*").alias("requests"), _distinct("status_code", exact).alias("response_variants"))
+        _requests(weight).alias("requests"), _distinct("status_code", exact).alias("response_variants"))
     return _finish(df, ("-requests", "method", "host", "path"), limit)
 
 
@@ -151,18 +158,20 @@ def largest_response_panel(traffic: DataFrame, limit: int | None = 10) -> DataFr
     return _finish(traffic.select("id", *shown), ("-resp_length", "id"), limit).select(*shown)
 
 
-def interesting_path_panel(traffic: DataFrame, limit: int | None = 20) -> DataFrame:
+def interesting_path_panel(traffic: DataFrame, limit: int | None = 20, weight: str | None = None) -> DataFrame:
     """Searches before it counts: paths are nearly unique, and only those found are shuffled."""
     keys = ("host", "method", "path", "status_code")
-    found = with_texts(traffic.select(*keys), ("_path",)).where(any_of(F.col("_path"), P.INTERESTING_PATHS))
-    return _finish(found.groupBy(*keys).agg(F.count("*").alias("hits")), ("-hits", "path", "host", "method", "status_code"), limit)
+    shown = keys if weight is None else (*keys, weight)
+    found = with_texts(traffic.select(*shown), ("_path",)).where(any_of(F.col("_path"), P.INTERESTING_PATHS))
+    return _finish(found.groupBy(*keys).agg(_requests(weight).alias("hits")), ("-hits", "path", "host", "method", "status_code"), limit)
 
 
-def hosts_panel(traffic: DataFrame, limit=None, exact=True) -> DataFrame:
+def hosts_panel(traffic: DataFrame, limit=None, exact=True, weight: str | None = None) -> DataFrame:
+    one = F.lit(1) if weight is None else F.col(weight)
     df = traffic.groupBy("host", "protocol").agg(
-        F.count("*").alias("requests"),
+        _requests(weight).alias("requests"),
         _distinct("path", exact).alias("unique_paths"),
-        F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)).alias("errors"))
+        F.sum(F.when(F.col("status_code") >= 400, one).otherwise(0)).alias("errors"))
     return _finish(df, ("-requests", "host", "protocol"), limit)
 
 

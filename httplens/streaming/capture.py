@@ -32,18 +32,24 @@ def _stored(spark: SparkSession, path: str, project_id: str | None) -> DataFrame
 
 
 def store_batch(
-    batch: DataFrame, path: str, arrival: Sequence[str] = ("timestamp",), project_id: str | None = None
+    batch: DataFrame, path: str, arrival: Sequence[str] = ("timestamp",), project_id: str | None = None,
+    first: Callable[[DataFrame], object] | None = None,
 ) -> None:
     """Append the messages of a normalised batch that are not stored yet.
 
     A batch delivered again after a failure finds its own rows stored, whole or in part, and
-    adds only what is missing. Ids of different projects do not meet.
+    adds only what is missing. Ids of different projects do not meet. ``first`` gets the new messages before they are stored.
     """
     new = append_new(_stored(batch.sparkSession, path, project_id), batch, arrival=arrival)
+    if first is not None:
+        new = new.persist()
+        first(new)
     if project_id is None:
         new.write.mode("append").parquet(path)
     else:
         save_project(new, path, project_id)
+    if first is not None:
+        new.unpersist()
 
 
 def capture(
@@ -52,21 +58,20 @@ def capture(
     checkpoint: str,
     every: str | None = "30 seconds",
     project_id: str | None = None,
-    then: Callable[[DataFrame, int], None] | None = None,
+    first: Callable[[DataFrame, int], object] | None = None,
 ) -> StreamingQuery:
     """Store a stream of raw exchanges; the first arrival of an id wins, in and across batches.
 
     Duplicates inside a batch are combined before the shuffle and no per-id state is kept:
     each batch reads the ids of the table in its own range instead. With ``project_id`` the
-    table is the one partitioned by project and day. ``then`` gets the stored table after
-    each batch.
+    table is the one partitioned by project and day. ``first`` gets the new messages of each batch, and its
+    number, before they are stored.
     """
     create_table(raw.sparkSession, path, TRAFFIC if project_id is None else STORED)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        store_batch(normalize(batch), path, project_id=project_id)
-        if then is not None:
-            then(_stored(batch.sparkSession, path, project_id), batch_id)
+        told = None if first is None else lambda new: first(new, batch_id)
+        store_batch(normalize(batch), path, project_id=project_id, first=told)
 
     writer = raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return trigger(writer, every).start()
