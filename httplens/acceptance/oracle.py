@@ -7,7 +7,7 @@ side takes other ways. ``DISTINCT`` is left out where rows cannot repeat.
 from __future__ import annotations
 
 from httplens import patterns as P
-from httplens.acceptance.queries import LIMITED, PANEL_ROWS
+from httplens.acceptance.queries import FIRST, LIMITED, PANEL_ROWS
 from httplens.sources import fixture
 
 BASE = "id, host, method, path, status_code"
@@ -403,4 +403,18 @@ def oracle_sql() -> dict[str, str]:
         "G-5": f"WITH {_RESPONSES} {_CONTENT}",
         "G-6": f"WITH {_RESPONSES} {_HTTP}",
     }
+    found |= {f"{i}_first": found[i] for i in FIRST} | {f"{i}_ranked": found[i] for i in ("E3", "E5", "D5", "I3")}
+    found |= {"A2_sieved": found["A2"], "O1_sieved": found["O1"]}
+    found["T-2_no_time"] = f"WITH {normalized} SELECT id, CASE WHEN id % 2 = 0 THEN 'own' ELSE 'now' END AS time FROM captured"
+    found["T-5_files"] = f"SELECT * FROM ({found['T-5']}) WHERE id IN (SELECT id FROM ({found['E3']}))"
+    numbered = "row_number() OVER (ORDER BY category, name, sql_text)"
+    stored = f"{_SAVED}, stored AS (SELECT {numbered} AS id, category, name, sql_text FROM saved)"
+    found["K-2_stored"] = f"""WITH {_REPLIES}, {stored}, suggestions AS (
+        SELECT {_category('sql_text')} AS category, concat_ws('.', conv_id, turn, block_no) AS name, sql_text FROM blocks)
+        SELECT id, category, name, sql_text, true AS dated FROM stored UNION ALL
+        SELECT (SELECT count(*) FROM stored) + {numbered}, category, name, sql_text, true FROM suggestions"""
+    found["K-4_stored"] = f"""WITH {stored}
+        SELECT id, category, name, sql_text, true AS dated FROM stored WHERE id % 3 <> 0 UNION ALL
+        SELECT (SELECT count(*) FROM stored) + {numbered}, category, name, sql_text, true FROM stored"""
+    found["K-5_array"] = f"WITH {stored} SELECT *, true AS dated FROM stored"
     return found

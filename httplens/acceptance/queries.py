@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from httplens.functions.strings import preview
 from httplens.operators import ingest, keyed, lookup, ordered, replies
+from httplens.operators.saved import SavedQueries
 from httplens.plans.adhoc import execute, run_sql
 from httplens.plans.catalogue import CATALOGUE
 from httplens.session import scratch_path
-from httplens.sources import exchanges, export, fixture
+from httplens.sources import clustered, exchanges, export, fixture
 from httplens.sources import traffic as store
 from httplens.streaming import capture as cap
 from httplens.streaming import live
@@ -77,6 +78,32 @@ def _all_details(spark, sf_dir):
     return lookup.message_detail(traffic, lookup.default_listing(traffic, limit=None))
 
 
+def _clustered(spark, sf_dir) -> str:
+    path = scratch_path(spark, "clustered")
+    clustered.write_clustered(fixture.traffic(spark, sf_dir), path, files=32)
+    return path
+
+
+def _from_files(run: Callable[[SparkSession, str, str], DataFrame], analysis_id: str) -> Query:
+    """An analysis over the files that can hold its rows."""
+    return lambda spark, sf_dir: run(spark, _clustered(spark, sf_dir), analysis_id)
+
+
+def _message_files(spark, sf_dir):
+    """The largest responses of the panel, looked up one by one."""
+    path = _clustered(spark, sf_dir)
+    return clustered.messages(spark, path, [r.id for r in clustered.largest_findings(spark, path, "E3").collect()])
+
+
+def _no_time(spark, sf_dir):
+    """Exchanges without a time get that of the batch: one time for all of them, between its start and its end."""
+    raw = fixture.raw_exchanges(spark, sf_dir)
+    started = spark.range(1).select(F.current_timestamp()).head()[0]
+    dated = ingest.normalize(raw.withColumn("ts", F.when(F.col("id") % 2 == 0, F.col("ts"))))
+    now = F.col("timestamp").between(F.lit(started), F.current_timestamp())
+    return dated.select("id", F.when(F.col("id") % 2 == 0, F.lit("own")).when(now, "now").otherwise("other").alias("time"))
+
+
 def _csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     traffic = fixture.traffic(spark, sf_dir)
@@ -129,6 +156,44 @@ def _saved(spark, sf_dir):
         F.col("text").alias("sql_text"))
 
 
+def _stored(spark, sf_dir) -> SavedQueries:
+    """The documents as the stored table, in the order of their ids."""
+    table = SavedQueries(spark, scratch_path(spark, "saved"))
+    table.append(_saved(spark, sf_dir).drop("id"))
+    return table
+
+
+def _undated(table: SavedQueries) -> DataFrame:
+    return table.rows.select("id", "category", "name", "sql_text", F.col("created_at").isNotNull().alias("dated"))
+
+
+def _stored_appends(spark, sf_dir):
+    table = _stored(spark, sf_dir)
+    table.append(_suggestions(spark, sf_dir))
+    return _undated(table)
+
+
+def _stored_delete(spark, sf_dir):
+    """Every third row is deleted, then the first export is loaded again: no id comes twice."""
+    table, path = _stored(spark, sf_dir), scratch_path(spark, "definitions")
+    keyed.export_definitions(table.rows, path)
+    table.delete(table.rows.where("id % 3 = 0"))
+    table.load(path)
+    return _undated(table)
+
+
+def _array_import(spark, sf_dir):
+    """Files that hold one array of definitions each, as another program exports them."""
+    path = scratch_path(spark, "arrays")
+    saved = _saved(spark, sf_dir)
+    listed = saved.groupBy(F.floor(F.col("id") / 50).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct("category", "name", "sql_text"))).alias("value"))
+    listed.select("value", "file").write.partitionBy("file").text(path)
+    table = SavedQueries(spark, scratch_path(spark, "saved"))
+    table.load(path, multi_line=True)
+    return _undated(table)
+
+
 def _suggestions(spark, sf_dir):
     blocks = replies.suggest(fixture.replies(spark, sf_dir), "md")
     place = F.concat_ws(".", *[F.col(c).cast("string") for c in ("conv_id", "turn", "block_no")])
@@ -365,6 +430,10 @@ LIMITED = ("A4", "I3", "I4", "E3", "E5", "O2", "O3", "O4", "O5", "O7", "C1", "C2
            "R5", "S2", "D2", "D3", "D4", "D5", "D6", "M2", "M3", "M5")
 
 
+# Limited lists in the order of ids.
+FIRST = ("O4", "O7", "C1", "C2", "C6", "I4", "O3", "C3", "C4", "C5", "X3")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {i: _analysis(i) for i in CATALOGUE}
     found |= {f"{i}_all": _over_traffic(lambda t, i=i: CATALOGUE[i].run(t, limit=None)) for i in LIMITED}
@@ -386,7 +455,16 @@ def queries() -> dict[str, Query]:
         "T-10": _json_inferred,
         "T-11": _over_traffic(lookup.default_listing),
         "T-12": _project,
+        "T-2_no_time": _no_time,
+        "T-5_files": _message_files,
+        **{f"{i}_first": _from_files(clustered.first_findings, i) for i in FIRST},
+        **{f"{i}_ranked": _from_files(clustered.largest_findings, i) for i in clustered.RANKINGS},
+        "A2_sieved": _over_traffic(lambda t: CATALOGUE["A2"].run(t, sieved=True)),
+        "O1_sieved": _over_traffic(lambda t: CATALOGUE["O1"].run(t, sieved=True)),
         "K-1": _number,
+        "K-2_stored": _stored_appends,
+        "K-4_stored": _stored_delete,
+        "K-5_array": _array_import,
         "K-2": _append_with_ids,
         "K-3": lambda spark, sf_dir: keyed.listing(_saved(spark, sf_dir)),
         "K-4": _delete,

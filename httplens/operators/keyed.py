@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from httplens.operators.ordered import number_rows, running_count
 
@@ -46,15 +46,20 @@ def import_definitions(existing: DataFrame, path: str, unique: bool = False, mul
                        chunks: int | None = None) -> DataFrame:
     """The table after importing an export; imported rows get fresh ids.
 
-    Columns are found by name. With ``multi_line`` each file holds one array. A line that is no
-    definition, or one without category, name or text, stops the import: no column of the table may be null.
+    No column of the table may be null: a definition without category, name or text stops the import.
     """
-    rows = existing.sparkSession.read.schema("category string, name string, sql_text string").options(
-        mode="FAILFAST", multiLine=multi_line).json(path)
+    rows = read_definitions(existing.sparkSession, path, multi_line)
     given = [F.coalesce(c, F.raise_error(F.lit(f"a definition without {c}"))).alias(c) for c in rows.columns]
     return append_with_ids(existing, rows.select(*given), unique=unique, chunks=chunks)
 
 
+def read_definitions(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """An export as rows. Columns are found by name. With ``multi_line`` each file holds one array. A line that is no
+    definition stops the import."""
+    return spark.read.schema("category string, name string, sql_text string").options(
+        mode="FAILFAST", multiLine=multi_line).json(path)
+
+
 def categories(table: DataFrame) -> DataFrame:
     return table.select("category").distinct().orderBy("category")
 

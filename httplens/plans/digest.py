@@ -90,11 +90,11 @@ def _line(rows: DataFrame, order: Sequence[Column], text: Column, separator: str
         F.array_join(F.transform(items, lambda i: i["t"]), separator).alias("line"))
 
 
-def digest(traffic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def digest(traffic: DataFrame, by: Sequence[str] = (), max_methods: int = 50) -> DataFrame:
     """A short text about the traffic: one row, or one per ``by`` group (say, per project).
 
-    The methods line names every method seen, as its length is that of the method
-    list; hosts, statuses and recent requests are cut to their first few.
+    Every line is bounded: hosts, statuses and recent requests are cut to their first few, and of more than ``max_methods``
+    different methods the rarest are only counted.
     """
     cube = _cube(traffic, by)
     request = F.concat(F.col("method"), F.lit(" "), F.col("path"), F.lit("→"), F.col("status_code").cast("string"))
@@ -104,10 +104,12 @@ def digest(traffic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     lines = {
         "hosts": top("host", 5),
         "status": top("status_code", 8),
-        "methods": top("method", None),
+        "methods": top("method", max_methods),
         "recent": _line(newest, (-F.col("id"),), request, ", ", by),
     }
     df = _counters(cube, by)
+    left = F.col("methods") - max_methods
+    more = {"methods": F.when(left > 0, F.concat(F.lit(" and "), left.cast("string"), F.lit(" more"))).otherwise("")}
     for name, line in lines.items():
         column = f"_{name}"
         if by:
@@ -122,5 +124,5 @@ def digest(traffic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         number("total"), F.lit(" reqs | "), number("hosts"), F.lit(" hosts | "),
         number("methods"), F.lit(" methods | "), number("auth_fails"), F.lit(" auth_fails | "),
         number("server_errs"), F.lit(" server_errs\n"),
-        *[F.concat(F.lit(f"{name}: "), F.col(f"_{name}"), F.lit("\n")) for name in lines])
+        *[F.concat(F.lit(f"{name}: "), F.col(f"_{name}"), more.get(name, F.lit("")), F.lit("\n")) for name in lines])
     return df.select(*by, F.when(F.col("total") == 0, P.EMPTY_DIGEST).otherwise(text).alias("digest"))

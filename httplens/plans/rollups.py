@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from httplens import patterns as P
 from httplens.functions.match import any_of
+from httplens.functions.sieve import Sieve
 from httplens.functions.strings import first_number_to_id
 from httplens.functions.traffic_text import with_texts
 from httplens.plans.rules import order_by
@@ -67,9 +68,12 @@ def timeline_counts(traffic: DataFrame) -> DataFrame:
     return minutes.select(F.date_format("m", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
 
 
-def _mixed(traffic: DataFrame, ok: str, denied: str, limit) -> DataFrame:
+def _mixed(traffic: DataFrame, ok: str, denied: str, limit, sieved: bool) -> DataFrame:
+    answered = F.col("status_code") == 200
+    if sieved:
+        answered = answered & Sieve(traffic.where(_denied()), "path").may_hold("path")
     df = (
-        traffic.where((F.col("status_code") == 200) | _denied())
+        traffic.where(answered | _denied())
         .groupBy("path")
         .agg(F.count(F.when(F.col("status_code") == 200, 1)).alias(ok), F.count(F.when(_denied(), 1)).alias(denied))
         .where((F.col(ok) > 0) & (F.col(denied) > 0))
@@ -77,13 +81,17 @@ def _mixed(traffic: DataFrame, ok: str, denied: str, limit) -> DataFrame:
     return _finish(df, (f"-{denied}", "path"), limit)
 
 
-def mixed_auth_paths(traffic: DataFrame, limit=None) -> DataFrame:
-    """Paths that both answered 200 and refused; other statuses cannot matter and are cut at the scan."""
-    return _mixed(traffic, "ok_hits", "auth_fail_hits", limit)
+def mixed_auth_paths(traffic: DataFrame, limit=None, sieved: bool = False) -> DataFrame:
+    """Paths that both answered 200 and refused; other statuses cannot matter and are cut at the scan.
 
+    ``sieved`` reads the refusals first and keeps their paths as a Bloom filter of fixed size, so that of the many 200s only those on
+    refused paths are counted and shuffled. It pays where the table is too large for a second, narrow scan to matter.
+    """
+    return _mixed(traffic, "ok_hits", "auth_fail_hits", limit, sieved)
 
-def broken_access_paths(traffic: DataFrame, limit=None) -> DataFrame:
-    return _mixed(traffic, "ok_200", "denied", limit)
+
+def broken_access_paths(traffic: DataFrame, limit=None, sieved: bool = False) -> DataFrame:
+    return _mixed(traffic, "ok_200", "denied", limit, sieved)
 
 
 def non_get_endpoints(traffic: DataFrame, limit=None) -> DataFrame:

@@ -43,6 +43,7 @@ SAVED_QUERIES = T.StructType([
     T.StructField("category", T.StringType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("sql_text", T.StringType(), False),
+    T.StructField("created_at", T.TimestampType(), False),
 ])
 
 BASE = ("id", "host", "method", "path", "status_code")
