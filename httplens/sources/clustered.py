@@ -137,16 +137,17 @@ def largest_findings(spark: SparkSession, path: str, ranking: Ranking | str, lim
         return own.select(*kept).orderBy(*order).limit(limit)
 
     best, at, group = stage(read([]), "largest"), None, FIRST_FILES
-    while True:
-        left = directory(spark, path)
+    files = directory(spark, path).withColumn(size, F.coalesce(size, F.lit(-1)))  # a file without lengths comes last
+    while limit:
+        left = files
         if at is not None:
             left = left.where((F.col(size) < at[size]) | ((F.col(size) == at[size]) & (F.col("file") > at["file"])))
         names = left.orderBy(F.desc(size), "file").limit(group).select("file", size).collect()
-        least = best.agg(F.count("*").alias("n"), F.min(size).alias("least")).head()
+        least = best.agg(F.count("*").alias("n"), F.min(F.coalesce(size, F.lit(-1))).alias("least")).head()
         if least.n >= limit:
             # A file whose largest equals the last place may hold a smaller id.
             names = [n for n in names if n[size] >= least.least]
-        if not names or limit == 0:
+        if not names:
             break
         best = stage(best.unionByName(read([n.file for n in names])).orderBy(*order).limit(limit), "largest")
         at, group = names[-1], 2 * group

@@ -1,5 +1,7 @@
 """Streams against the same work done in one go."""
 
+import datetime as dt
+
 import pytest
 from conftest import SEED_B, exchange, raw_frame
 from pyspark.sql import functions as F
@@ -98,6 +100,43 @@ def test_panels_follow_the_table(spark, folders, tmp_path):
         assert text(live.latest_panel(spark, panels, name)) == text(panel(whole))
 
 
+def test_no_refresh_reads_the_stored_traffic(spark, folders, tmp_path):
+    """Panels after batches with repeats that differ; what they read is the views alone."""
+    inbox, out, checkpoint = folders
+    panels = str(tmp_path / "panels")
+    later = [(*row[:1], row[1] + dt.timedelta(hours=1), f"again.{row[2]}", *row[3:]) for row in SEED_B]
+    for k in range(5):
+        arrive(spark, inbox, str(k), [*SEED_B[2 * k:2 * k + 2], *later[:2 * k + 2]])
+        live.live_panels(stream(spark, inbox, 100), out, panels, checkpoint, every=None).awaitTermination()
+    whole = normalize(raw_frame(spark, SEED_B))
+    for name, panel in PANELS.items():
+        found = live.latest_panel(spark, panels, name)
+        assert text(found) == text(panel(whole))
+        assert found.inputFiles() and all(panels in f for f in found.inputFiles())
+    assert text(load_traffic(spark, out)) == text(whole)
+    exact = {(r.host, r.protocol): r.unique_paths for r in live.latest_panel(spark, panels, "hosts").collect()}
+    assert {(r.host, r.protocol): r.about_paths for r in live.distinct_paths(spark, panels).collect()} == exact
+
+
+def test_each_alert_leaves_the_stream_once(spark, folders):
+    inbox, out, checkpoint = folders
+    told = []
+
+    def run(name, *seconds):
+        arrive(spark, inbox, name, [exchange(1000 * len(told) + i, "h", 80, False, "GET", "/login", 401, seconds=s) for i, s in enumerate(seconds)])
+        live.emitted_alerts(
+            normalize(stream(spark, inbox, 100)), out, checkpoint, every=None, span="1 minute", slide="1 minute", late="10 minutes",
+            tell=lambda new: told.append(sorted((r.since, r.failures) for r in new.collect()))).awaitTermination()
+
+    run("1", 0, 10, 300)
+    run("2", 310, 20)  # the late one makes the first minute's third
+    run("3", 30, 320, 330)  # the first minute goes on growing
+    run("4", 2000)
+    run("5", 331, 332, 333, 0, 1)  # far behind the watermark
+    assert [a for batch in told for a in batch] == [("2024-05-01 12:00", 3), ("2024-05-01 12:05", 4)]
+    assert sorted(r.since for r in live.past_alerts(spark, out).collect()) == ["2024-05-01 12:00", "2024-05-01 12:05"]
+
+
 def test_timeline_counts_open_minutes_and_late_rows(spark, folders):
     inbox, out, checkpoint = folders
     rows = [exchange(i, "h", 80, False, "GET", "/", 200, seconds=20 * i) for i in range(90)]
