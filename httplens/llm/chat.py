@@ -67,20 +67,25 @@ def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")), "jumps")
 
 
+def _placed(tree: str, parent: str, score: str | None) -> Column:
+    """Parent and score of a message. Of messages that share an id the one with the least of both, then role and text, counts."""
+    up = F.when(F.col(parent).isNotNull(), F.struct(F.col(tree).alias("tree"), F.col(parent).alias("id")))
+    return F.struct(up.alias("up"), F.coalesce(F.col(score).cast("double") if score else F.lit(0.0), F.lit(0.0)).alias("score"))
+
+
 def branches(
     messages: DataFrame, tree: str, node: str, parent: str, score: str | None = None, top: int | None = 1,
 ) -> DataFrame:
     """The ``top`` paths of each tree (all for None): tree, node, ``rank``, ``path_score``, ``position`` from 1.
 
     A path runs from a root (no parent, or one that is not there) to a leaf. Its score is the mean of its messages'
-    scores (null as 0); ties go to the smaller leaf. Node ids are unique within a tree; of repeated ones one is kept.
+    scores (null as 0); ties go to the smaller leaf. Node ids are unique within a tree; of repeated ones one row is kept, that
+    with the least parent (none first), score, role and text.
     Trees may have a null id. Messages on a cycle, or replies to one, have no path.
     """
     key = F.struct(F.col(tree).alias("tree"), F.col(node).alias("id"))
-    own = messages.select(
-        key.alias("node"), F.when(F.col(parent).isNotNull(), F.struct(F.col(tree).alias("tree"), F.col(parent).alias("id"))).alias("up"),
-        F.coalesce(F.col(score).cast("double") if score else F.lit(0.0), F.lit(0.0)).alias("score"))
-    own = stage(own.groupBy("node").agg(F.min(F.struct("up", "score")).alias("m")).select("node", "m.up", "m.score"), "nodes")
+    own = messages.select(key.alias("node"), _placed(tree, parent, score).alias("m"))
+    own = stage(own.groupBy("node").agg(F.min("m").alias("m")).select("node", "m.up", "m.score"), "nodes")
     there = own.select(F.col("node").alias("up"), F.lit(True).alias("there"))
     nodes = own.join(there, "up", "left").select(
         "node", F.when(F.col("there"), F.col("up")).alias("up"), "score")
@@ -118,8 +123,9 @@ def formatted(
     chosen = branches(messages, tree, node, parent, score, top)
     key = F.struct(F.col(tree).alias("tree"), F.col(node).alias("id"))
     said = messages.select(
-        key.alias("_key"), F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    said = said.groupBy("_key").agg(F.min(F.struct("_role", "_text")).alias("m")).select("_key", "m._role", "m._text")
+        key.alias("_key"), _placed(tree, parent, score).alias("_place"), F.coalesce(F.col(role), F.lit("")).alias("_role"),
+        F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    said = said.groupBy("_key").agg(F.min(F.struct("_place", "_role", "_text")).alias("m")).select("_key", "m._role", "m._text")
     turns = chosen.withColumn("_key", key).join(said, "_key")
     head = F.concat(F.lit(OPEN), escaped(F.col("_role"), role=True), F.lit(MIDDLE))
     body = escaped(F.col("_text"))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -168,6 +169,27 @@ def test_values_behind_naming_words_are_candidates(text, value):
     assert value in own_candidates("é " + text)
 
 
+def test_long_names_and_values_are_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "aB3/+x9Q" * 240 + "\n-----END RSA PRIVATE KEY-----"
+    for text in (f"see {key} end", f"key: '{key}'", f"-----BEGIN PRIVATE KEY----- lost, {key}"):
+        assert own_candidates(text)[key] == 1
+    escaped = key.replace("\n", "\\n")
+    assert escaped in own_candidates(f'"client_key": "{escaped}", "x": 1')
+    phrase = "alpha bravo " * 95 + "charlie7"
+    assert phrase in own_candidates(f"password = '{phrase}'")
+    assert "p@ss!w0rd#24" in own_candidates(f"client_secret_{'x' * 140}   = p@ss!w0rd#24 end")
+    assert "s3cret!pw" in own_candidates(f"amqp://{'u' * 200}:s3cret!pw@db.example.com/x")
+    assert "a1!b2" in own_candidates(f"?api_key=a1!b2&{'n' * 100}=bob")
+
+
+def test_many_signs_stay_linear():
+    for text in ("key='" * 40_000, "key=\"" + "a=" * 60_000, "-----BEGIN PRIVATE KEY-----" * 4_000, "key " * 50_000 + "= x", "?k&" * 60_000):
+        block, = blocks(pa.array([text]), 1 << 20)
+        started = time.monotonic()
+        secrets._values(block)
+        assert time.monotonic() - started < 5
+
+
 def test_values_that_hold_other_findings_are_redacted_once(spark):
     spans = [(1, 4, 1.0), (2, 3, 1.0), (3, 6, 1.0), (8, 9, 0.1)]
     docs = spark.createDataFrame([("abcdefghijk", spans)], "t string, f array<struct<start:int, end:int, score:double>>")
@@ -197,6 +219,13 @@ def test_branches_by_score(spark):
     assert len(both) == 3
 
 
+def test_a_repeated_node_is_one_row(spark):
+    nodes = [(1, 1, None, "user", "q", 0.0), (1, 5, 1, "user", "p", 0.0), (1, 2, 1, "user", "zzz", 0.5), (1, 2, 5, "assistant", "aaa", 0.9)]
+    made = [str(r) for r in chat.conversations(chat.formatted(tree(spark, nodes), "t", "n", "p", score="score", top=None), "t").collect()]
+    assert sum("### user: q</turn>" in m and "### user: zzz" in m for m in made) == 1 and not any("aaa" in m for m in made)
+    assert chat.branches(tree(spark, nodes), "t", "n", "p", "score", None).where("n = 2").select("path_score").distinct().collect()[0][0] == 0.25
+
+
 def test_no_turns(spark):
     assert chat.formatted(tree(spark, []), "t", "n", "p").collect() == []
 
