@@ -35,7 +35,6 @@ _KEY = np.zeros(256, bool)
 _KEY[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~@-"]] = True
 _LETTERS = 26 ** 3
 _BESIDE = 32
-_NAME_BYTES = 128
 
 # Words that name a secret, and formats in which providers issue keys.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "bearer")
@@ -44,9 +43,9 @@ _NAME = re.compile(rb"(?:" + "|".join(SECRET_WORDS).encode() + rb")\w*\\?[\"']?\
 # A value: quoted, quoted within quoted text, or up to a space, the next name, a closing quote or a closing tag.
 _VALUE = re.compile(
     rb"(?!::|://)(?:=>|:=|=|:)[=>]?[\x20\t]*+(?:\r?\n[\x20\t]*+)?+(?:(?:bearer|basic|token)[\x20\t]++)?+(?:"
-    rb"(?P<a>[\"'`])(?P<quoted>(?:\\.|(?!(?P=a))[^\n\\]){4,1024}+)(?P=a)"
-    rb"|\\(?P<b>[\"'`])(?P<inner>(?:(?!\\(?P=b))[^\n]){4,1024}+)\\(?P=b)"
-    rb"|\\?[\"'`]*+(?P<plain>(?:(?![?&;,][\w.-]{1,64}\s?[=:])(?!\\?[\"'`](?=[\s,;)\]}>]|\Z))(?!</\w)\S)++))", re.I)
+    rb"(?P<a>[\"'`])(?P<quoted>(?:\\.|(?!(?P=a))[^\n\\]){4,}+)(?P=a)"
+    rb"|\\(?P<b>[\"'`])(?P<inner>(?:(?!\\(?P=b))[^\n]){4,}+)\\(?P=b)"
+    rb"|\\?[\"'`]*+(?P<plain>(?:(?![?&;,][\w.-]++\s?[=:])(?!\\?[\"'`](?=[\s,;)\]}>]|\Z))(?!</\w)\S)++))", re.I)
 _PLACEHOLDER = re.compile(
     r"\$?\{.*\}|\$\(.*\)|<.*>|%\w|(.)\1+|none|null|true|false|undefined|(?:os\.(?:environ|getenv)|process\.env|getenv)\b.*", re.I | re.S)
 # Words that prose puts before a colon, too.
@@ -56,7 +55,8 @@ _HARMLESS = re.compile(
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9.+-]+|[A-Za-z.-]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
     r"|(?:[\w.~-]*/){2,}[\w.~-]*|(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+/?[^@]*")
 # user:password@host: the password ends at the last @ before the path.
-_USER = re.compile(rb"://[^\s:/@\"'<>]*:\Z")
+_NO_USER = np.zeros(256, bool)
+_NO_USER[[*b" \t\n\x0b\x0c\r:/@\"'<>"]] = True
 _PASSWORD = re.compile(rb"([^\s/\"'<>]+)@(?=[\w\[])")
 
 FEATURES = (
@@ -97,6 +97,14 @@ def dictionary(docs: DataFrame, text: str = "text") -> np.ndarray:
     for row in sums.collect():
         counts[row.gram] = row.n
     return counts >= max(1.0, counts.sum() / _LETTERS)
+# A private key in its envelope, whatever stands for the line ends.
+_ENVELOPE = re.compile(
+    rb"-----BEGIN (?:[A-Z0-9]++ )*PRIVATE KEY-----(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z0-9]++ )*PRIVATE KEY-----")
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"]] = True
 
 
 # --- candidates ------------------------------------------------------------------------------
@@ -145,19 +153,40 @@ def _label(found: str, before: str, after: str, named: bool, password: bool) ->
     return 1 if not harmless or re.fullmatch(r"[\w/~-]*[A-Za-z][\w/~-]*", found) else -1
 
 
+def _last(mask: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The last place before each of ``places`` where the mask holds, -1 where there is none."""
+    latest = np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
+    return np.where(places > 0, latest[places - 1], -1)
+
+
+def _name_start(data: bytes, low: int, end: int, breaks: np.ndarray) -> int:
+    """Where the word before a sign begins, whatever its length; ``end`` is its last letter, or the quote or bracket behind it."""
+    for marks in (b"]", b"\"'", b"\\"):
+        if end >= low and data[end] in marks:
+            end -= 1
+    return max(low, int(breaks[end]) + 1) if end >= low else low
+
+
 def _values(block: Block) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Start and end of what stands where a secret does: passwords of user:password@host, and values behind naming words."""
-    data, passwords, named, last, held = block.data.tobytes(), [], [], 0, 0
+    """Start and end of what stands where a secret does: keys in envelopes, passwords of user:password@host, and values behind
+    naming words."""
+    data, named, last, held = block.data.tobytes(), [], 0, 0
     signs = np.flatnonzero((block.data == 0x3A) | (block.data == 0x3D))
-    for i, at in zip((np.searchsorted(block.bounds, signs, "right") - 1).tolist(), signs.tolist()):
+    owner = np.searchsorted(block.bounds, signs, "right") - 1
+    breaks = np.maximum.accumulate(np.where(_WORD[block.data], -1, np.arange(len(block.data))))
+    ends, users = _last(~_SPACE[block.data], signs), _last(_NO_USER[block.data], signs)
+    passwords = [m.span() for m in _ENVELOPE.finditer(data)] if b"PRIVATE KEY-----" in data else []
+    # An envelope lies within one text.
+    passwords = [(s, e) for s, e in passwords if np.searchsorted(block.bounds, s, "right") == np.searchsorted(block.bounds, e - 1, "right")]
+    for i, at, end, user in zip(owner.tolist(), signs.tolist(), ends.tolist(), users.tolist()):
         low, high = int(block.bounds[i]), int(block.bounds[i + 1])
-        if at >= last and _USER.search(data, max(low, at - _NAME_BYTES), at + 1):
+        if at >= last and data[at] == 0x3A and user - 2 >= low and data[user - 2:user + 1] == b"://":
             value = _PASSWORD.match(data, at + 1, high)
             if value:
                 passwords.append(value.span(1))
                 last = value.end()
         # A name inside an unquoted value is part of that value, which keeps long runs linear.
-        elif at >= held and _NAME.search(data, max(low, at - _NAME_BYTES), at):
+        elif at >= held and _NAME.search(data, _name_start(data, low, end, breaks), at):
             value = _VALUE.match(data, at, high)
             if value:
                 s, e = value.span(value.lastgroup)
@@ -211,7 +240,7 @@ def _candidates(block: Block, known: np.ndarray) -> Iterator[list[dict]]:
         named = (s, e) in behind or bool(_NAMED.search(before))
         out[i].append({
             "start": int(points[s] - points[low]), "end": int(points[e] - points[low]), "label": _label(found, before, after, named, (s, e) in secret),
-            "issued": bool(_ISSUED.match(found)), "x": _features(found, before, after, named, known)})
+            "issued": bool(_ISSUED.match(found)) or (s, e) in secret and found.startswith("-----BEGIN "), "x": _features(found, before, after, named, known)})
     return out
 
 
