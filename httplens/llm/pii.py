@@ -39,7 +39,7 @@ GENERATORS = {
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9])[0-9]{9,19}(?![0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "masked": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]{1,64}",
+    "masked": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]++",
     "address": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){2,4}(?![0-9])",
 }
 _GENERATOR_GUARDS = {

@@ -129,6 +129,13 @@ def test_valid_formats_are_kept_and_invalid_ones_are_not(spark):
     assert not any(k in found[i] for i in range(len(good), len(found)) for k in kinds)
 
 
+def test_masked_addresses_of_any_length(spark):
+    some = [(i, f"ask {'n' * i}.x{i} [at] mail{i}.{'d' * i}.com today, {'%' * 50_000} 1") for i in range(60, 110)]
+    some += [(200 + i, f"look{i} [at] this{i} thing") for i in range(40)]
+    found = {r.doc_id: r.spans.split(",") for r in pii.report(pii.personal_data(frame(spark, some).select("doc_id", "text"))).collect()}
+    assert all(found[i] == [f"masked:4:{text.index(' today')}"] for i, text in some[:50])
+
+
 def test_a_kind_without_held_examples_has_the_threshold_of_all(spark):
     def cell(kind, check, held, ones, n):
         zeros = dict.fromkeys(pii.FEATURES, 0)
