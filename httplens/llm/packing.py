@@ -1,10 +1,11 @@
 """Hierarchical packing of token sequences into windows of several sizes.
 
-A document's ids are cut into whole windows of the largest tier and a rest. Rests are routed to the smallest
-tier that holds them. Tiers are packed from long to short: each rest opens a window of
-its tier, its gap is filled from the shorter tiers, longest first. A window of a shorter tier is
-closed only when it is exactly full, otherwise it is widened to the next tier. Only in the largest tier
-a gap of more than ``slack`` that nothing fits is filled with the head of a longer rest.
+A document is routed by its length to the smallest tier that holds it, a longer one to the largest, where its ids are
+cut into whole windows and a rest. Tiers are packed from long to short. The longest rest opens a window; its gap is
+filled with the longest rests of the same tier that fit, then with those of the shorter tiers, longest tier first. Where
+nothing fits, the gap is filled with the head of a longer rest, whose tail stays in its tier: windows of the shorter
+tiers are exactly full, only those of the largest may lack up to ``slack``. A window that cannot be filled
+waits for more.
 
 Each task packs the rows it reads, a few million tokens at a time, and carries unfinished windows on;
 what is left at its end is cut at powers of two. Nothing is shuffled. Windows of one tier form step
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from httplens.llm.rows import free_name
 from httplens.llm.text import blocks, released
 from httplens.llm.tokens import encoder
 
@@ -67,38 +69,43 @@ class Packer:
 
     def __init__(self, tiers: tuple[int, ...], slack: int, step_tokens: int, task: int):
         self.tiers, self.slack, self.step_tokens = sorted(tiers), slack, step_tokens
-        self.rests, self.closed = Rests(), []
+        self.rests, self.closed = {tier: Rests() for tier in self.tiers}, []
         self.next_sequence = self.next_step = task << 36
 
+    @property
+    def waiting(self) -> int:
+        return sum(rests.tokens for rests in self.rests.values())
+
     def add(self, doc, ids: np.ndarray) -> int:
         """A document's ids; how many tokens wait to be written."""
         top, total = self.tiers[-1], len(ids)
-        whole = total - total % top
+        whole = total - total % top if total > top else 0
         for start in range(0, whole, top):
             self.closed.append([(doc, start, ids[start:start + top], total)])
         if whole < total:
-            self.rests.put((doc, whole, ids[whole:], total), total - whole)
+            self.rests[self._route(total)].put((doc, whole, ids[whole:], total), total - whole)
         return total
 
-    def _close_windows(self) -> None:
-        rests, top = self.rests, self.tiers[-1]
-        while rests.there:
-            length = rests.longest(top)
-            window, used = [rests.take(length)], length
-            tiers = [t for t in self.tiers if t >= length]
-            for tier in tiers:
-                while used < tier and (fits := rests.longest(tier - used)):
+    def _route(self, total: int) -> int:
+        return next((tier for tier in self.tiers if total <= tier), self.tiers[-1])
+
+    def _close_windows(self, tier: int) -> None:
+        """Windows of ``tier``, until its rests are used up or no window can be filled."""
+        own, slack = self.rests[tier], self.slack if tier == self.tiers[-1] else 0
+        sources = [self.rests[t] for t in reversed(self.tiers) if t <= tier]
+        while own.there:
+            length = own.longest(tier)
+            window, gap = [own.take(length)], tier - length
+            for rests in sources:
+                while gap and (fits := rests.longest(gap)):
                     window.append(rests.take(fits))
-                    used += fits
-                if used == tier:
-                    break
-            gap = top - used
-            if gap > self.slack and used != tier:
-                longer = rests.shortest_over(gap)
+                    gap -= fits
+            if gap > slack:
+                longer, rests = next(((n, r) for r in sources if (n := r.shortest_over(gap))), (0, own))
                 if not longer:
-                    # Too little is left to fill the window: it waits for more.
+                    # All that is left is in the window: it waits for more.
                     for rest in window:
-                        rests.put(rest, len(rest[2]))
+                        self.rests[self._route(rest[3])].put(rest, len(rest[2]))
                     return
                 doc, start, ids, total = rests.take(longer)
                 window.append((doc, start, ids[:gap], total))
@@ -108,8 +115,9 @@ class Packer:
     def _finish(self) -> None:
         """What is left is filled into windows in turn; the last is cut at powers of two."""
         left, top = [], self.tiers[-1]
-        while self.rests.there:
-            left.append(self.rests.take(self.rests.longest(top)))
+        for rests in self.rests.values():
+            while rests.there:
+                left.append(rests.take(rests.longest(top)))
         total = sum(len(rest[2]) for rest in left)
         sizes = [top] * (total // top) + [1 << b for b in range(top.bit_length() - 1, -1, -1) if (total % top) >> b & 1]
         for size in sizes:
@@ -124,7 +132,8 @@ class Packer:
 
     def batch(self, last: bool = False) -> Iterator[list]:
         """The pieces of the windows closed so far, each with its window, place and step group."""
-        self._close_windows()
+        for tier in reversed(self.tiers):
+            self._close_windows(tier)
         if last:
             self._finish()
         by_tier: dict[int, list] = {}
@@ -163,7 +172,7 @@ def _packed(batches, schema: pa.Schema, encode, end_id: int, buffer_tokens: int,
                 own = np.append(ids[bounds[i]:bounds[i + 1]], np.uint32(end_id))
                 waiting += packer.add(docs[block.first + i], own)
             if waiting >= buffer_tokens:
-                waiting = packer.rests.tokens
+                waiting = packer.waiting
                 if (out := written()) is not None:
                     yield out
     if (out := written(last=True)) is not None:
@@ -178,11 +187,14 @@ def pack(
 
     Every row of ``docs`` is a document: its ids by the file ``tokenizer``, then ``end_id``. A null or
     empty text is ``end_id`` alone; null and repeated keys and repeated rows are packed like any other. Each id is
-    in exactly one piece. ``tier`` is the smallest window size that holds the sequence (at a
-    task's end also a smaller power of two), ``step_group`` the group of equal token count it belongs to.
+    in exactly one piece, however long its text. ``tier`` is the smallest window size that holds the sequence (at a
+    task's end also a smaller power of two), ``step_group`` the group of equal token count it belongs to. Other
+    columns of ``docs`` are left out; a key named like a column of :data:`PIECE` gets an underscore before its name.
     """
-    rows = docs.select(key, F.col(text).alias("_text"))
-    schema = rows.select(key, *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in PIECE.split(", "))]).schema
+    piece = dict(c.split() for c in PIECE.split(", "))
+    kept = free_name(key, list(piece))
+    rows = docs.select(F.col(key).alias(kept), F.col(text).alias("_text"))
+    schema = rows.select(kept, *[F.lit(None).cast(kind).alias(name) for name, kind in piece.items()]).schema
     arrow = pa.schema([
         (f.name, {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()])
         for f in schema])

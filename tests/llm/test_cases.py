@@ -62,6 +62,23 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](spark, frame(spark, [])).collect() == []
 
 
+def test_every_token_of_hard_rows_is_packed_once(spark):
+    """Also where the key has the name of an output column and few documents are in the buffer."""
+    some = [(k, t) for k, t in TEXTS for _ in range(3)]
+    docs = frame(spark, some).withColumnRenamed("doc_id", "start")
+    encode, _ = packing.encoder(*queries.tokenizer_files()), importable(spark)
+    wanted = [len(encode.block(block)[0]) + len(block) for block in blocks(pa.array([t for _, t in some], pa.large_string()), 1 << 30)]
+    for buffer in (1, 3_000, 2_000_000):
+        found = packing.pack(docs, *queries.tokenizer_files(), key="start", buffer_tokens=buffer).collect()
+        assert sum(r.length for r in found) == sum(wanted)
+        ends = {}
+        for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert all(n > 1020 or n & (n - 1) == 0 for n in ends.values())
+        assert {r._start for r in found} == {k for k, _ in some}
+
+
 def test_empty_benchmark(spark):
     found = contamination.decontaminate(frame(spark, TEXTS), benchmark(spark, []), column="hits").collect()
     assert len(found) == len(TEXTS) and not any(r.hits.contaminated for r in found)

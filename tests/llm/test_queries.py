@@ -80,7 +80,18 @@ def ids_of(texts):
 
 
 def test_packing(spark, texts):
-    whole_and_tight(rows(QUERIES["op1_packing"](spark, SF_DIR)), ids_of(texts), lambda p: p["ids_crc32"])
+    wanted = ids_of(texts)
+    pieces = rows(QUERIES["op1_packing"](spark, SF_DIR))
+    whole_and_tight(pieces, wanted, lambda p: p["ids_crc32"])
+    # Shorter tiers hold shorter documents, and are full.
+    used = collections.Counter()
+    for p in pieces:
+        used[p["tier"], p["sequence_id"]] += p["length"]
+    for tier in (256, 512):
+        assert all(n == tier for (t, _), n in used.items() if t == tier)
+        assert sum(p["length"] for p in pieces if p["tier"] == tier and p["doc_tokens"] <= tier) >= 0.9 * sum(
+            n for (t, _), n in used.items() if t == tier)
+    assert sum(n for (t, _), n in used.items() if t < 1024) >= 0.01 * sum(used.values())
 
 
 def test_quality_on_held_out_labels(spark, duck, texts):
