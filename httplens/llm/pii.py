@@ -64,31 +64,51 @@ SPAN = "struct<start:int, place:int, end:int>"
 # --- spans of one pattern ---------------------------------------------------------------------
 
 
-def _found(text: Column, pattern: str, guard: str | None, name: str) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, combine) -> Column:
+    """``combine`` of every value with all before it, for an array of int without nulls.
+
+    Arrays that grow are copied at each step, so values are folded in about as many parts as a part has values.
+    """
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda out, v: F.concat(
+            out, F.array(F.coalesce(combine(F.try_element_at(out, F.lit(-1)), v), v))))
+
+    def joined(parts: Column) -> Column:
+        return _let(fold(F.transform(parts, lambda part: F.element_at(part, -1))), lambda carried: F.flatten(F.transform(
+            parts, lambda part, i: _let(F.get(carried, i - 1), lambda before: F.transform(
+                part, lambda v: F.coalesce(combine(before, v), v))))))
+
+    def folded(all_values: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(all_values))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(all_values), step), lambda first: fold(F.slice(all_values, first, step)))
+        return F.when(F.size(all_values) > 0, _let(parts, joined)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, folded)
+
+
+def _spans(text: Column, pattern: str, guard: str | None, name: str) -> Column:
     """The matches of a pattern in order: start, end, the match, and the text just before and after."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    both = F.struct(matches.alias("hits"), between.alias("gaps"))
+    def placed(steps: Column) -> Column:
+        ends = _running(F.transform(steps, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        return F.zip_with(steps, ends, lambda x, end: F.struct(
+            (end - x["size"]).alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"),
+            x["after"].alias("after")))
+
+    def steps(hits: Column, gaps: Column) -> Column:
+        return F.transform(hits, lambda h, i: F.struct(
+            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(h).alias("size"), h.alias("hit"),
+            F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after")))
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = _let(F.split(text, pattern, -1), lambda gaps: _let(steps(hits, gaps), placed))
     if guard:
-        both = F.when(F.expr(guard.format(t=name)), both)
-    return both
-
-
-def _spans(found: Column) -> Column:
-    hits, gaps = found["hits"], found["gaps"]
-    steps = F.transform(hits, lambda h, i: F.struct(
-        F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(h).alias("size"), h.alias("hit"),
-        F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after")))
-    empty = F.array().cast("array<struct<start:int, end:int, hit:string, before:string, after:string>>")
-    walked = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct(
-                (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"),
-                x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after")))).alias("out")),
-        lambda s: s["out"])
-    return F.coalesce(walked, empty)
+        found = F.when(F.expr(guard.format(t=name)), found)
+    return F.coalesce(found, F.array().cast("array<struct<start:int, end:int, hit:string, before:string, after:string>>"))
 
 
 def _digits(text: Column) -> Column:
@@ -173,9 +193,8 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_text``, ``_base`` (spans that pass), ``_failed`` (those that do not) and ``_more`` (generated, with features)."""
     rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     patterns = {k: (p, _GUARDS[k]) for k, p in BASE.items()} | {k: (p, _GENERATOR_GUARDS[k]) for k, p in GENERATORS.items()}
-    for kind, (pattern, guard) in patterns.items():
-        rows = rows.withColumn(f"_f_{kind}", _found(F.col("_text"), pattern, guard, "_text"))
-    rows = rows.select("*", *[_spans(F.col(f"_f_{kind}")).alias(f"_s_{kind}") for kind in patterns])
+    rows = rows.select("*", *[
+        _spans(F.col("_text"), pattern, guard, "_text").alias(f"_s_{kind}") for kind, (pattern, guard) in patterns.items()])
 
     def spans(kind: str, keep: bool) -> Column:
         chosen = F.filter(F.col(f"_s_{kind}"), lambda c: _passes(kind, c["hit"]) if keep else ~_passes(kind, c["hit"]))
@@ -195,8 +214,28 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows
 
 
-def _overlaps(spans: Column, span: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < span["end"]) & (span["start"] < s["end"]))
+def _cover(spans: Column) -> Column:
+    """Spans by start, and for each the largest end so far: a search in them tells what they reach."""
+    return _let(F.array_sort(spans), lambda own: F.struct(
+        F.transform(own, lambda s: s["start"]).alias("starts"),
+        _running(F.transform(own, lambda s: s["end"]), F.greatest).alias("reach")))
+
+
+def _reach(cover: Column, before: Column) -> Column:
+    """The largest end of the spans that start before a place, or -1: a binary search, from high bits to low."""
+    bits = F.sequence(F.ceil(F.log2(F.size(cover["starts"]) + 1)).cast("int"), F.lit(0), F.lit(-1))
+    below = F.aggregate(bits, F.lit(0), lambda n, bit: _let(n + F.pow(F.lit(2), bit).cast("int"), lambda more: F.when(
+        F.get(cover["starts"], more - 1) < before, more).otherwise(n)))
+    return F.coalesce(F.get(cover["reach"], below - 1), F.lit(-1))
+
+
+def _overlaps(cover: Column, span: Column) -> Column:
+    return _reach(cover, span["end"]) > span["start"]
+
+
+def _holds(cover: Column, span: Column) -> Column:
+    """Whether one of the spans holds ``span`` whole."""
+    return _reach(cover, span["start"] + 1) >= span["end"]
 
 
 # --- boosted trees over cells ------------------------------------------------------------------------
@@ -299,9 +338,11 @@ def _threshold(scored: list[tuple], precision: float) -> float | None:
 def train(found: DataFrame, key: str, **options) -> Model:
     """The model from all candidates of ``found`` (see :func:`with_candidates`)."""
     cells = found.select(
-        F.coalesce(F.pmod(F.xxhash64(key), F.lit(5)) == 0, F.lit(False)).alias("held"), "_base", "_failed",
-        F.explode("_more").alias("m")).select(
-        "held", "m.x.*", _overlaps(F.col("_base"), F.col("m.span")).alias("one"), _overlaps(F.col("_failed"), F.col("m.span")).alias("none"))
+        F.coalesce(F.pmod(F.xxhash64(key), F.lit(5)) == 0, F.lit(False)).alias("held"),
+        F.explode(_let(_cover(F.col("_base")), lambda base: _let(_cover(F.col("_failed")), lambda failed: F.transform(
+            "_more", lambda m: F.struct(
+                m["x"].alias("x"), _overlaps(base, m["span"]).alias("one"), _overlaps(failed, m["span"]).alias("none")))))).alias("m")
+    ).select("held", "m.x.*", "m.one", "m.none")
     # A check of the own format outweighs what else lies there.
     own = F.col("kind").isin([_PLACE[kind] for kind in CHECKED])
     cells = cells.withColumn("one", F.when(own, F.col("check") == 1).otherwise(F.col("one"))).withColumn("none", own | F.col("none"))
@@ -326,13 +367,16 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     """``docs`` with ``base`` and ``spans``: arrays of (start, place, end), ``place`` an index of :data:`KINDS`.
 
     ``base`` holds the base spans by start and kind; ``spans`` those and the selected candidates that no base
-    span holds whole. Null texts have none; null and repeated keys and repeated rows are treated like any other.
+    span holds whole. Null texts have none; null and repeated keys and repeated rows are treated like any other. Texts are
+    searched whole; the time for one grows a little faster than its hits (with their number to the power of 1.5, at
+    a small factor). Other columns are left out.
     """
     found = with_candidates(docs.select(key, text), text)
     model = train(found, key, **options)
-    more = F.transform(F.filter("_more", lambda m: model.kept(m["x"]) & ~F.exists(
-        F.col("_base"), lambda s: (s["start"] <= m["span"]["start"]) & (m["span"]["end"] <= s["end"]))), lambda m: m["span"])
-    return found.select(key, text, F.col("_base").alias("base"), F.array_sort(F.array_union("_base", more)).alias("spans"))
+    more = _let(_cover(F.col("_base")), lambda base: F.transform(
+        F.filter("_more", lambda m: model.kept(m["x"]) & ~_holds(base, m["span"])), lambda m: m["span"]))
+    # Generated kinds are no base kinds, so that no span is there twice.
+    return found.select(key, text, F.col("_base").alias("base"), F.array_sort(F.concat("_base", more)).alias("spans"))
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -348,12 +392,16 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(
-        spans, state,
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(
-            x["end"].alias("at"),
-            F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(names, x["place"]))).alias("out"),
-        )).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    return walked
+
+    def cut(chars: Column, cover: Column) -> Column:
+        """What stands before each span, and its name; nothing where it begins within another."""
+        parts = F.transform(cover["own"], lambda s, i: _let(F.coalesce(F.get(cover["reach"], i - 1), F.lit(0)), lambda at: F.when(
+            s["start"] >= at, F.concat(F.array_join(F.slice(chars, at + 1, s["start"] - at), ""), F.get(names, s["place"])))
+            .otherwise("")))
+        last = F.coalesce(F.try_element_at(cover["reach"], F.lit(-1)), F.lit(0))
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(chars, last + 1, F.size(chars)), ""))
+
+    cover = _let(F.array_sort(spans), lambda own: F.struct(
+        own.alias("own"), _running(F.transform(own, lambda s: s["end"]), F.greatest).alias("reach")))
+    # A text without characters is one empty part.
+    return _let(F.split(text, ""), lambda chars: _let(cover, lambda c: cut(chars, c)))
