@@ -9,13 +9,16 @@ what a task holds stays bounded and nothing is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from httplens.llm.rows import free_name
 from httplens.llm.text import ALNUM, LOWER, Words, blocks, covered, released, windows, within
+from httplens.session import stage
 
 WINDOW = 13
 MAX_NGRAMS = 2_000_000
@@ -72,28 +75,29 @@ def _grams(texts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 def benchmark_ngrams(
     benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW,
     max_ngrams: int = MAX_NGRAMS,
-) -> list[Ngrams]:
-    """The n-grams of the benchmark, in as many parts as ``max_ngrams`` asks for.
+) -> list[Callable[[], Ngrams]]:
+    """The n-grams of the benchmark, in as many parts as ``max_ngrams`` asks for; each is read when it is called for.
 
     An item of fewer words is one shorter n-gram; one without words (or null) has none. An item
     without an id is known by the empty string; rows that share an id are one item.
     """
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
     found = rows.mapInArrow(released(lambda batches: _grams(batches, size)), "gram binary, item string").distinct()
-    total = found.count()
-    parts = max(1, -(-total // max_ngrams))
+    parts = max(1, -(-found.count() // max_ngrams))
+    if parts > 1:
+        found = stage(found.withColumn("part", F.pmod(F.xxhash64("gram", "item"), F.lit(parts))), "ngrams")
 
     def part(k: int) -> Ngrams:
-        own = found.where(F.pmod(F.xxhash64("gram", "item"), F.lit(parts)) == k) if parts > 1 else found
         grams: dict[bytes, set[str]] = {}
-        for row in own.collect():
+        for row in (found.where(F.col("part") == k) if parts > 1 else found).collect():
             grams.setdefault(bytes(row.gram), set()).add(row.item)
         return Ngrams({gram: sorted(items) for gram, items in grams.items()})
 
-    return [part(k) for k in range(parts)]
+    return [partial(part, k) for k in range(parts)]
 
 
-def _scan(texts: pa.Array, ngrams: Ngrams) -> pa.Array:
+def _scan(texts: pa.Array, ngrams: Ngrams, known: pa.Array | None = None) -> pa.Array:
+    """What is found in each text, united with what is ``known`` of it."""
     n_words, n_hit, items, spans = [], [], [], []
     for block in blocks(texts):
         words = Words(block, ALNUM)
@@ -112,11 +116,18 @@ def _scan(texts: pa.Array, ngrams: Ngrams) -> pa.Array:
                     starts.append(at)
                     ends.append(at + size)
                     names.append(holders)
+        of = (np.searchsorted(words.first, np.array(starts, np.int64), "right") - 1).tolist()
+        for i in range(len(block) if known is not None else 0):
+            if (more := known[block.first + i].as_py()) is not None:
+                at = int(words.first[i])
+                starts += [at + run["start"] for run in more["spans"]]
+                ends += [at + run["end"] for run in more["spans"]]
+                of.append(i)
+                names.append(more["items"])
         hit = covered(np.array(starts, np.int64), np.array(ends, np.int64), len(words)) if starts else None
         sums = np.concatenate([[0], np.cumsum(hit)]) if starts else np.zeros(len(words) + 1, np.int64)
-        of = np.searchsorted(words.first, np.array(starts, np.int64), "right") - 1
         held: dict[int, set[str]] = {}
-        for doc, holders in zip(of.tolist(), names):
+        for doc, holders in zip(of, names):
             held.setdefault(doc, set()).update(holders)
         n_words += words.counts.tolist()
         n_hit += (sums[words.first[1:]] - sums[words.first[:-1]]).tolist()
@@ -133,37 +144,42 @@ def _runs(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(change[::2], change[1::2])]
 
 
-def hits(text: str | Column, ngrams: Ngrams) -> Column:
-    """Per text: words, words inside any n-gram, the items found, and the runs of such words."""
+def hits(text: str | Column, ngrams: Ngrams, known: Column | None = None) -> Column:
+    """Per text: words, words inside any n-gram, the items found, and the runs of such words.
+
+    ``known`` is what other parts of a benchmark have found, null for nothing.
+    """
+    if known is None:
+        @F.arrow_udf(RESULT)
+        @released
+        def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in texts:
+                yield _scan(batch, ngrams)
+
+        return scan(text)
 
     @F.arrow_udf(RESULT)
     @released
-    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield _scan(batch, ngrams)
-
-    return scan(text)
-
-
-def _united(found: list[Column]) -> Column:
-    """The hits of several parts of the benchmark as one."""
-    if len(found) == 1:
-        return found[0]
-    spans = F.array_sort(F.concat(*[f["spans"] for f in found]))
-    # Runs in order, each joined to the one before where they touch or overlap.
-    merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:int, end:int>>"),
-        lambda runs, s: F.when(
-            (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(
-                F.try_element_at(runs, F.lit(-1))["start"].alias("start"),
-                F.greatest(F.try_element_at(runs, F.lit(-1))["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(runs, F.array(s))))
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        F.aggregate(merged, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.concat(*[f["items"] for f in found]))).alias("items"),
-        merged.alias("spans"))
+    def united(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, more in batches:
+            yield _scan(texts, ngrams, more)
+
+    return united(text, known)
+
+
+def _found_by(parts: list[Callable[[], Ngrams]], texts: DataFrame) -> DataFrame:
+    """What the parts find in ``texts`` (digest, text): a row per digest with hits, whatever its copies.
+
+    A digest has a row per part at most, so that no group is large.
+    """
+    found = None
+    for part in parts:
+        own = texts.select("digest", hits("text", part()).alias("hit")).where("hit.n_hit > 0")
+        own = stage(own.groupBy("digest").agg(F.first("hit").alias("hit")).select("digest", "hit.items", "hit.spans"), "hits")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("digest").agg(F.struct(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.flatten(F.collect_list("spans")).alias("spans")).alias("known"))
 
 
 def decontaminate(
@@ -172,15 +188,20 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with a struct of what was found in each text, and whether the text is contaminated.
 
-    Every row is judged by itself: null texts have no words, equal rows get equal results, and an
-    empty benchmark finds nothing. A column named ``column`` is replaced.
+    Every row is judged by itself: null texts have no words, equal rows get equal results, however long the text,
+    and an empty benchmark finds nothing. A column named ``column`` is replaced, all others are kept.
     """
-    parts = benchmark_ngrams(benchmark, text=text, size=size, max_ngrams=max_ngrams)
-    found = docs
-    for k, part in enumerate(parts):
-        found = found.withColumn(f"_part_{k}", hits(F.col(text), part))
-    united = _united([F.col(f"_part_{k}") for k in range(len(parts))])
-    found = found.withColumn(column, united).drop(*[f"_part_{k}" for k in range(len(parts))])
+    first, *others = benchmark_ngrams(benchmark, text=text, size=size, max_ngrams=max_ngrams)
+    if others:
+        digest = F.sha2(F.col(text), 256)
+        known = _found_by(others, docs.select(digest.alias("digest"), F.col(text).alias("text")))
+        name = free_name("known", docs.columns)
+        key = free_name("digest", [*docs.columns, name])
+        found = docs.withColumn(key, digest).join(
+            known.select(F.col("digest").alias(key), F.col("known").alias(name)), key, "left")
+        found = found.withColumn(column, hits(F.col(text), first(), F.col(name))).drop(key, name)
+    else:
+        found = docs.withColumn(column, hits(F.col(text), first()))
     contaminated = (F.col(f"{column}.n_hit") > 0) & (20 * F.col(f"{column}.n_hit") >= F.col(f"{column}.n_words"))
     return found.withColumn(column, F.col(column).withField("contaminated", contaminated))
 

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import re
 import sys
 import time
 from pathlib import Path
@@ -7,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from httplens.llm import (  # noqa: E402
@@ -84,6 +86,32 @@ def test_empty_benchmark(spark):
     assert len(found) == len(TEXTS) and not any(r.hits.contaminated for r in found)
 
 
+def plain_hits(text, items, size=13):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hit, held = set(), set()
+    for item, passage in items:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), passage or ""))
+        n = min(size, len(own))
+        grams = {tuple(own[k:k + n]) for k in range(len(own) - n + 1)} if own else set()
+        for at in range(len(words) - n + 1):
+            if tuple(words[at:at + n]) in grams:
+                hit |= set(range(at, at + n))
+                held.add(item or "")
+    return len(words), len(hit), sorted(held), bool(hit) and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("max_ngrams", [1_000, 7])
+def test_parts_of_a_benchmark_find_what_the_whole_finds(spark, max_ngrams):
+    """Null, empty, repeated and long texts; items that share n-grams, a short one, one without an id."""
+    items = [("a", PASSAGE), ("b", PASSAGE.upper() + " and more"), (None, "the quick fox"), ("c", None), ("d", "")]
+    some = [*TEXTS, (8, f"The quick-fox {PASSAGE[40:]} the QUICK fox"), (8, "x " * 5_000 + "the quick fox")]
+    docs = frame(spark, some).withColumnRenamed("key", "digest").withColumnRenamed("kept", "known")
+    found = contamination.decontaminate(docs, benchmark(spark, items), column="hits", max_ngrams=max_ngrams)
+    assert found.columns == [*docs.columns, "hits"]
+    got = sorted((str(r.doc_id), r.hits.n_words, r.hits.n_hit, list(r.hits["items"]), r.hits.contaminated) for r in found.collect())
+    assert got == sorted((str(k), *plain_hits(t, items)) for k, t in some)
+
+
 def test_a_short_item_is_one_window(spark):
     docs = frame(spark, [(1, "see The Quick fox, here"), (2, "the quick dog")])
     found = {r.doc_id: r.hits for r in contamination.decontaminate(docs, benchmark(spark, [("s", "the QUICK fox")]), column="hits").collect()}
@@ -153,6 +181,54 @@ def test_masked_addresses_of_any_length(spark):
     assert all(found[i] == [f"masked:4:{text.index(' today')}"] for i, text in some[:50])
 
 
+def test_generated_spans_by_brute_force(spark):
+    """Candidates, what they overlap and what is chosen, recomputed from the patterns and the trees."""
+    some = [(i, f"id 123-{i}-4567, +49 ({i}) 1234-5678 4111 1111 1111 1111 10.2.{i}.4.5 a{i}@b.example 123456789{i} 555 123 45{i}")
+            for i in range(10, 70)]
+    some += [(100 + i, f"😀 look{i} [at] this{i} 999.{i}.3.4 (212) 555-01{i} 1234 5678 9012 34{i} x") for i in range(10, 60)]
+    some += [(None, None), (300, ""), (301, some[0][1] + some[60][1] * 40)]
+    docs = frame(spark, some).select("doc_id", "text")
+    found = pii.with_candidates(docs)
+    model = pii.train(found, "doc_id")
+    chosen = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    for r in found.collect():
+        text = r.text or ""
+        spans = {(m.start(), pii.KINDS.index(kind), m.end()) for kind, pattern in pii.GENERATORS.items()
+                 for m in re.finditer(pattern.replace("|\\G", "|^") if kind == "masked" else pattern, text)}
+        assert {tuple(m.span) for m in r._more} == spans
+        base = [tuple(s) for s in r._base]
+        kept = [tuple(m.span) for m in r._more
+                if 1 / (1 + np.exp(-model.raw(m.x.asDict()))) >= model.thresholds.get(m.x.kind, 2.0)
+                and not any(s <= m.span.start and m.span.end <= e for s, _, e in base)]
+        assert [tuple(s) for s in chosen[r.doc_id]] == sorted(base + kept)
+
+
+def test_a_span_search_is_the_search_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    some = [(i, *[[(int(s), 0, int(s + n)) for s, n in zip(rng.integers(0, 300, k), rng.integers(1, 40, k))] for k in (i, 30)])
+            for i in range(40)]
+    kind = "array<struct<start:int, place:int, end:int>>"
+    df = spark.createDataFrame(some, f"id int, spans {kind}, asked {kind}")
+    cover = pii._cover(F.col("spans"))
+    found = df.select(
+        "id", pii._let(cover, lambda c: F.transform("asked", lambda s: pii._overlaps(c, s))).alias("over"),
+        pii._let(cover, lambda c: F.transform("asked", lambda s: pii._holds(c, s))).alias("held"))
+    plain = {i: ([any(a < e and s < b for a, _, b in spans) for s, _, e in asked],
+                 [any(a <= s and e <= b for a, _, b in spans) for s, _, e in asked]) for i, spans, asked in some}
+    assert {r.id: (r.over, r.held) for r in found.collect()} == plain
+
+
+def test_many_addresses_in_one_text(spark):
+    """20,000 of them and their redaction, which the square of their number would keep from ending soon."""
+    text = " ".join(f"a{i}@b.example" for i in range(20_000))
+    found = pii.personal_data(frame(spark, [(1, text)]).select("doc_id", "text"))
+    began = time.time()
+    r = found.select(F.size("base").alias("n"), F.expr("base[19999].end").alias("end"),
+                     pii.redacted(F.col("text"), F.col("base")).alias("clean")).head()
+    assert (r.n, r.end, r.clean) == (20_000, len(text), " ".join(["[EMAIL]"] * 20_000))
+    assert time.time() - began < 60
+
+
 def test_a_kind_without_held_examples_has_the_threshold_of_all(spark):
     def cell(kind, check, held, ones, n):
         zeros = dict.fromkeys(pii.FEATURES, 0)
