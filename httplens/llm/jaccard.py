@@ -36,6 +36,7 @@ TOLERANCE = 1e-7
 BLOCK = 1024
 STEP = 20
 SMALL = 16
+SALTS = 256
 
 _RANDOM = np.random.default_rng(31)
 _N = BANDS * BAND
@@ -274,23 +275,34 @@ def _verified(frames, threshold: float, tolerance: float) -> Iterator[pd.DataFra
 # --- connected components --------------------------------------------------------------
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``m``, the smallest ``b`` of their ``a``.
+
+    The pairs of an ``a`` are dealt over :data:`SALTS` by their ``b``. Each salt gives its own minimum, the minima
+    of an ``a`` are a bounded number of rows, and theirs goes back to the salts: a star of any size is spread.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+    own = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = own.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(own.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, its component's smallest node, for all nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps: each round is two shuffles of narrow rows, is written to
+    Alternates large-star and small-star steps: each round is a few shuffles of narrow rows, is written to
     the shared folder, and the number of rounds grows with the logarithm of the component.
-    A star's centre is found by a minimum that is combined before the shuffle, not by gathering the star.
+    No task gets a whole star: its pairs are salted (:func:`_with_least`).
     """
     both = edges.where("a <> b").select("a", "b")
     pairs = stage(both.distinct(), "links")
     while True:
         ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = ways.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
+        near = _with_least(ways).select("b", F.least("a", "m").alias("m"), "a").where("b > a")
+        down = near.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Every node is greater than what it hangs on now: its pairs go down to the smallest of them.
+        moved = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        small = _with_least(down).select(moved.alias("pair")).select("pair.*").where("a <> b").distinct()
         after = stage(small, "links")
         # Done once every node hangs on one smaller node that is a root itself.
         hanging = after.select(F.col("a").alias("node")).intersect(after.select(F.col("b").alias("node")))

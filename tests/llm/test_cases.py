@@ -360,3 +360,34 @@ def test_pages_are_found_by_their_raw_urls(spark, tmp_path):
     spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(
         str(tmp_path / "pages.parquet"))
     assert sorted(r.page_id for r in queries.queries()["op7_warc"](spark, str(tmp_path)).collect()) == list(range(len(urls)))
+
+
+def test_components_of_stars_and_chains(spark):
+    from httplens.llm.jaccard import components
+    chain = [(k, k + 1) for k in range(100, 160)]
+    low, high = [(1_000, 1_000 + k) for k in range(1, 700)], [(9_000, 9_000 - k) for k in range(1, 700)]
+    random = np.random.default_rng(5)
+    loose = [(int(a), int(b)) for a, b in random.integers(20_000, 20_400, (260, 2))]
+    edges = chain + low + high + loose + [(7, 7), (160, 1_650)] + chain[:3]
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((k, find(k)) for k in root)
+
+
+def test_a_star_is_spread(spark):
+    from httplens.llm.jaccard import SALTS, _with_least
+    star = spark.range(1, 40_001).selectExpr("0L AS a", "id AS b")
+    found = _with_least(star)
+    assert found.agg(F.min("m"), F.max("m"), F.count("*")).head()[:] == (1, 1, 40_000)
+    salts = star.select(F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt")).groupBy("salt").count()
+    assert salts.agg(F.max("count")).head()[0] < 40_000 / SALTS * 2
