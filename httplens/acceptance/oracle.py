@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
     found["M6_by_protocol"] = f"WITH {cte} " + " UNION ALL ".join(
         f"SELECT '{name}' AS protocol, {_digest(f'{name}_only')} FROM {name}_only HAVING count(*) > 0"
         for name in ("http", "https"))
-    for name in ("T-2", "T-4"):
+    for name in ("T-2", "T-3_indexed", "T-4", "W-1_first"):
         found[name] = f"WITH {normalized} SELECT {ALL_READABLE} FROM captured"
     found["W-1"] = f"WITH {normalized} SELECT {ALL_READABLE} FROM captured"
     found |= {

@@ -348,6 +348,34 @@ def _captured(spark, sf_dir):
     return _readable(store.load_traffic(spark, path))
 
 
+def _stored_twice(spark, sf_dir):
+    """A third of the messages is stored, then all of them with later repeats under other hosts, in two layouts."""
+    path, traffic = scratch_path(spark, "stored"), ingest.normalize(fixture.raw_exchanges(spark, sf_dir))
+    cap.create_table(spark, path)
+    later = traffic.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")).withColumn("host", F.lit("repeat.invalid"))
+    cap.store_batch(traffic.where("id % 3 = 0"), path)
+    both = traffic.unionByName(later)
+    cap.store_batch(both.where("id % 3 < 2").repartition(5, "host"), path)
+    cap.store_batch(both.repartition(3, "path"), path)
+    return _readable(store.load_traffic(spark, path))
+
+
+def _first_arrivals(spark, sf_dir):
+    """Batches bring repeats of their own ids a minute later and of earlier batches' ids at the very same time."""
+    path = scratch_path(spark, "first")
+    inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "first-checkpoint")
+    raw = fixture.raw_exchanges(spark, sf_dir)
+    other = raw.withColumn("host", F.lit("repeat.invalid")).withColumn("path", F.concat(F.lit("/again"), "path"))
+    later = other.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    for k in range(2):
+        own = F.pmod("id", F.lit(2)) == k
+        arriving = raw.where(own).unionByName(later.where(own)).unionByName(other.where(F.pmod("id", F.lit(2)) < k))
+        arriving.write.parquet(f"{inbox}/{k}")
+        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(inbox)
+        cap.keep_first(stream, path, checkpoint, every=None).awaitTermination()
+    return _readable(cap.load_first(spark, path))
+
+
 def _deduplicated(spark, sf_dir):
     stream = cap.deduplicated(_twice(fixture.raw_stream(spark, sf_dir)))
     path = _drain(spark, lambda p, c: cap.append_to(stream, p, c, every=None), "dedup")
@@ -445,6 +473,7 @@ def queries() -> dict[str, Query]:
         "T-2": _normalize,
         "T-2_rejects": _rejects,
         "T-3": _append,
+        "T-3_indexed": _stored_twice,
         "T-4": _captured,
         "T-5": _all_details,
         "V1": _detail,
@@ -482,6 +511,7 @@ def queries() -> dict[str, Query]:
         "G-6": _http_errors,
         "Q-00": _statement,
         "W-1": _deduplicated,
+        "W-1_first": _first_arrivals,
         "W-2": _live_timeline,
         "W-3": _live_panels,
         "W-4": _live_findings,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from httplens.functions.strings import header_json
 from httplens.schema import TRAFFIC
@@ -56,6 +56,29 @@ def append_new(
     return fresh.join(_within(existing.select(*key), incoming, key), list(key), "left_anti").select(*incoming.columns)
 
 
+def winners(staged: DataFrame, absent: Callable[[DataFrame], DataFrame], arrival: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """``id`` and place (``_file``, ``_row``) of the first row per id among those that ``absent`` lets through.
+
+    ``staged`` is a table of Parquet files. Only ids, times and digests are compared and shuffled. Rows of one id with equal times and
+    digests are equal: any of them will do.
+    """
+    rest = [c for c in staged.columns if c != "id"]
+    narrow = staged.select("id", *arrival, F.xxhash64(*rest).alias("_digest"), *_place())
+    times = [part for c in arrival for part in (F.col(c).isNull(), F.col(c))]
+    first = F.min_by(F.struct("_file", "_row"), F.struct(*times, "_digest", "_file", "_row"))
+    return absent(narrow).groupBy("id").agg(first.alias("_first")).select("id", "_first.*")
+
+
+def at_places(staged: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``staged`` at ``places``: whole rows are moved once at most and not sorted, and of a busy id's rows each goes its own way."""
+    found = staged.select("*", *_place()).join(places.select("_file", "_row").hint("shuffle_hash"), ["_file", "_row"], "left_semi")
+    return found.select(*staged.columns)
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
 def _within(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Stored keys between the lowest and the highest incoming one."""
     for column in key:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from httplens.operators.ingest import append_new, normalize
+from httplens.operators.ingest import append_new, at_places, normalize, winners
 from httplens.schema import TRAFFIC
+from httplens.session import stage
+from httplens.sources.ids import StoredIds
 from httplens.sources.traffic import PARTITIONS, STORED, load_project, load_traffic, save_project
 
 
@@ -31,25 +34,53 @@ def _stored(spark: SparkSession, path: str, project_id: str | None) -> DataFrame
     return load_traffic(spark, path) if project_id is None else load_project(spark, path, project_id)
 
 
+def stored_ids(spark: SparkSession, path: str, project_id: str | None = None) -> StoredIds:
+    """The index of the ids of a table, or of one of its projects, in a folder that readers of the table pass over."""
+    return StoredIds(spark, f"{path}/_ids/{'all' if project_id is None else 'project-' + quote(project_id, safe='')}")
+
+
 def store_batch(
     batch: DataFrame, path: str, arrival: Sequence[str] = ("timestamp",), project_id: str | None = None,
-    first: Callable[[DataFrame], object] | None = None,
+    first: Callable[[DataFrame], object] | None = None, indexed: bool = True,
 ) -> None:
     """Append the messages of a normalised batch that are not stored yet.
 
     A batch delivered again after a failure finds its own rows stored, whole or in part, and
     adds only what is missing. Ids of different projects do not meet. ``first`` gets the new messages before they are stored.
+
+    The batch is written once to the shared folder. Ids meet the index of stored ids, not the table, and whole rows move only
+    after their id has won. The index knows what this function stores: a table to which others append too is stored
+    with ``indexed=False``, which reads the ids of the batch's range from the table.
     """
-    new = append_new(_stored(batch.sparkSession, path, project_id), batch, arrival=arrival)
+    spark = batch.sparkSession
+    stored = _stored(spark, path, project_id)
+    if not indexed:
+        new = append_new(stored, batch, arrival=arrival)
+        new = new if first is None else new.persist()
+        _store(new, path, project_id, first)
+        new.unpersist()
+        return
+    index = stored_ids(spark, path, project_id)
+    index.begin(stored)
+    whole = stage(batch, "batch")
+    places = stage(winners(whole, index.absent, arrival), "winners")
+    span = places.agg(F.min("id").alias("low"), F.max("id").alias("high")).head()
+    if span.low is None:
+        if first is not None:
+            first(whole.limit(0))
+        return
+    index.note(span.low, span.high)
+    _store(at_places(whole, places), path, project_id, first)
+    index.add(places)
+
+
+def _store(new: DataFrame, path: str, project_id: str | None, first: Callable[[DataFrame], object] | None) -> None:
     if first is not None:
-        new = new.persist()
         first(new)
     if project_id is None:
         new.write.mode("append").parquet(path)
     else:
         save_project(new, path, project_id)
-    if first is not None:
-        new.unpersist()
 
 
 def capture(
@@ -59,11 +90,12 @@ def capture(
     every: str | None = "30 seconds",
     project_id: str | None = None,
     first: Callable[[DataFrame, int], object] | None = None,
+    indexed: bool = True,
 ) -> StreamingQuery:
     """Store a stream of raw exchanges; the first arrival of an id wins, in and across batches.
 
-    Duplicates inside a batch are combined before the shuffle and no per-id state is kept:
-    each batch reads the ids of the table in its own range instead. With ``project_id`` the
+    Duplicates inside a batch are combined before the shuffle. No per-id state is kept: each batch
+    meets the index of stored ids instead (see :func:`store_batch`). With ``project_id`` the
     table is the one partitioned by project and day. ``first`` gets the new messages of each batch, and its
     number, before they are stored.
     """
@@ -71,7 +103,7 @@ def capture(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         told = None if first is None else lambda new: first(new, batch_id)
-        store_batch(normalize(batch), path, project_id=project_id, first=told)
+        store_batch(normalize(batch), path, project_id=project_id, first=told, indexed=indexed)
 
     writer = raw.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return trigger(writer, every).start()
@@ -90,6 +122,36 @@ def deduplicated(raw: DataFrame, within: str | None = None) -> DataFrame:
     return rows.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["id"])
 
 
+def first_arrivals(raw: DataFrame) -> DataFrame:
+    """The normalised stream with the first arrival of each id, once: that of the earliest batch, in it that of the earliest time, then by digest.
+
+    State holds the first row of every id (keep it in RocksDB). ``min_by`` is combined in each task, so a busy id crosses once per task. An
+    id is put out in the batch that brought it. To be written in update mode, see :func:`keep_first`.
+    """
+    rows = normalize(raw)
+    rest = [c for c in rows.columns if c != "id"]
+    order = F.struct("_batch", F.col("timestamp").isNull(), "timestamp", F.xxhash64(*rest))
+    first = F.min_by(F.struct("_batch", *rest), order)
+    # The time of the batch is the same in a batch that is run again.
+    kept = rows.withColumn("_batch", F.current_timestamp()).groupBy("id").agg(first.alias("_first"))
+    return kept.where(F.col("_first._batch") == F.current_timestamp()).select("id", "_first.*").select(*rows.columns)
+
+
+def keep_first(raw: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """Store :func:`first_arrivals`, a folder per batch: one that is run again takes the place of what it left."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:012d}")
+
+    writer = first_arrivals(raw).writeStream.outputMode("update").foreachBatch(on_batch)
+    return trigger(writer.option("checkpointLocation", checkpoint), every).start()
+
+
+def load_first(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`keep_first` stored."""
+    return spark.read.schema(TRAFFIC).option("recursiveFileLookup", True).parquet(path)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
     """Append a stream to Parquet, each row exactly once."""
     writer = stream.writeStream.format("parquet").outputMode("append").option(

@@ -174,3 +174,24 @@ def test_alerts(spark, folders):
     assert {r["path"] for r in got.collect()} == {"/login"}
     # Seconds 0, 30 and 60 share the spans that start from 4 minutes before to the minute of the first.
     assert got.count() == 4 and got.agg(F.max("failures")).first()[0] == 3
+
+
+def test_first_arrivals_from_state(spark, folders):
+    """Repeats differ in every column and tie in time; an earlier batch wins even over an earlier time."""
+    inbox, out, checkpoint = folders
+    one = [exchange(1, f"h{k}", k, False, "GET", f"/{k}", 200, resp_body=str(k), seconds=5) for k in range(6)]
+    arrive(spark, inbox, "1", [*one, exchange(2, "x", 80, False, "GET", "/", 200)])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        cap.keep_first(stream(spark, inbox), out, checkpoint, every=None).awaitTermination()
+        kept = {r["id"]: r["host"] for r in cap.load_first(spark, out).collect()}
+        arrive(spark, inbox, "2", [exchange(1, "early", 80, False, "GET", "/", 200, seconds=0),
+                                   exchange(2, "x", 80, False, "GET", "/", 200), exchange(3, "y", 80, False, "GET", "/", 200)])
+        cap.keep_first(stream(spark, inbox), out, checkpoint, every=None).awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    rows = cap.load_first(spark, out).orderBy("id").collect()
+    assert [(r["id"], r["host"]) for r in rows] == [(1, kept[1]), (2, "x"), (3, "y")]
+    assert {(r["host"], r["port"], r["path"], r["resp_body"]) for r in rows if r["id"] == 1} <= {
+        (f"h{k}", k, f"/{k}", str(k)) for k in range(6)}
