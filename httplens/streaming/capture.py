@@ -125,7 +125,7 @@ def deduplicated(raw: DataFrame, within: str | None = None) -> DataFrame:
 def first_arrivals(raw: DataFrame) -> DataFrame:
     """The normalised stream with the first arrival of each id, once: that of the earliest batch, in it that of the earliest time, then by digest.
 
-    State holds the first row of every id (keep it in RocksDB). ``min_by`` is combined in each task, so a busy id crosses once per task. An
+    State holds the first row of every id (keep it in RocksDB); batches are ordered by the clock, which must not go back. ``min_by`` is combined in each task, so a busy id crosses once per task. An
     id is put out in the batch that brought it. To be written in update mode, see :func:`keep_first`.
     """
     rows = normalize(raw)
