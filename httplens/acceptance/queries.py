@@ -320,18 +320,31 @@ def _twice(raw: DataFrame) -> DataFrame:
 def _in_parts(spark, sf_dir, start: Callable[[DataFrame, str], object], repeats: bool = True, parts: int = 3) -> None:
     """The exchanges arrive in ``parts`` batches; what has arrived comes again with each, a minute later and with other texts."""
     inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "inbox-checkpoint")
-    raw = fixture.raw_exchanges(spark, sf_dir)
-    again = raw.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE")).withColumn("host", F.lit("repeat.invalid")).withColumn(
-        "path", F.concat(F.lit("/again"), "path"))
+    part = F.pmod("event_id", F.lit(parts))
     for k in range(parts):
-        arriving = raw.where(F.pmod("id", F.lit(parts)) == k)
+        _arrive(spark, sf_dir, part == k, f"{inbox}/own/{k}")
+        stream = fixture.raw_stream(spark, sf_dir, f"{inbox}/own")
         if repeats:
-            arriving = arriving.unionByName(again.where(F.pmod("id", F.lit(parts)) <= k))
-        arriving.write.parquet(f"{inbox}/{k}")
-        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(inbox)
+            _arrive(spark, sf_dir, part <= k, f"{inbox}/again/{k}")
+            again = fixture.raw_stream(spark, sf_dir, f"{inbox}/again")
+            stream = stream.unionByName(_a_minute_later(_elsewhere(again)))
         start(stream, checkpoint).awaitTermination()
 
 
+def _arrive(spark, sf_dir, which, path: str) -> None:
+    """The events are put in the inbox; their pages meet them in the stream."""
+    events = fixture.table(spark, sf_dir, "events").where(which)
+    events.select(*fixture.EVENTS.fieldNames()).write.parquet(path)
+
+
+def _elsewhere(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("host", F.lit("repeat.invalid")).withColumn("path", F.concat(F.lit("/again"), "path"))
+
+
+def _a_minute_later(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+
+
 def _drain(spark, start: Callable[[str, str], object], label: str) -> str:
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     start(path, checkpoint).awaitTermination()
@@ -349,14 +362,13 @@ def _captured(spark, sf_dir):
 
 
 def _stored_twice(spark, sf_dir):
-    """A third of the messages is stored, then all of them with later repeats under other hosts, in two layouts."""
+    """A third of the messages is stored, then all of them with later repeats under other hosts, in two orders."""
     path, traffic = scratch_path(spark, "stored"), ingest.normalize(fixture.raw_exchanges(spark, sf_dir))
     cap.create_table(spark, path)
     later = traffic.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")).withColumn("host", F.lit("repeat.invalid"))
     cap.store_batch(traffic.where("id % 3 = 0"), path)
-    both = traffic.unionByName(later)
-    cap.store_batch(both.where("id % 3 < 2").repartition(5, "host"), path)
-    cap.store_batch(both.repartition(3, "path"), path)
+    cap.store_batch(later.unionByName(traffic).where("id % 3 < 2"), path)
+    cap.store_batch(traffic.unionByName(later), path)
     return _readable(store.load_traffic(spark, path))
 
 
@@ -364,14 +376,13 @@ def _first_arrivals(spark, sf_dir):
     """Batches bring repeats of their own ids a minute later and of earlier batches' ids at the very same time."""
     path = scratch_path(spark, "first")
     inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "first-checkpoint")
-    raw = fixture.raw_exchanges(spark, sf_dir)
-    other = raw.withColumn("host", F.lit("repeat.invalid")).withColumn("path", F.concat(F.lit("/again"), "path"))
-    later = other.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))
+    part = F.pmod("event_id", F.lit(2))
     for k in range(2):
-        own = F.pmod("id", F.lit(2)) == k
-        arriving = raw.where(own).unionByName(later.where(own)).unionByName(other.where(F.pmod("id", F.lit(2)) < k))
-        arriving.write.parquet(f"{inbox}/{k}")
-        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(inbox)
+        _arrive(spark, sf_dir, part == k, f"{inbox}/own/{k}")
+        _arrive(spark, sf_dir, part < k, f"{inbox}/earlier/{k}")
+        own = fixture.raw_stream(spark, sf_dir, f"{inbox}/own")
+        earlier = fixture.raw_stream(spark, sf_dir, f"{inbox}/earlier")
+        stream = own.unionByName(_a_minute_later(_elsewhere(own))).unionByName(_elsewhere(earlier))
         cap.keep_first(stream, path, checkpoint, every=None).awaitTermination()
     return _readable(cap.load_first(spark, path))
 

@@ -182,9 +182,13 @@ def raw_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges(table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")).select(*_select(RAW))
 
 
-def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exchanges arriving as a file stream."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def raw_stream(spark: SparkSession, sf_dir: str, inbox: str | None = None) -> DataFrame:
+    """The exchanges arriving as a file stream; with ``inbox`` those of the events in its folders."""
+    reader = spark.readStream.schema(EVENTS)
+    if inbox is None:
+        events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        events = reader.option("recursiveFileLookup", True).parquet(inbox)
     return exchanges(events, table(spark, sf_dir, "pages")).select(*_select(RAW))
 
 

@@ -50,12 +50,15 @@ class StoredIds:
         met = rows.select("id").join(F.broadcast(about), F.col("id").between(F.col("low"), F.col("high")))
         return sorted(r.file for r in met.select("file").distinct().collect())
 
+    def held(self, rows: DataFrame) -> DataFrame | None:
+        """The ids of the files that may hold one of ``rows``, None if there is no such file."""
+        names = self.files(rows)
+        return self.spark.read.schema("id long").parquet(*names) if names else None
+
     def absent(self, rows: DataFrame) -> DataFrame:
         """The rows whose id is not stored; only files that may hold one of the ids are opened."""
-        names = self.files(rows)
-        if not names:
-            return rows
-        return rows.join(self.spark.read.schema("id long").parquet(*names), "id", "left_anti").select(*rows.columns)
+        held = self.held(rows)
+        return rows if held is None else rows.join(held, "id", "left_anti").select(*rows.columns)
 
     def _written(self, ids: DataFrame, level: int) -> dict:
         folder = self._table.new_folder()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from httplens.operators.ingest import append_new, at_places, normalize, winners
+from httplens.operators.ingest import kept_at, new_rows, normalize, winners, without
 from httplens.schema import TRAFFIC
 from httplens.session import stage
 from httplens.sources.ids import StoredIds
@@ -48,21 +48,22 @@ def store_batch(
     A batch delivered again after a failure finds its own rows stored, whole or in part, and
     adds only what is missing. Ids of different projects do not meet. ``first`` gets the new messages before they are stored.
 
-    The batch is written once to the shared folder. Ids meet the index of stored ids, not the table, and whole rows move only
-    after their id has won. The index knows what this function stores: a table to which others append too is stored
+    What the batch brings of new ids is written once to the shared folder. Ids meet the index of stored ids, not the table, and
+    whole rows are not shuffled: the places of the winners are sent to them. The index knows what this function stores: a table to which others append too is stored
     with ``indexed=False``, which reads the ids of the batch's range from the table.
     """
     spark = batch.sparkSession
     stored = _stored(spark, path, project_id)
     if not indexed:
-        new = append_new(stored, batch, arrival=arrival)
+        new = new_rows(stored, batch, arrival=arrival)
         new = new if first is None else new.persist()
         _store(new, path, project_id, first)
         new.unpersist()
         return
     index = stored_ids(spark, path, project_id)
     index.begin(stored)
-    whole = stage(batch, "batch")
+    held = index.held(batch)
+    whole = stage(batch if held is None else without(batch, held), "batch")
     places = stage(winners(whole, index.absent, arrival), "winners")
     span = places.agg(F.min("id").alias("low"), F.max("id").alias("high")).head()
     if span.low is None:
@@ -70,7 +71,7 @@ def store_batch(
             first(whole.limit(0))
         return
     index.note(span.low, span.high)
-    _store(at_places(whole, places), path, project_id, first)
+    _store(kept_at(whole, places), path, project_id, first)
     index.add(places)
 
 
@@ -78,7 +79,7 @@ def _store(new: DataFrame, path: str, project_id: str | None, first: Callable[[D
     if first is not None:
         first(new)
     if project_id is None:
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").option("compression", "zstd").parquet(path)
     else:
         save_project(new, path, project_id)
 
@@ -141,7 +142,7 @@ def keep_first(raw: DataFrame, path: str, checkpoint: str, every: str | None = "
     """Store :func:`first_arrivals`, a folder per batch: one that is run again takes the place of what it left."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:012d}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{batch_id:012d}")
 
     writer = first_arrivals(raw).writeStream.outputMode("update").foreachBatch(on_batch)
     return trigger(writer.option("checkpointLocation", checkpoint), every).start()
@@ -154,6 +155,6 @@ def load_first(spark: SparkSession, path: str) -> DataFrame:
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
     """Append a stream to Parquet, each row exactly once."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option(
+    writer = stream.writeStream.format("parquet").outputMode("append").option("compression", "zstd").option(
         "path", path).option("checkpointLocation", checkpoint)
     return trigger(writer, every).start()
