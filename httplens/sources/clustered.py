@@ -1,10 +1,11 @@
 """The traffic table clustered by id, with a directory of what each file can hold.
 
-Files are ranges of ids, sorted, with Parquet Bloom filters on the id. The directory has a row per file: its least and
-greatest id, its largest response and request. It is itself a table: a query asks it for the next few files only, so neither
-the directory nor the traffic passes through the driver.
+Whole rows are written once, as they come, and neither shuffled nor sorted. Beside them all columns but the response body, with the
+place of the whole row, stand in files that are ranges of ids, sorted, with Parquet Bloom filters on the id: only they are
+shuffled. The directory has a row per such file: its least and greatest id, its largest response and request. It is itself a
+table: a query asks it for the next few files only, so neither the directory nor the traffic passes through the driver.
 
-* :func:`messages` opens the files whose range holds the ids asked for.
+* :func:`messages` opens the files whose range holds the ids asked for, and the whole rows they point to.
 * :func:`first_findings` reads files in the order of the result and stops once the limit is full: a rare pattern may need
   all of them, a frequent one a few.
 * :func:`largest_findings` reads files by their largest value and stops once no file can hold a row that belongs
@@ -16,14 +17,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from httplens.operators.ingest import kept_at, place
 from httplens.operators.lookup import message_detail
 from httplens.plans.rules import RULES, Rule, order_by
 from httplens.schema import BASE, TRAFFIC
 from httplens.session import stage
 
 CLUSTERED = T.StructType([*TRAFFIC.fields, T.StructField("req_length", T.IntegerType())])
+BODY = "resp_body"
+POINTING = T.StructType([
+    *[f for f in CLUSTERED.fields if f.name != BODY], T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
 DIRECTORY = "file string, low long, high long, rows long, resp_length int, req_length int"
 FIRST_FILES = 4
 
@@ -32,30 +38,60 @@ _BY_ID = {rule.id: rule for rule in RULES}
 
 def write_clustered(traffic: DataFrame, path: str, rows_per_file: int = 1_000_000, files: int | None = None) -> None:
     """``traffic`` in ``files`` ranges of ids (as many as there are shuffle partitions), none longer than ``rows_per_file``."""
+    spark = traffic.sparkSession
     placed = traffic.withColumn("req_length", F.coalesce(F.length("req_body"), F.lit(0))).select(*CLUSTERED.fieldNames())
-    ranges = placed.repartitionByRange(files, "id") if files else placed.repartitionByRange("id")
-    writer = ranges.sortWithinPartitions("id").write.option("maxRecordsPerFile", rows_per_file)
-    writer.option("parquet.bloom.filter.enabled#id", "true").option(
-        "parquet.bloom.filter.expected.ndv#id", str(rows_per_file)).parquet(f"{path}/data")
-    own = traffic.sparkSession.read.schema(CLUSTERED).parquet(f"{path}/data")
+    _by_id(placed, rows_per_file).parquet(f"{path}/rows")
+    pointing = load_clustered(spark, path).select("*", *place()).select(*POINTING.fieldNames())
+    ranges = pointing.repartitionByRange(files, "id") if files else pointing.repartitionByRange("id")
+    _by_id(ranges.sortWithinPartitions("id"), rows_per_file).parquet(f"{path}/data")
+    own = spark.read.schema(POINTING).parquet(f"{path}/data")
     about = own.select(F.col("_metadata.file_path").alias("file"), "id", "resp_length", "req_length").groupBy("file").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"),
         F.max("resp_length").alias("resp_length"), F.max("req_length").alias("req_length"))
     about.write.parquet(f"{path}/directory")
 
 
+def _by_id(df: DataFrame, rows_per_file: int):
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+    return writer.option("parquet.bloom.filter.enabled#id", "true").option(
+        "parquet.bloom.filter.expected.ndv#id", str(rows_per_file))
+
+
 def load_clustered(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLUSTERED).parquet(f"{path}/data")
+    """The whole rows, as they came."""
+    return _whole(spark, [f"{path}/rows"])
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
 
 
+def _whole(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.read.schema(CLUSTERED).parquet(*names) if names else spark.createDataFrame([], CLUSTERED)
+
+
 def _files(spark: SparkSession, names: list[str]) -> DataFrame:
     if not names:
-        return spark.createDataFrame([], CLUSTERED)
-    return spark.read.schema(CLUSTERED).parquet(*names)
+        return spark.createDataFrame([], POINTING)
+    return spark.read.schema(POINTING).parquet(*names)
+
+
+def _row_files(pointing: DataFrame) -> list[str]:
+    """The files with the whole rows that ``pointing`` points to."""
+    return [row["_file"] for row in pointing.select("_file").distinct().orderBy("_file").collect()]
+
+
+def _search(spark: SparkSession, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over the rows of some files; whole rows are opened only if it asks for the response body."""
+    own = _files(spark, names)
+    try:
+        return run(own)
+    except AnalysisException as error:
+        if BODY not in str(error):
+            raise
+        places = _row_files(own)
+        whole = _whole(spark, places)
+        return run(kept_at(whole, own) if places else whole)
 
 
 def messages(spark: SparkSession, path: str, ids: Iterable[int]) -> DataFrame:
@@ -65,7 +101,8 @@ def messages(spark: SparkSession, path: str, ids: Iterable[int]) -> DataFrame:
     # As many files as ids at most: safe to collect, and the ids to broadcast.
     held = directory(spark, path).join(F.broadcast(asked), (F.col("id") >= F.col("low")) & (F.col("id") <= F.col("high")))
     names = [row.file for row in held.select("file").distinct().orderBy("file").collect()]
-    return message_detail(_files(spark, names), wanted)
+    pointing = _files(spark, names).where(F.col("id").isin(wanted))
+    return message_detail(_whole(spark, _row_files(pointing)), wanted)
 
 
 # --- in the order of the result ----------------------------------------------------------------
@@ -97,11 +134,11 @@ def first_findings(spark: SparkSession, path: str, rule: Rule | str, limit: int
         names = left.orderBy(F.asc(side) if ascending else F.desc(side)).limit(group).select("file", side).collect()
         if not names:
             break
-        own = rule.run(_files(spark, [n.file for n in names]), limit=limit - found)
+        own = _search(spark, [n.file for n in names], lambda df: rule.run(df, limit=limit - found))
         parts.append(stage(own, "findings"))
         found += parts[-1].count()
         at, group = names[-1][side], 2 * group
-    return _result(spark, parts, rule.run(_files(spark, []), limit=0), order, limit)
+    return _result(spark, parts, _search(spark, [], lambda df: rule.run(df, limit=0)), order, limit)
 
 
 @dataclass(frozen=True)
@@ -131,11 +168,13 @@ def largest_findings(spark: SparkSession, path: str, ranking: Ranking | str, lim
     order = [F.desc_nulls_last(size), F.asc("id")]
     kept = list(dict.fromkeys([*ranking.columns, size, "id"]))
 
-    def read(names: list[str]) -> DataFrame:
-        own = _files(spark, names)
+    def largest(own: DataFrame) -> DataFrame:
         own = own if ranking.where is None else own.where(ranking.where())
         return own.select(*kept).orderBy(*order).limit(limit)
 
+    def read(names: list[str]) -> DataFrame:
+        return _search(spark, names, largest)
+
     best, at, group = stage(read([]), "largest"), None, FIRST_FILES
     files = directory(spark, path).withColumn(size, F.coalesce(size, F.lit(-1)))  # a file without lengths comes last
     while limit:
