@@ -7,19 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from httplens.functions.strings import message_text
+from httplens.operators.ingest import within
 
 
 def message_detail(traffic: DataFrame, ids: DataFrame | Iterable[int]) -> DataFrame:
     """``id``, request text and response text for each known id.
 
     ``ids`` is a short list, pushed down to the scan, or any result with an ``id``
-    column in any case, semi-joined; Spark broadcasts it only if it turns out small.
+    column in any case: it is sent to the traffic as bitmaps, so that bodies are not shuffled.
     """
     if isinstance(ids, DataFrame):
         named = [c for c in ids.columns if c.lower() == "id"]
         if not named:
             raise ValueError("no message detail: the result has no 'id' column")
-        wanted = traffic.join(ids.select(F.col(named[0]).alias("id")).where("id IS NOT NULL").distinct(), "id", "left_semi")
+        wanted = within(traffic, ids.select(F.col(named[0]).alias("id")).where("id IS NOT NULL"))
     else:
         wanted = traffic.where(F.col("id").isin([i for i in ids if i is not None]))
     return wanted.select(
