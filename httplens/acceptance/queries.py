@@ -107,14 +107,14 @@ def _no_time(spark, sf_dir):
 def _csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     traffic = fixture.traffic(spark, sf_dir)
-    export.export(traffic, "CSV", path)
+    export.export(traffic, "CSV", path, compression="gzip")
     return _readable(export.read_csv(spark, path, traffic.schema))
 
 
 def _json(spark, sf_dir):
     path = scratch_path(spark, "json")
     traffic = fixture.traffic(spark, sf_dir)
-    export.export(traffic, "JSON", path)
+    export.export(traffic, "JSON", path, compression="gzip")
     return _readable(export.read_json(spark, path, traffic.schema))
 
 

@@ -18,30 +18,42 @@ _CSV = {
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """With header. Empty text is written quoted, no value as nothing.
+# So that a compressed file, which one task has to read from its start, stays short.
+ROWS_PER_FILE = 200_000
+
+
+def _writer(df: DataFrame, compression: str | None):
+    if compression is None:
+        return df.write
+    return df.write.options(compression=compression, maxRecordsPerFile=ROWS_PER_FILE)
+
+
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """With header. Empty text is written quoted, no value as nothing. ``compression`` is a codec of Spark's, such as gzip.
 
     In a table of one column a null is written as empty text, because a line with nothing in it is no row.
     """
     if len(df.columns) == 1:
         only = df.columns[0]
         df = df.select(F.coalesce(df[only].cast("string"), F.lit("")).alias(only))
-    df.write.options(**_CSV, **_TIMES).csv(path)
+    _writer(df, compression).options(**_CSV, **_TIMES).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Newline-delimited, with null fields written out."""
-    df.write.options(ignoreNullFields=False, **_TIMES).json(path)
+    _writer(df, compression).options(ignoreNullFields=False, **_TIMES).json(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.parquet(path)
+def write_parquet(df: DataFrame, path: str, compression: str | None = None) -> None:
+    _writer(df, compression).parquet(path)
 
 
 _WRITERS = {"json": write_json, "parquet": write_parquet}
 
 
-def export(result: DataFrame | str, fmt: str, path: str, traffic: DataFrame | None = None) -> None:
+def export(
+    result: DataFrame | str, fmt: str, path: str, traffic: DataFrame | None = None, compression: str | None = None,
+) -> None:
     """Write a frame, or the result of a query over ``traffic``; unknown formats become CSV.
 
     Gives a folder with one file per task, so that nothing has to pass through one.
@@ -52,7 +64,7 @@ def export(result: DataFrame | str, fmt: str, path: str, traffic: DataFrame | No
         result = run_sql(traffic, result)
         if result is None:
             raise ValueError("no query to export")
-    _WRITERS.get(fmt.lower(), write_csv)(result, path)
+    _WRITERS.get(fmt.lower(), write_csv)(result, path, compression)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
