@@ -24,7 +24,7 @@ def save_project(traffic: DataFrame, path: str, project_id: str | None = None) -
     """
     df = traffic if project_id is None else traffic.withColumn("project_id", F.lit(project_id))
     df = df.withColumn("date", F.to_date("timestamp")).hint("rebalance", *PARTITIONS)
-    df.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    df.write.mode("append").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
 
 
 def load_projects(spark: SparkSession, path: str) -> DataFrame:
