@@ -1,9 +1,10 @@
 """The traffic table clustered by id, with a directory of what each file can hold.
 
-Whole rows are written once, as they come, and neither shuffled nor sorted. Beside them all columns but the response body, with the
-place of the whole row, stand in files that are ranges of ids, sorted, with Parquet Bloom filters on the id: only they are
-shuffled. The directory has a row per such file: its least and greatest id, its largest response and request. It is itself a
-table: a query asks it for the next few files only, so neither the directory nor the traffic passes through the driver.
+Whole rows are written once, as they come, and neither shuffled nor sorted; a body that comes again in a row group is not written
+again while their dictionary lasts. Beside them all columns but the response body, with the place of the whole row, stand in files
+that are ranges of ids, sorted, with Parquet Bloom filters on the id: only they are shuffled. The directory has a row per such file:
+its least and greatest id, its largest response and request. It is itself a table: a query asks it for the next few files only, so
+neither the directory nor the traffic passes through the driver.
 
 * :func:`messages` opens the files whose range holds the ids asked for, and the whole rows they point to.
 * :func:`first_findings` reads files in the order of the result and stops once the limit is full: a rare pattern may need
@@ -32,6 +33,9 @@ POINTING = T.StructType([
     *[f for f in CLUSTERED.fields if f.name != BODY], T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
 DIRECTORY = "file string, low long, high long, rows long, resp_length int, req_length int"
 FIRST_FILES = 4
+# Bytes of a page and of a dictionary of whole rows, before compression. Of Parquet's own 1 MB a few hundred bodies take all, so that
+# those of one page are hardly ever equal or alike; a dictionary that does not pay is given up after the first page.
+ROWS_PAGE = 32 << 20
 
 _BY_ID = {rule.id: rule for rule in RULES}
 
@@ -40,7 +44,8 @@ def write_clustered(traffic: DataFrame, path: str, rows_per_file: int = 1_000_00
     """``traffic`` in ``files`` ranges of ids (as many as there are shuffle partitions), none longer than ``rows_per_file``."""
     spark = traffic.sparkSession
     placed = traffic.withColumn("req_length", F.coalesce(F.length("req_body"), F.lit(0))).select(*CLUSTERED.fieldNames())
-    _by_id(placed, rows_per_file).parquet(f"{path}/rows")
+    _by_id(placed, rows_per_file).option("parquet.page.size", str(ROWS_PAGE)).option(
+        "parquet.dictionary.page.size", str(ROWS_PAGE)).parquet(f"{path}/rows")
     pointing = load_clustered(spark, path).select("*", *place()).select(*POINTING.fieldNames())
     ranges = pointing.repartitionByRange(files, "id") if files else pointing.repartitionByRange("id")
     _by_id(ranges.sortWithinPartitions("id"), rows_per_file).parquet(f"{path}/data")

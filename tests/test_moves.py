@@ -96,6 +96,20 @@ def test_clustered_bodies_stay_as_they_came(spark, tmp_path):
         assert all(len(r.resp_body) > 150 and r.path == f"/{len(r.resp_body)}" for r in found)
 
 
+@pytest.mark.parametrize("bodies", [400, 1200])
+def test_a_clustered_body_that_comes_again_is_not_written_again(spark, tmp_path, bodies):
+    """Bodies of 6 KB, 2.3 MB of them between one and the next that equals it; and bodies that all differ."""
+    body = F.expr(f"concat_ws('', transform(sequence(1, 90), k -> sha2(concat(id % {bodies}, '-', k), 256)))")
+    traffic = raw_frame(spark, [exchange(k, "h", 1, False, "GET", f"/{k}", 200) for k in range(1200)]).coalesce(1)
+    traffic = ingest.normalize(traffic.sortWithinPartitions("id").withColumn("resp_body", body)).cache()
+    path = str(tmp_path / "t")
+    clustered.write_clustered(traffic, path, rows_per_file=1200, files=2)
+    written = sum(p.stat().st_size for p in (tmp_path / "t" / "rows").glob("part-*"))
+    assert written < 0.7 * bodies * 90 * 64
+    assert listed(clustered.load_clustered(spark, path).drop("req_length")) == listed(traffic)
+    assert listed(clustered.messages(spark, path, [3, 403, 1199])) == listed(message_detail(traffic, [3, 403, 1199]))
+
+
 @pytest.mark.parametrize("fmt", ["CSV", "JSON"])
 def test_compressed_export_comes_back(spark, tmp_path, seed_a, fmt):
     path = str(tmp_path / "x")
