@@ -1,12 +1,13 @@
 """The traffic table clustered by id, with a directory of what each file can hold.
 
-Whole rows are written once, as they come, and neither shuffled nor sorted; a body that comes again in a row group is not written
-again while their dictionary lasts. Beside them all columns but the response body, with the place of the whole row, stand in files
-that are ranges of ids, sorted, with Parquet Bloom filters on the id: only they are shuffled. The directory has a row per such file:
-its least and greatest id, its largest response and request. It is itself a table: a query asks it for the next few files only, so
-neither the directory nor the traffic passes through the driver.
-
-* :func:`messages` opens the files whose range holds the ids asked for, and the whole rows they point to.
+Rows are written without their response bodies, which stand beside them, about once each whatever the order of the rows, and are found
+by their digest: ``traffic`` is worked out twice, and of rows with equal bodies that with the least id writes it (if the id comes
+again, all its rows do; see also :data:`SIGNS`). Bodies are neither shuffled nor sorted. The rows stand in files that are ranges of
+ids, sorted, with Parquet Bloom filters on the id. The directory has a row per such file: its least and greatest id, its largest
+response and request. It is itself a table: a query asks it for the next few files only, so neither the directory nor the traffic
+passes through the driver.
+
+* :func:`messages` opens the files whose range holds the ids asked for, and those with the bodies of these.
 * :func:`first_findings` reads files in the order of the result and stops once the limit is full: a rare pattern may need
   all of them, a frequent one a few.
 * :func:`largest_findings` reads files by their largest value and stops once no file can hold a row that belongs
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from httplens.operators.ingest import kept_at, place
+from httplens.operators.ingest import SENT_BITMAPS, kept_at, place, within
 from httplens.operators.lookup import message_detail
 from httplens.plans.rules import RULES, Rule, order_by
 from httplens.schema import BASE, TRAFFIC
@@ -29,13 +30,18 @@ from httplens.session import stage
 
 CLUSTERED = T.StructType([*TRAFFIC.fields, T.StructField("req_length", T.IntegerType())])
 BODY = "resp_body"
-POINTING = T.StructType([
-    *[f for f in CLUSTERED.fields if f.name != BODY], T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())])
+# Of the response body its digest.
+POINTING = T.StructType([*[f for f in CLUSTERED.fields if f.name != BODY], T.StructField("_body", T.BinaryType())])
+BODIES = T.StructType([T.StructField("_body", T.BinaryType()), T.StructField(BODY, T.StringType())])
+PLACES = "_body binary, _file string, _row long"
 DIRECTORY = "file string, low long, high long, rows long, resp_length int, req_length int"
 FIRST_FILES = 4
-# Bytes of a page and of a dictionary of whole rows, before compression. Of Parquet's own 1 MB a few hundred bodies take all, so that
-# those of one page are hardly ever equal or alike; a dictionary that does not pay is given up after the first page.
-ROWS_PAGE = 32 << 20
+# Bytes of a page and of a dictionary of bodies, before compression. Of Parquet's own 1 MB a few hundred bodies take all, so that
+# those of one page are hardly ever alike; a dictionary that does not pay is given up after the first page.
+BODIES_PAGE = 32 << 20
+# Signs for each row: of those that need not write their body, as many as an eighth of the bodies share the sign of one that does.
+# From 268 million rows on there are fewer signs for each.
+SIGNS = 8
 
 _BY_ID = {rule.id: rule for rule in RULES}
 
@@ -43,12 +49,12 @@ _BY_ID = {rule.id: rule for rule in RULES}
 def write_clustered(traffic: DataFrame, path: str, rows_per_file: int = 1_000_000, files: int | None = None) -> None:
     """``traffic`` in ``files`` ranges of ids (as many as there are shuffle partitions), none longer than ``rows_per_file``."""
     spark = traffic.sparkSession
-    placed = traffic.withColumn("req_length", F.coalesce(F.length("req_body"), F.lit(0))).select(*CLUSTERED.fieldNames())
-    _by_id(placed, rows_per_file).option("parquet.page.size", str(ROWS_PAGE)).option(
-        "parquet.dictionary.page.size", str(ROWS_PAGE)).parquet(f"{path}/rows")
-    pointing = load_clustered(spark, path).select("*", *place()).select(*POINTING.fieldNames())
-    ranges = pointing.repartitionByRange(files, "id") if files else pointing.repartitionByRange("id")
-    _by_id(ranges.sortWithinPartitions("id"), rows_per_file).parquet(f"{path}/data")
+    if not _write_rows(traffic, path, rows_per_file):
+        # Rows that are others when worked out again, such as those of a limit without an order.
+        _write_rows(stage(traffic, "traffic"), path, rows_per_file, "overwrite")
+    rows = spark.read.schema(POINTING).parquet(f"{path}/rows")
+    ranges = rows.repartitionByRange(files, "id") if files else rows.repartitionByRange("id")
+    _files_of(ranges.sortWithinPartitions("id"), rows_per_file, key="id").parquet(f"{path}/data")
     own = spark.read.schema(POINTING).parquet(f"{path}/data")
     about = own.select(F.col("_metadata.file_path").alias("file"), "id", "resp_length", "req_length").groupBy("file").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"),
@@ -56,23 +62,56 @@ def write_clustered(traffic: DataFrame, path: str, rows_per_file: int = 1_000_00
     about.write.parquet(f"{path}/directory")
 
 
-def _by_id(df: DataFrame, rows_per_file: int):
-    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
-    return writer.option("parquet.bloom.filter.enabled#id", "true").option(
-        "parquet.bloom.filter.expected.ndv#id", str(rows_per_file))
+def _write_rows(traffic: DataFrame, path: str, rows_per_file: int, mode: str = "error") -> bool:
+    """The rows without bodies as they come, the bodies, and where each stands; whether the bodies of all rows are there."""
+    spark = traffic.sparkSession
+    digest = F.substring(F.unhex(F.sha2(BODY, 256)), 1, 16)
+    narrow = traffic.withColumn("req_length", F.coalesce(F.length("req_body"), F.lit(0))).withColumn("_body", digest)
+    _files_of(narrow.select(*POINTING.fieldNames()), rows_per_file, mode).parquet(f"{path}/rows")
+    rows = spark.read.schema(POINTING).parquet(f"{path}/rows").where("_body IS NOT NULL")
+    first = stage(rows.groupBy("_body").agg(F.min("id").alias("id")), "bodies")
+    # No more signs than there are bits to send: every row can be asked without a shuffle, whatever its id.
+    signs = max(1, min(SIGNS * rows.count(), SENT_BITMAPS << 15))
+    sign = (F.pmod(F.xxhash64("id"), F.lit(signs)) + 1).alias("_sign")
+    writing = within(traffic.where(F.col(BODY).isNotNull()).select(BODY, sign), first.select(sign), ("_sign",))
+    pages = {"parquet.page.size": str(BODIES_PAGE), "parquet.dictionary.page.size": str(BODIES_PAGE)}
+    _files_of(writing.select(digest.alias("_body"), BODY), rows_per_file, mode).options(**pages).parquet(f"{path}/bodies")
+    places = spark.read.schema(BODIES).parquet(f"{path}/bodies").select("_body", *place()).groupBy("_body").agg(
+        F.min(F.struct("_file", "_row")).alias("_place")).select("_body", "_place.*")
+    _files_of(places.sortWithinPartitions("_body"), rows_per_file, mode, "_body").parquet(f"{path}/places")
+    return first.join(_places(spark, path), "_body", "left_anti").isEmpty()
+
+
+def _files_of(df: DataFrame, rows_per_file: int, mode: str = "error", key: str | None = None):
+    writer = df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+    return writer if key is None else writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(
+        f"parquet.bloom.filter.expected.ndv#{key}", str(rows_per_file))
 
 
 def load_clustered(spark: SparkSession, path: str) -> DataFrame:
-    """The whole rows, as they came."""
-    return _whole(spark, [f"{path}/rows"])
+    """The whole rows."""
+    return _whole(spark, path, spark.read.schema(POINTING).parquet(f"{path}/rows"))
 
 
-def directory(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
+def _places(spark: SparkSession, path: str) -> DataFrame:
+    """A file and a row in it for each body."""
+    return spark.read.schema(PLACES).parquet(f"{path}/places")
+
 
+def _whole(spark: SparkSession, path: str, own: DataFrame, few: bool = False) -> DataFrame:
+    """Some rows with their bodies, each of which is read once. The digests of a ``few`` rows are pushed down to the scan."""
+    asked, places = own.select("_body").where("_body IS NOT NULL").distinct(), _places(spark, path)
+    if few:
+        places = places.where(F.col("_body").isin([row["_body"] for row in asked.collect()]))
+    else:
+        places = places.join(asked, "_body", "left_semi")
+    names = [row["_file"] for row in places.select("_file").distinct().orderBy("_file").collect()]
+    bodies = kept_at(spark.read.schema(BODIES).parquet(*names), places) if names else spark.createDataFrame([], BODIES)
+    return own.join(bodies, "_body", "left").select(*CLUSTERED.fieldNames())
 
-def _whole(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.read.schema(CLUSTERED).parquet(*names) if names else spark.createDataFrame([], CLUSTERED)
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
 
 
 def _files(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -81,22 +120,15 @@ def _files(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.read.schema(POINTING).parquet(*names)
 
 
-def _row_files(pointing: DataFrame) -> list[str]:
-    """The files with the whole rows that ``pointing`` points to."""
-    return [row["_file"] for row in pointing.select("_file").distinct().orderBy("_file").collect()]
-
-
-def _search(spark: SparkSession, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``run`` over the rows of some files; whole rows are opened only if it asks for the response body."""
+def _search(spark: SparkSession, path: str, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over the rows of some files; bodies are opened only if it asks for them."""
     own = _files(spark, names)
     try:
         return run(own)
     except AnalysisException as error:
         if BODY not in str(error):
             raise
-        places = _row_files(own)
-        whole = _whole(spark, places)
-        return run(kept_at(whole, own) if places else whole)
+        return run(_whole(spark, path, own))
 
 
 def messages(spark: SparkSession, path: str, ids: Iterable[int]) -> DataFrame:
@@ -107,7 +139,7 @@ def messages(spark: SparkSession, path: str, ids: Iterable[int]) -> DataFrame:
     held = directory(spark, path).join(F.broadcast(asked), (F.col("id") >= F.col("low")) & (F.col("id") <= F.col("high")))
     names = [row.file for row in held.select("file").distinct().orderBy("file").collect()]
     pointing = _files(spark, names).where(F.col("id").isin(wanted))
-    return message_detail(_whole(spark, _row_files(pointing)), wanted)
+    return message_detail(_whole(spark, path, pointing, few=True), wanted)
 
 
 # --- in the order of the result ----------------------------------------------------------------
@@ -139,11 +171,11 @@ def first_findings(spark: SparkSession, path: str, rule: Rule | str, limit: int
         names = left.orderBy(F.asc(side) if ascending else F.desc(side)).limit(group).select("file", side).collect()
         if not names:
             break
-        own = _search(spark, [n.file for n in names], lambda df: rule.run(df, limit=limit - found))
+        own = _search(spark, path, [n.file for n in names], lambda df: rule.run(df, limit=limit - found))
         parts.append(stage(own, "findings"))
         found += parts[-1].count()
         at, group = names[-1][side], 2 * group
-    return _result(spark, parts, _search(spark, [], lambda df: rule.run(df, limit=0)), order, limit)
+    return _result(spark, parts, _search(spark, path, [], lambda df: rule.run(df, limit=0)), order, limit)
 
 
 @dataclass(frozen=True)
@@ -178,7 +210,7 @@ def largest_findings(spark: SparkSession, path: str, ranking: Ranking | str, lim
         return own.select(*kept).orderBy(*order).limit(limit)
 
     def read(names: list[str]) -> DataFrame:
-        return _search(spark, names, largest)
+        return _search(spark, path, names, largest)
 
     best, at, group = stage(read([]), "largest"), None, FIRST_FILES
     files = directory(spark, path).withColumn(size, F.coalesce(size, F.lit(-1)))  # a file without lengths comes last

@@ -1,5 +1,7 @@
 """What whole rows are spared: keys and places go to them."""
 
+import os
+
 import pytest
 from conftest import exchange, raw_frame
 from pyspark.sql import functions as F
@@ -110,6 +112,47 @@ def test_a_clustered_body_that_comes_again_is_not_written_again(spark, tmp_path,
     assert listed(clustered.messages(spark, path, [3, 403, 1199])) == listed(message_detail(traffic, [3, 403, 1199]))
 
 
+def test_clustered_bodies_are_written_once_in_any_order(spark, tmp_path):
+    """150 bodies of 6 KB in all of eight tasks, which write a file each."""
+    body = F.expr("concat_ws('', transform(sequence(1, 90), k -> sha2(concat(id % 150, '-', k), 256)))")
+    traffic = raw_frame(spark, [exchange(k, "h", 1, False, "GET", f"/{k}", 200) for k in range(1200)]).repartition(8, "path")
+    traffic = ingest.normalize(traffic.withColumn("resp_body", body)).cache()
+    path = str(tmp_path / "t")
+    clustered.write_clustered(traffic, path, rows_per_file=1200, files=2)
+    written = sum(p.stat().st_size for p in (tmp_path / "t").rglob("part-*"))
+    assert written < 2 * 150 * 90 * 32
+    assert listed(clustered.load_clustered(spark, path).drop("req_length")) == listed(traffic)
+    assert listed(clustered.messages(spark, path, [3, 403, 1199])) == listed(message_detail(traffic, [3, 403, 1199]))
+
+
+@pytest.mark.parametrize("signs", [8, 1])
+def test_clustered_bodies_of_odd_rows(spark, tmp_path, monkeypatch, signs):
+    """Ids and bodies that are missing or come again, each alone and together; and no rows."""
+    monkeypatch.setattr(clustered, "SIGNS", signs)
+    odd = [(i, b) for i in (None, 1, 1, 7, -5, 2**62) for b in (None, "", "a", "a", "b")] + [(k, f"own {k}") for k in range(50)]
+    given = repeated(spark).limit(1).drop("id", "resp_body").crossJoin(spark.createDataFrame(odd, "id long, resp_body string"))
+    traffic = given.select(*clustered.CLUSTERED.fieldNames()[:-1]).cache()
+    for name, some in (("all", traffic), ("bodiless", traffic.where("resp_body IS NULL")), ("none", traffic.limit(0))):
+        path = str(tmp_path / name)
+        clustered.write_clustered(some, path, files=3)
+        again = clustered.load_clustered(spark, path)
+        assert listed(again.drop("req_length")) == listed(some)
+        assert listed(clustered.messages(spark, path, [1, 7, None])) == listed(message_detail(some, [1, 7]))
+        rule = Rule("Z", "Test", "Bodies", lambda: F.length("resp_body") > 0, columns=("id", "resp_body"), order=("id",))
+        found = clustered.first_findings(spark, path, rule, 1000)
+        assert listed(found) == listed(rule.run(some, limit=1000))
+    clustered.write_clustered(clustered.load_clustered(spark, str(tmp_path / "all")), str(tmp_path / "copy"), files=3)
+    assert listed(clustered.load_clustered(spark, str(tmp_path / "copy"))) == listed(clustered.load_clustered(spark, str(tmp_path / "all")))
+
+
+def test_clustered_bodies_that_are_others_each_time(spark, tmp_path):
+    drawn = F.udf(lambda: os.urandom(8).hex()).asNondeterministic()
+    traffic, path = repeated(spark).withColumn("resp_body", drawn()), str(tmp_path / "t")
+    clustered.write_clustered(traffic, path, files=3)
+    again = clustered.load_clustered(spark, path)
+    assert again.count() == 200 and again.where("length(resp_body) = 16").select("resp_body").distinct().count() == 200
+
+
 @pytest.mark.parametrize("fmt", ["CSV", "JSON"])
 def test_compressed_export_comes_back(spark, tmp_path, seed_a, fmt):
     path = str(tmp_path / "x")
