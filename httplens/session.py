@@ -6,6 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Pages and dictionaries of whole rows, before compression: in Parquet's own 1 MB few bodies find their equals. A dictionary that does
+# not pay is given up after the first page.
+WIDE_PAGES = {"parquet.page.size": str(32 << 20), "parquet.dictionary.page.size": str(32 << 20)}
+
 
 def build_session(master: str | None = None, app: str = "httplens", **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; the cluster's own settings win elsewhere."""
@@ -35,7 +39,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/httplens/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage at a table that survives the loss of executors, and unlike a
@@ -43,5 +52,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

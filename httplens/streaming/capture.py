@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from httplens.operators.ingest import kept_at, new_rows, normalize, winners, without
+from httplens.operators.ingest import kept_at, new_rows, normalize, place, winners, without
 from httplens.schema import TRAFFIC
-from httplens.session import stage
+from httplens.session import WIDE_PAGES, exists, stage
 from httplens.sources.ids import StoredIds
+from httplens.sources.snapshots import Snapshots
 from httplens.sources.traffic import PARTITIONS, STORED, load_project, load_traffic, save_project
 
+# What the state sees of a row.
+SENT = ("id", "timestamp")
+
 
 def trigger(stream_writer, every: str | None):
     """Every so often, or if ``every`` is None, all that is there now and then stop."""
@@ -115,9 +119,16 @@ def deduplicated(raw: DataFrame, within: str | None = None) -> DataFrame:
 
     State holds every id ever seen, or with ``within`` only those of that
     event-time span: bounded, but a repeat that comes later gets through. All repeats of an
-    id travel to the task that keeps its state; ``capture`` combines them before that.
+    id travel to the task that keeps its state; ``capture`` combines them before that. :func:`append_to` sends
+    only their ids and times there; any other use of this stream sends whole rows.
     """
     rows = normalize(raw)
+    kept = _without_repeats(rows, within)
+    kept._by_state = rows, _without_repeats(rows.select(*SENT), within)
+    return kept
+
+
+def _without_repeats(rows: DataFrame, within: str | None) -> DataFrame:
     if within is None:
         return rows.dropDuplicates(["id"])
     return rows.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["id"])
@@ -138,6 +149,19 @@ def first_arrivals(raw: DataFrame) -> DataFrame:
     return kept.where(F.col("_first._batch") == F.current_timestamp()).select("id", "_first.*").select(*rows.columns)
 
 
+def _with_kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Whole rows, which no state sees, and beside them the ids and times that state let through in the same batch."""
+    return rows.withColumn("_kept", F.lit(False)).unionByName(kept.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
+
+
+def _kept_places(staged: DataFrame) -> DataFrame:
+    """Where the rows stand that state let through: of rows with one id and time the first by digest. Null ids and times are values too."""
+    row = F.struct(F.xxhash64(*[c for c in staged.columns if c not in ("id", "_kept")]).alias("_digest"), *place())
+    found = staged.select(*SENT, "_kept", F.when(~F.col("_kept"), row).alias("_place")).groupBy(*SENT).agg(
+        F.max("_kept").alias("_kept"), F.min("_place").alias("_place"))
+    return found.where("_kept AND _place IS NOT NULL").select(*SENT, "_place._file", "_place._row")
+
+
 def keep_first(raw: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
     """Store :func:`first_arrivals`, a folder per batch: one that is run again takes the place of what it left."""
 
@@ -154,7 +178,36 @@ def load_first(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
-    """Append a stream to Parquet, each row exactly once."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("compression", "zstd").option(
-        "path", path).option("checkpointLocation", checkpoint)
+    """Append a stream to Parquet, each row exactly once.
+
+    Of :func:`deduplicated` only ids and times go to the state. Whole rows are written once to the shared folder, and the places of
+    those kept are sent to them; the stream is read twice. A table begun with Spark's own file sink stays with it.
+    """
+    by_state = getattr(stream, "_by_state", None)
+    if by_state is None or exists(stream.sparkSession, f"{path}/_spark_metadata"):
+        writer = stream.writeStream.format("parquet").outputMode("append").option("compression", "zstd").option(
+            "path", path).option("checkpointLocation", checkpoint)
+        return trigger(writer, every).start()
+    create_table(stream.sparkSession, path, stream.schema)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        begun = Snapshots(spark, f"{path}/_begun")
+        staged = stage(batch, "batch", **WIDE_PAGES)
+        places = _kept_places(staged)
+        if begun.state().marks.get("batch", -1) < batch_id:
+            begun.change(lambda before: ([], {"batch": batch_id}))
+        else:
+            places = _not_stored(places, spark.read.schema(stream.schema).parquet(path))
+        new = kept_at(staged, stage(places, "winners")).select(*stream.columns)
+        new.write.mode("append").option("compression", "zstd").options(**WIDE_PAGES).parquet(path)
+
+    writer = _with_kept(*by_state).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return trigger(writer, every).start()
+
+
+def _not_stored(places: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of a batch that is run again, what its first run did not store."""
+    there = stored.select(*[F.col(c).alias(f"_stored_{c}") for c in SENT])
+    same = [F.col(c).eqNullSafe(F.col(f"_stored_{c}")) for c in SENT]
+    return places.join(there, same, "left_anti")

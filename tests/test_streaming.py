@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from conftest import SEED_B, exchange, raw_frame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from httplens.operators.findings import tag_findings
 from httplens.operators.ingest import normalize
@@ -195,3 +195,81 @@ def test_first_arrivals_from_state(spark, folders):
     assert [(r["id"], r["host"]) for r in rows] == [(1, kept[1]), (2, "x"), (3, "y")]
     assert {(r["host"], r["port"], r["path"], r["resp_body"]) for r in rows if r["id"] == 1} <= {
         (f"h{k}", k, f"/{k}", str(k)) for k in range(6)}
+
+
+def shuffled(query):
+    """The columns that the last batch of a stream shuffled."""
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    plan = query._jsq.streamingQuery().lastExecution().executedPlan()
+    return [node.output().mkString(" ") for node in nodes(plan) if node.nodeName() == "Exchange"]
+
+
+def dedupe(spark, inbox, out, checkpoint, files_per_batch=1):
+    query = cap.append_to(cap.deduplicated(stream(spark, inbox, files_per_batch)), out, checkpoint, every=None)
+    query.awaitTermination()
+    return query
+
+
+def test_state_gets_no_bodies(spark, folders, tmp_path):
+    """40 bodies of 64 KB that do not compress well, each twice."""
+    inbox, out, checkpoint = folders
+    body = F.expr("concat_ws('', transform(sequence(1, 1000), k -> sha2(concat(id, '-', k), 256)))")
+    rows = [exchange(k % 40, "h", 80, False, "GET", f"/{k % 40}", 200, seconds=k % 40) for k in range(80)]
+    whole = raw_frame(spark, rows).withColumn("resp_body", body).cache()
+    whole.coalesce(1).write.parquet(f"{inbox}/1")
+    query = dedupe(spark, inbox, out, checkpoint)
+    assert shuffled(query) and not any("resp_body" in columns for columns in shuffled(query))
+    assert text(load_traffic(spark, out)) == text(normalize(whole).distinct())
+
+
+def test_a_deduplicated_batch_that_is_run_again(spark, folders, tmp_path):
+    """Of the last batch only some files were left, and the stream knows nothing of its end."""
+    inbox, out, checkpoint = folders
+    arrive(spark, inbox, "1", SEED_B[:3])
+    dedupe(spark, inbox, out, checkpoint)
+    before = set((tmp_path / "out").glob("*"))
+    raw_frame(spark, SEED_B).repartition(4, "id").write.parquet(f"{inbox}/2")
+    dedupe(spark, inbox, out, checkpoint, 100)
+    new = sorted(p for p in set((tmp_path / "out").glob("part-*")) - before if spark.read.parquet(str(p)).count())
+    for lost in [new[0], tmp_path / "out" / f".{new[0].name}.crc", *(tmp_path / "checkpoint" / "commits").glob("*1*")]:
+        lost.unlink()
+    assert load_traffic(spark, out).count() < 10
+    for _ in range(2):
+        dedupe(spark, inbox, out, checkpoint, 100)
+        assert text(load_traffic(spark, out)) == text(normalize(raw_frame(spark, SEED_B)))
+
+
+def test_a_table_of_the_file_sink_goes_on(spark, folders):
+    inbox, out, checkpoint = folders
+    arrive(spark, inbox, "1", SEED_B[:6])
+    cap.append_to(cap.deduplicated(stream(spark, inbox)).select("*"), out, checkpoint, every=None).awaitTermination()
+    arrive(spark, inbox, "2", SEED_B)
+    dedupe(spark, inbox, out, checkpoint)
+    assert text(load_traffic(spark, out)) == text(normalize(raw_frame(spark, SEED_B)))
+
+
+@pytest.mark.parametrize("within", [None, "1 minute"])
+def test_odd_repeats_as_whole_rows_through_the_state(spark, folders, within):
+    """Null ids and times, repeats that come late, rows behind the watermark: what the state lets through is what is stored."""
+    inbox, out, checkpoint = folders
+    row = lambda id, s, host="h": exchange(id, host, 80, False, "GET", "/", 200, seconds=s)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in RAW_EXCHANGE])
+    nothing = raw_frame(spark, [row(0, 5)]).withColumn("id", F.lit(None).cast("long"))
+    arrive(spark, inbox, "1", [row(1, 0), row(1, 0), row(2, 300)])
+    arrive(spark, inbox, "2", [row(3, 1), row(4, 310), row(4, 310), row(1, 305), row(5, 2), row(5, 320)])
+    for name in ("3", "4"):
+        nothing.unionByName(nothing).withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 SECONDS")).coalesce(1).write.parquet(f"{inbox}/{name}")
+    arrive(spark, inbox, "5", [row(6, 500), row(1, 505), row(2, 510), row(7, 1), row(8, 2), row(8, 505)])
+    given = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+    cap.append_to(cap.deduplicated(given, within), out, checkpoint, every=None).awaitTermination()
+    whole = cap.deduplicated(given, within).select("*")
+    cap.append_to(whole, out + "-whole", checkpoint + "-whole", every=None).awaitTermination()
+    ids = lambda path: sorted(str(r.id) for r in spark.read.schema(TRAFFIC).parquet(f"{path}/part-*").collect())
+    assert ids(out) == ids(out + "-whole") and ids(out).count("None") == 1
+    if within:
+        late = load_traffic(spark, out).where("id IN (7, 8)").collect()
+        assert [(r.id, r.timestamp) for r in late] == [(8, row(8, 505)[1])]
