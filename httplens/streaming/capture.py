@@ -140,7 +140,10 @@ def first_arrivals(raw: DataFrame) -> DataFrame:
     State holds the first row of every id (keep it in RocksDB); batches are ordered by the clock, which must not go back. ``min_by`` is combined in each task, so a busy id crosses once per task. An
     id is put out in the batch that brought it. To be written in update mode, see :func:`keep_first`.
     """
-    rows = normalize(raw)
+    return _first_by_state(normalize(raw))
+
+
+def _first_by_state(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "id"]
     order = F.struct("_batch", F.col("timestamp").isNull(), "timestamp", F.xxhash64(*rest))
     first = F.min_by(F.struct("_batch", *rest), order)
@@ -163,12 +166,19 @@ def _kept_places(staged: DataFrame) -> DataFrame:
 
 
 def keep_first(raw: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
-    """Store :func:`first_arrivals`, a folder per batch: one that is run again takes the place of what it left."""
+    """Store :func:`first_arrivals`, a folder per batch: one that is run again takes the place of what it left.
+
+    State holds the batch and the time of the first arrival of every id. Whole rows do not go there: they are written
+    once to the shared folder, and the places of the first ones are sent to them. The stream is read twice.
+    """
+    rows = normalize(raw)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{batch_id:012d}")
+        staged = stage(batch, "batch", **WIDE_PAGES)
+        new = kept_at(staged, stage(_kept_places(staged), "winners")).select(*rows.columns)
+        new.write.mode("overwrite").option("compression", "zstd").options(**WIDE_PAGES).parquet(f"{path}/{batch_id:012d}")
 
-    writer = first_arrivals(raw).writeStream.outputMode("update").foreachBatch(on_batch)
+    writer = _with_kept(rows, _first_by_state(rows.select(*SENT))).writeStream.outputMode("update").foreachBatch(on_batch)
     return trigger(writer.option("checkpointLocation", checkpoint), every).start()
 
 

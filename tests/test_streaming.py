@@ -224,6 +224,12 @@ def test_state_gets_no_bodies(spark, folders, tmp_path):
     query = dedupe(spark, inbox, out, checkpoint)
     assert shuffled(query) and not any("resp_body" in columns for columns in shuffled(query))
     assert text(load_traffic(spark, out)) == text(normalize(whole).distinct())
+    first = cap.keep_first(stream(spark, inbox), str(tmp_path / "first"), checkpoint + "-first", every=None)
+    first.awaitTermination()
+    assert shuffled(first) and not any("resp_body" in columns for columns in shuffled(first))
+    state = sum(p.stat().st_size for p in (tmp_path / "checkpoint-first" / "state").rglob("*") if p.is_file())
+    assert state < 40 * 32_000
+    assert text(cap.load_first(spark, str(tmp_path / "first"))) == text(normalize(whole).distinct())
 
 
 def test_a_deduplicated_batch_that_is_run_again(spark, folders, tmp_path):
@@ -273,3 +279,6 @@ def test_odd_repeats_as_whole_rows_through_the_state(spark, folders, within):
     if within:
         late = load_traffic(spark, out).where("id IN (7, 8)").collect()
         assert [(r.id, r.timestamp) for r in late] == [(8, row(8, 505)[1])]
+    else:
+        cap.keep_first(given, out + "-first", checkpoint + "-first", every=None).awaitTermination()
+        assert sorted(str(r.id) for r in cap.load_first(spark, out + "-first").collect()) == ids(out)
