@@ -85,7 +85,7 @@ def _store(new: DataFrame, path: str, project_id: str | None, first: Callable[[D
     if project_id is None:
         new.write.mode("append").option("compression", "zstd").parquet(path)
     else:
-        save_project(new, path, project_id)
+        save_project(new, path, project_id, gathered=True)
 
 
 def capture(
