@@ -172,17 +172,18 @@ def test_project_rows_are_written_where_they_are(spark, tmp_path, monkeypatch):
     """A file per task and folder, with some folders open or all; the session's own setting is back afterwards."""
     traffic = repeated(spark).withColumn("project_id", F.expr("CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN '' END"))
     traffic = traffic.withColumn("timestamp", F.expr("CASE WHEN id % 5 > 0 THEN timestamp + make_dt_interval(id % 3) END")).repartition(3).cache()
-    given, before = traffic.withColumn("date", F.to_date("timestamp")), spark.conf.get(store.WRITERS)
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    given, before = traffic.withColumn("date", F.to_date("timestamp")), spark.conf.get(writers)
     kept = given.withColumn("project_id", F.expr("nullif(project_id, '')"))
     folders = kept.select("project_id", "date").distinct().count()
-    for files in (store.OPEN_FILES, 2):
-        monkeypatch.setattr(store, "OPEN_FILES", files)
+    for files in (128, 2):
+        monkeypatch.setattr(store, "OPEN_FILES", files, raising=False)
         path = tmp_path / str(files)
         store.save_project(traffic, str(path))
         assert listed(store.load_projects(spark, str(path)).select(*kept.columns)) == listed(kept)
         assert len(list(path.rglob("part-*"))) == given.select(F.spark_partition_id(), "project_id", "date").withColumn(
             "project_id", F.expr("nullif(project_id, '')")).distinct().count() > folders
-        assert spark.conf.get(store.WRITERS) == before
+        assert spark.conf.get(writers) == before
     store.save_project(traffic, str(tmp_path / "few"), gathered=True)
     assert listed(store.load_projects(spark, str(tmp_path / "few")).select(*kept.columns)) == listed(kept)
     assert len(list((tmp_path / "few").rglob("part-*"))) == folders

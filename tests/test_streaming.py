@@ -214,22 +214,30 @@ def dedupe(spark, inbox, out, checkpoint, files_per_batch=1):
     return query
 
 
-def test_state_gets_no_bodies(spark, folders, tmp_path):
+@pytest.fixture
+def large(spark, folders):
     """40 bodies of 64 KB that do not compress well, each twice."""
-    inbox, out, checkpoint = folders
     body = F.expr("concat_ws('', transform(sequence(1, 1000), k -> sha2(concat(id, '-', k), 256)))")
     rows = [exchange(k % 40, "h", 80, False, "GET", f"/{k % 40}", 200, seconds=k % 40) for k in range(80)]
     whole = raw_frame(spark, rows).withColumn("resp_body", body).cache()
-    whole.coalesce(1).write.parquet(f"{inbox}/1")
+    whole.coalesce(1).write.parquet(f"{folders[0]}/1")
+    return whole
+
+
+def test_state_gets_no_bodies(spark, folders, large):
+    inbox, out, checkpoint = folders
     query = dedupe(spark, inbox, out, checkpoint)
     assert shuffled(query) and not any("resp_body" in columns for columns in shuffled(query))
-    assert text(load_traffic(spark, out)) == text(normalize(whole).distinct())
-    first = cap.keep_first(stream(spark, inbox), str(tmp_path / "first"), checkpoint + "-first", every=None)
-    first.awaitTermination()
-    assert shuffled(first) and not any("resp_body" in columns for columns in shuffled(first))
-    state = sum(p.stat().st_size for p in (tmp_path / "checkpoint-first" / "state").rglob("*") if p.is_file())
-    assert state < 40 * 32_000
-    assert text(cap.load_first(spark, str(tmp_path / "first"))) == text(normalize(whole).distinct())
+    assert text(load_traffic(spark, out)) == text(normalize(large).distinct())
+
+
+def test_first_arrivals_are_stored_without_bodies_in_state(spark, folders, large, tmp_path):
+    inbox, out, checkpoint = folders
+    query = cap.keep_first(stream(spark, inbox), out, checkpoint, every=None)
+    query.awaitTermination()
+    assert shuffled(query) and not any("resp_body" in columns for columns in shuffled(query))
+    assert sum(p.stat().st_size for p in (tmp_path / "checkpoint" / "state").rglob("*") if p.is_file()) < 40 * 32_000
+    assert text(cap.load_first(spark, out)) == text(normalize(large).distinct())
 
 
 def test_a_deduplicated_batch_that_is_run_again(spark, folders, tmp_path):
